@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, exact_dedup, line_dedup, sstable, token_counts
+from tally.llm import bpe, exact_dedup, line_dedup, mixing, quality, sstable, token_counts, warc_zip
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -43,17 +43,35 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_zip.write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc_zip.read_archives(manifest)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), _tokenizer(BPE_JSON), end_id=0)
     return sstable.read_shards(manifest, with_ids=False)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    p = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return rated.select(F.col("own_id").alias("doc_id"), "n_tokens", *p, "rate")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc_zip": op5_warc_zip,
+    "op7_quality": op7_quality,
     "op9_sstable": op9_sstable,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB strings: the ASCII white space that ``trim`` takes off, and as a regular-expression class.
@@ -83,4 +101,19 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_LOWER})) AS tex
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_warc_zip": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top, sha1(coalesce(html, '')) AS hex
+  FROM pages
+), bits AS (
+  SELECT *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+      (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)
+    FOR i IN range(32)] AS letters
+  FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM bits""",
 }
