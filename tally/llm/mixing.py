@@ -10,6 +10,8 @@ in each step; rates follow from them and the posteriors, row by row.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from tally.llm.common import ASCII_SPACE_CLASS, ascii_lower, ascii_words, id_key
 #: Domains told apart by the labelled table.
 DOMAINS = ["clean", "low", "toxic"]
 #: Shares of the expected tokens that the mix should have.
-TARGETS = {"clean": 0.948, "low": 0.05, "toxic": 0.002}
+TARGETS = {"clean": 0.89, "low": 0.05, "toxic": 0.06}
 
 
 def domain_label(quality: Column, toxic: Column) -> Column:
@@ -26,81 +28,81 @@ def domain_label(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _features(words: Column, body: Column, n: Column) -> list[Column]:
-    """Marks of binned statistics that count as words of their own."""
+def _features(words: Column, body: Column, n: Column, lexicon: dict[str, list[str]]) -> Column:
+    """The categories of a text: binned statistics and the number of telling words of each domain it holds."""
     per_word = lambda c: F.least(F.floor(F.log2(1 + c / F.greatest(n, F.lit(1)) * 8) * 2), F.lit(20)).cast("int")
-    symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]"))
-    capitals = F.regexp_count(body, F.lit("[A-Z]"))
-    marks = F.regexp_count(body, F.lit("[!?]"))
-    unique = F.floor(8 * F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).cast("int")
-    length = F.least(F.floor(F.log2(1.0 + n)), F.lit(8)).cast("int")
-    parts = {"symbols": per_word(symbols), "capitals": per_word(capitals), "marks": per_word(marks), "unique": unique, "length": length}
-    return [F.concat(F.lit(f" {name}="), v) for name, v in parts.items()]
+    parts = {
+        "symbols": per_word(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))),
+        "capitals": per_word(F.regexp_count(body, F.lit("[A-Z]"))),
+        "marks": per_word(F.regexp_count(body, F.lit("[!?]"))),
+        "unique": F.floor(8 * F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).cast("int"),
+    }
+    for domain, telling in lexicon.items():
+        if telling:
+            parts[domain] = F.least(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in telling]))), F.lit(4))
+    return F.array(*[F.concat(F.lit(f"{name}="), v) for name, v in parts.items()])
 
 
 def _words(text: str) -> Column:
     return ascii_words(ascii_lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^\\p{{L}}\\p{{N}}{ASCII_SPACE_CLASS}]+", "")))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, lexicon: int = 256) -> dict:
-    """Naive Bayes over word presence and binned statistics: {"bias": [...], "weights": {feature: [...]}}.
+def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, lexicon: int = 64) -> dict:
+    """Naive Bayes over categories of a text: {"lexicon": {domain: words}, "bias": [...], "weights": {category: [...]}}.
 
     Fitted on at most about ``most_rows`` labelled rows, chosen by a hash of
-    their ids; ``lexicon`` bounds the words in the model, the most telling
-    ones. Only this bounded model reaches the driver.
+    their ids; ``lexicon`` bounds the telling words of each domain. Only this
+    bounded model reaches the driver.
     """
     lab = labels.select(id_key(id_col).alias("id"), domain_label(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").groupBy("id").agg(F.max("domain").alias("domain"))
     total = lab.count()
     if total > most_rows:
         lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(lab, "id").withColumn("words", _words("body"))
-    rows = rows.withColumn("n", F.size("words"))
-    marked = rows.select("domain", F.array_distinct(F.concat("words", F.array(*_features(F.col("words"), F.col("body"), F.col("n"))))).alias("features"))
-    marked = materialise(marked, "mix-labelled")
-    sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(lab, "id")
+    rows = materialise(rows.select("domain", "body", _words("body").alias("words")), "mix-labelled")
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in DOMAINS]
-    everything = max(1, sum(n))
-    seen = marked.select("domain", F.explode("features").alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
-    # Share of each domain's rows with the feature, smoothed; telling is the spread of its logarithms where it is not rare.
     share = {d: (F.col(d) + 0.5) / (size + 1.0) for d, size in zip(DOMAINS, n)}
-    overall = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0])) / everything
-    gain = sum(((size / everything) * share[d] * F.log(share[d] / (overall + 1e-9)) for d, size in zip(DOMAINS, n)), F.lit(0.0))
-    scored = seen.select("f", *[F.log(share[d]).alias(f"in_{d}") for d in DOMAINS], *[F.log(1 - share[d]).alias(f"out_{d}") for d in DOMAINS], F.round(gain, 9).alias("gain"))
-    best = scored.where(~F.col("f").startswith(" ")).orderBy(F.desc("gain"), "f").limit(lexicon)
-    chosen = best.unionByName(scored.where(F.col("f").startswith(" "))).collect()
-    from math import log
+    per_domain = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
+
+    # Telling words of a domain are far more common in it than in the first one.
+    seen = rows.select("domain", F.explode(F.array_distinct("words")).alias("f")).groupBy("f").agg(*per_domain)
+    telling: dict[str, list[str]] = {}
+    first = DOMAINS[0]
+    for d in DOMAINS[1:]:
+        gain = F.round(share[d] * F.log(share[d] / share[first]), 9)
+        best = seen.where((share[d] >= 0.05) & (share[d] >= 8 * share[first])).orderBy(F.desc(gain), "f").limit(lexicon)
+        telling[d] = sorted(r["f"] for r in best.select("f").collect())
 
-    bias = [log((size + 1) / (everything + len(DOMAINS))) for size in n]
-    weights = {}
-    for r in chosen:
-        weights[r["f"]] = [r[f"in_{d}"] - r[f"out_{d}"] for d in DOMAINS]
-        bias = [b + r[f"out_{d}"] for b, d in zip(bias, DOMAINS)]
-    return {"bias": bias, "weights": weights}
+    marked = rows.select("domain", F.explode(_features(F.col("words"), F.col("body"), F.size("words"), telling)).alias("f"))
+    weights = {r["f"]: [log((r[d] + 0.5) / (size + 1.0)) for d, size in zip(DOMAINS, n)] for r in marked.groupBy("f").agg(*per_domain).collect()}
+    bias = [log((size + 1) / (sum(n) + len(DOMAINS))) for size in n]
+    return {"lexicon": telling, "bias": bias, "weights": weights}
 
 
 def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(own_id, id, row_key, n_tokens, p) per row; tokens are words, p the posterior over the domains."""
-    names = sorted(model["weights"])
-    table = F.create_map(*[c for f in names for c in (F.lit(f), F.array(*[F.lit(float(w)) for w in model["weights"][f]]))]) if names else None
+    """(own_id, id, row_key, n_tokens, p) per row; tokens are words, p the posterior over the domains.
+
+    A category that the labelled rows do not show counts as equally likely in all domains.
+    """
+    k = len(DOMAINS)
+    pairs = [c for f, w in sorted(model["weights"].items()) for c in (F.lit(f), F.array(*[F.lit(float(x)) for x in w]))]
+    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * k))
     df = docs.select(F.col(id_col).alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     df = df.withColumn("words", _words("body")).withColumn("n", F.size("words"))
-    known = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
-    df = df.select(
-        "own_id", "id", "row_key", F.col("n").cast("long").alias("n_tokens"),
-        F.concat(F.array_intersect("words", known), F.array_intersect(F.array(*_features(F.col("words"), F.col("body"), F.col("n"))), known)).alias("hits"),
-    )
-    # One look-up a hit; the map is a constant of bounded size.
-    df = df.withColumn("w", F.transform("hits", lambda h: table[h]) if names else F.lit(None).cast("array<array<double>>"))
-
-    def total(k: int, b: float) -> Column:
-        return F.aggregate("w", F.lit(float(b)), lambda a, w: a + F.get(w, F.lit(k))) if names else F.lit(float(b))
-
-    score = [total(k, b) for k, b in enumerate(model["bias"])]
-    df = df.select("own_id", "id", "row_key", "n_tokens", *[s.alias(f"s{k}") for k, s in enumerate(score)])
-    top = F.greatest(*[f"s{k}" for k in range(len(DOMAINS))])
-    df = df.select("own_id", "id", "row_key", "n_tokens", *[F.exp(F.greatest(F.col(f"s{k}") - top, F.lit(-40.0))).alias(f"e{k}") for k in range(len(DOMAINS))])
-    whole = sum((F.col(f"e{k}") for k in range(1, len(DOMAINS))), F.col("e0"))
-    return df.select("own_id", "id", "row_key", "n_tokens", F.array(*[F.round(F.col(f"e{k}") / whole, 9) for k in range(len(DOMAINS))]).alias("p"))
+    own = ["own_id", "id", "row_key", "n_tokens"]
+    df = df.select("own_id", "id", "row_key", F.col("n").cast("long").alias("n_tokens"), _features(F.col("words"), F.col("body"), F.col("n"), model["lexicon"]).alias("f"))
+    # A few look-ups in a constant map of bounded size.
+    df = df.select(*own, F.filter(F.transform("f", lambda f: table[f]), lambda w: w.isNotNull()).alias("w"))
+
+    def total(i: int, b: float) -> Column:
+        return F.aggregate("w", F.lit(float(b)), lambda a, w: a + F.get(w, F.lit(i)))
+
+    df = df.select(*own, *[total(i, b).alias(f"s{i}") for i, b in enumerate(model["bias"])])
+    top = F.greatest(*[f"s{i}" for i in range(k)])
+    df = df.select(*own, *[F.exp(F.greatest(F.col(f"s{i}") - top, F.lit(-40.0))).alias(f"e{i}") for i in range(k)])
+    whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
+    return df.select(*own, F.array(*[F.round(F.col(f"e{i}") / whole, 9) for i in range(k)]).alias("p"))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
