@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, exact_dedup, line_dedup, mixing, quality, sstable, token_counts, warc_zip
+from tally.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -48,10 +48,19 @@ def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(manifest)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), width=13)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return joined.select(F.col("own_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), _tokenizer(BPE_JSON), end_id=0)
     return sstable.read_shards(manifest, with_ids=False)
@@ -69,7 +78,9 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc_zip": op5_warc_zip,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sstable": op9_sstable,
     "op10_mixing": op10_mixing,
 }
@@ -116,4 +127,24 @@ SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM bits""",
+    "op6_substring_dedup": f"""
+WITH w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_NONWS}+') AS words FROM documents)
+), spans AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS span,
+    count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n
+  FROM w
+), repeated AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY md5(span)) AS lo FROM spans WHERE n = 13) WHERE doc_id > lo
+), marked AS (
+  SELECT w.doc_id, w.pos, w.word,
+    max(r.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM w LEFT JOIN repeated r ON w.doc_id = r.doc_id AND w.pos = r.pos
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
 }
