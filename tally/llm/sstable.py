@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import materialise, new_path
-from tally.llm.word_chunks import PIECES, WORD, PartCache, byte_characters
+from tally.llm.word_chunks import PIECES, PLAIN, PartCache, PieceCache, byte_characters
 
 MAGIC = b"TLYSST1\0"
 FOOTER = struct.Struct("<QQQQQQQBB6x8s")
@@ -200,24 +200,33 @@ class IdEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = dict(enumerate(byte_characters()))
+        self.space = self.shown[32]
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.cache = PartCache(self._fill)
+        self.pieces = PieceCache(self._piece)
+        self.cache = PartCache(self._whole)
 
-    def _fill(self, part: str) -> bytes:
-        if WORD(part) and not any(x in part for x in self.special):
-            return b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES(part)])
-        return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > 200_000:
-            self.pieces.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-        self.pieces[piece] = value = array(self.code, ids).tobytes()
-        return value
+        if piece.isascii() and "\n" not in piece:
+            shown = piece.replace(" ", self.space)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def document(self, text: str | None) -> bytes:
-        return self.cache.document(text or "") + self.end
+        """The ids of a whole text and the end id; null counts as empty.
+
+        A plain text is split into pre-tokens here, and the library's model
+        encodes each of them once; any other text goes through the library in
+        parts.
+        """
+        text = text or ""
+        if PLAIN(text) and not any(x in text for x in self.special):
+            self.pieces.make_room()
+            return b"".join(map(self.pieces.__getitem__, PIECES(text))) + self.end
+        return self.cache.document(text) + self.end
 
 
 def _encoder(file: str, end_id: int) -> IdEncoder:

@@ -43,6 +43,27 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+class PieceCache(dict):
+    """piece -> bytes by ``fill(piece)``. Holds at most ``most`` pieces twice over: full,
+    it sets them aside and takes back those that are asked for again."""
+
+    def __init__(self, fill, most: int = 600_000):
+        super().__init__()
+        self.fill, self.most, self.aside = fill, most, {}
+
+    def make_room(self) -> None:
+        if len(self) > self.most:
+            self.aside = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.aside.get(piece)
+        if value is None:
+            value = self.fill(piece)
+        self[piece] = value
+        return value
+
+
 class PartCache(dict):
     """part -> bytes by ``fill(part)``. Holds at most ``most`` parts twice over: full,
     it sets them aside and takes back those that are asked for again.
