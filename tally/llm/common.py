@@ -73,3 +73,15 @@ def ascii_words(c: Column) -> Column:
     """The runs of characters other than ASCII white space; null and blank text have none."""
     t = trim_ascii(F.coalesce(c, F.lit("")))
     return F.when(F.octet_length(t) > 0, F.split(t, f"[{ASCII_SPACE_CLASS}]+")).otherwise(F.array().cast("array<string>"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named in ``kept`` (id, row_key, single), all columns unchanged.
+
+    ``kept`` has a pair of id and text hash once; where ``single`` is true only
+    one of several rows of that pair stays.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"))
+    j = whole.join(kept, ["id", "row_key"])
+    repeated = j.where("single").dropDuplicates(["id", "row_key"])
+    return j.where("not single").unionByName(repeated).select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, id_key, materialise
+from tally.llm.common import NULL_ID, id_key, keep_rows, materialise
 
 SLOTS = 4
 
@@ -117,16 +117,16 @@ def normalised_digest(text: str | None) -> bytes:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(own_id, id, digest) for every row; a null id gets the smallest key."""
+    """(own_id, id, row_key, digest) for every row; a null id gets the smallest key."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, key, texts = b.columns
+            ids, key, row, texts = b.columns
             d = pa.array([normalised_digest(t.as_py()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, key, d], names=["own_id", "id", "digest"])
+            yield pa.RecordBatch.from_arrays([ids, key, row, d], names=["own_id", "id", "row_key", "digest"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(per_batch, "own_id long, id long, digest binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(per_batch, "own_id long, id long, row_key long, digest binary")
 
 
 def _combine(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
@@ -177,7 +177,7 @@ def live_digests(hashed: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, row_no): one row per input row.
+    """(doc_id, keep_id, group_size, kept, digest, row_no, id, row_key): one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty. Of a group the row with the largest id stays; a null id is smaller
@@ -191,7 +191,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     j = rows.join(spread, ["digest", "salt"], "left")
-    repeat = Window.partitionBy("digest", "id").orderBy("own_id")
+    repeat = Window.partitionBy("digest", "id").orderBy("row_key")
     keep = F.coalesce("keep", "id")
     return j.withColumn("row_no", F.row_number().over(repeat)).select(
         F.col("own_id").alias(id_col),
@@ -200,9 +200,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ((keep == F.col("id")) & (F.col("row_no") == 1)).alias("kept"),
         "digest",
         "row_no",
+        "id",
+        "row_key",
     )
 
 
+def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns unchanged."""
+    kept = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where("kept")
+    return keep_rows(docs, kept.select("id", "row_key", F.lit(True).alias("single")), id_col, text_col)
+
+
 class DigestIndex:
     """A cuckoo index kept as a bucketed table in a shared folder.
 

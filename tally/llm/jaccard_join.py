@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, id_key, materialise
+from tally.llm.common import NULL_ID, id_key, keep_rows, materialise
 from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
 #: Bits of a token bitmap, in 64-bit words.
@@ -388,3 +388,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named.join(low, "component", "left").select(
         "own_id", "id", "row_key", F.col("n").alias("n_shingles"), "component", F.when(smallest != NULL_ID, smallest).alias("component_id")
     )
+
+
+def near_dup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row, that of the smallest id, of each group of linked texts; texts without words all stay."""
+    joined = materialise(jaccard_join(docs, id_col, text_col, k, num, den), "jaccard-verdicts")
+    chosen = joined.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "row_key")).alias("of"))
+    kept = chosen.select("of.id", "of.row_key", F.lit(True).alias("single"))
+    blank = joined.where("component is null").select("id", "row_key", F.lit(False).alias("single")).distinct()
+    return keep_rows(docs, kept.unionByName(blank), id_col, text_col)
