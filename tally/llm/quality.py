@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import ASCII_SPACE_CLASS, ascii_words, materialise, trim_ascii
+from tally.llm.common import ASCII_SPACE_CLASS, ascii_words, id_key, keep_rows, materialise, trim_ascii
 
 #: Statistics of the vector and the smallest spread each is given: a statistic
 #: that is the same in nearly all clean texts must not reject at a trifle.
@@ -217,9 +217,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return judge(stats, model).drop("lang", "source", "x").withColumnRenamed("id", id_col)
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    vectors = base_statistics(docs, [F.col(lang_col).alias("lang"), F.col(source_col).alias("source")], text_col)
-    model = fit(materialise(vectors.where(~F.col("base_failed")).select("lang", "source", "x"), "quality-fit"))
-    keep = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
-    return judge(base_statistics(docs, keep, text_col), model).where("kept").select("row.*")
+    keep = [id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
+    stats = materialise(base_statistics(docs, keep, text_col), "quality-stats")
+    model = fit(stats.where(~F.col("base_failed")).select("lang", "source", "x"))
+    kept = judge(stats, model).where("kept").select("id", "row_key", F.lit(False).alias("single")).distinct()
+    return keep_rows(docs, kept, id_col, text_col)
