@@ -1,7 +1,7 @@
 """WARC records in ZIP archives: written by Spark tasks and read in place.
 
-Each task writes one ZIP with two stored members, the records and an index of
-them. The reader parses the end record, the central directory and its ZIP64
+Each task writes one ZIP with two stored members, the records (each a gzip
+member of its own, as is usual for WARC) and an index of them. The reader parses the end record, the central directory and its ZIP64
 fields and the local headers, and then reads single records by their ranges:
 nothing is extracted.
 """
@@ -9,6 +9,7 @@ nothing is extracted.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -172,7 +173,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 def parse_record(raw: bytes) -> dict:
     """Page, type, payload digest and length of one record; a response's are taken from its payload itself."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
+    head, _, rest = gzip.decompress(raw).partition(b"\r\n\r\n")
     h = _headers(head)
     block = rest[: int(h["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -232,8 +233,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                     fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(where)
                     zipped, index, at, records = StoredZipWriter(out), bytearray(), 0, 0
-                    zipped.start("archive/pages.warc")
-                raw = _record(page, url, html.as_py().encode(), refers)
+                    zipped.start("archive/pages.warc.gz")
+                raw = gzip.compress(_record(page, url, html.as_py().encode(), refers), 1, mtime=0)
                 zipped.write(raw)
                 index += index_entry(page, at, len(raw))
                 records += 1
@@ -262,7 +263,7 @@ def splits(manifest: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
                     for name, (at, n) in members.items():
                         if not name.startswith("indexes/"):
                             continue
-                        data_at, _ = members["archive/" + name.split("/", 1)[1].rsplit(".", 1)[0] + ".warc"]
+                        data_at, _ = members["archive/" + name.split("/", 1)[1].rsplit(".", 1)[0] + ".warc.gz"]
                         run, have, out = [], 0, []
                         for start, size in index_ranges(_range(f, at, n)):
                             run.append((start, size))
