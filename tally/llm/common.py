@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,6 +76,13 @@ def ascii_words(c: Column) -> Column:
     return F.when(F.octet_length(t) > 0, F.split(t, f"[{ASCII_SPACE_CLASS}]+")).otherwise(F.array().cast("array<string>"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when
+    the JVM collects their plans, which a roomy driver may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named in ``kept`` (id, row_key, single), all columns unchanged.
 

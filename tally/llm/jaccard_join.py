@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, id_key, keep_rows, materialise
+from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise, release
 from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
 #: Bits of a token bitmap, in 64-bit words.
-BITMAP_WORDS = 32
+BITMAP_WORDS = 16
 LEAF = 32
 #: Shingles of one block that a task takes together, about; larger blocks are split.
 BLOCK_SHINGLES = 8_000_000
@@ -99,9 +99,11 @@ class Components:
 class SignatureTree:
     """Nodes over members sorted by size: halves of halves down to leaves of LEAF members."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, num: int, den: int):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, num: int, den: int, done: np.ndarray | None = None):
         self.sizes, self.maps, self.num, self.den = sizes, maps, num, den
         self.absent = ~maps
+        #: Members that need no more partners: pairs of two of them are passed over.
+        self.done = done
 
     def node(self, a: int, b: int) -> tuple:
         part = self.maps[a:b]
@@ -135,6 +137,8 @@ class SignatureTree:
         while stack:
             a, b, c, d = stack.pop()
             same = a == c
+            if self.done is not None and self.done[a:b].all() and self.done[c:d].all():
+                continue
             if not same and not self._may(node(a, b), node(c, d)):
                 continue
             if b - a <= LEAF and d - c <= LEAF:
@@ -182,28 +186,26 @@ def _first_pass(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     [
                         own, ids, rows, pa.array([len(s[0]) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s[0].tobytes()) if len(s[0]) else None for s in sets], pa.binary()),
+                        pa.array([bitmap(s[0]).tobytes() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))),
                     ],
-                    names=["own_id", "id", "row_key", "n", "class", "prefix"],
+                    names=["own_id", "id", "row_key", "n", "content", "bits", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "own_id long, id long, row_key long, n long, class binary, prefix array<long>")
+    return docs.mapInArrow(run, "own_id long, id long, row_key long, n long, content binary, bits binary, prefix array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(class, n, members, bits) of the given classes' texts."""
+    """(class, members) of the given classes' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             for at, some in _texts(b.column(1)):
-                sets = [s[0] for s in shingle_sets(words, some, k)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(some)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
-                    names=["class", "n", "members", "bits"],
-                )
+                sets = [s[0].tobytes() for s in shingle_sets(words, some, k)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(sets, pa.binary())], names=["class", "members"])
 
-    return texts.select("class", "text").mapInArrow(run, "class binary, n long, members binary, bits binary")
+    return texts.select("class", "text").mapInArrow(run, "class long, members binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, list]]:
@@ -236,8 +238,7 @@ def _block(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, int]]:
     order = np.argsort(n, kind="stable")
     maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
     sets = [np.frombuffer(g["members"][i], np.uint64) for i in order]
-    labels = np.array([g["class"][i] for i in order], object)
-    parts = Components(np.unique(labels.astype("S16"), return_inverse=True)[1])
+    parts = Components(np.array(g["class"], np.int64)[order])
     tree = SignatureTree(n[order], maps, num, den)
     for xs, ys in tree.pairs():
         for x, y in zip(xs.tolist(), ys.tolist()):
@@ -251,13 +252,28 @@ def _candidates(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, i
     n = np.array(g["n"], np.int64)
     order = np.argsort(n, kind="stable")
     maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
-    part = np.unique(np.array(g["part"], object).astype("S16"), return_inverse=True)[1][order]
+    part = np.array(g["part"], np.int64)[order]
     for xs, ys in SignatureTree(n[order], maps, num, den).pairs():
         other = part[xs] != part[ys]
         for x, y in zip(order[xs[other]].tolist(), order[ys[other]].tolist()):
             yield x, y
 
 
+def _near(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Positions in ``g``, each once as (x, x), of the classes that the bitmaps leave some partner."""
+    n = np.array(g["n"], np.int64)
+    order = np.argsort(n, kind="stable")
+    maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
+    cls = np.array(g["class"], np.int64)[order]
+    found = np.zeros(len(n), bool)
+    for xs, ys in SignatureTree(n[order], maps, num, den, found).pairs():
+        other = cls[xs] != cls[ys]
+        found[xs[other]] = True
+        found[ys[other]] = True
+    for x in order[found].tolist():
+        yield x, x
+
+
 BLOCK = ["token", "bucket", "i", "j"]
 
 
@@ -299,19 +315,19 @@ def _in_blocks(rows: DataFrame, find, num: int, den: int) -> DataFrame:
     """(x, y): pairs of classes that ``find`` gives for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs: list[bytes] = []
-        ys: list[bytes] = []
+        xs: list[int] = []
+        ys: list[int] = []
         for g in _groups(batches, len(BLOCK)):
             for x, y in find(g, num, den) if len(g["n"]) > 1 else ():
                 xs.append(g["class"][x])
                 ys.append(g["class"][y])
                 if len(xs) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
                     xs, ys = [], []
         if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "x binary, y binary")
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, "x long, y long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -346,31 +362,46 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal sets and so link.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    seen = materialise(_first_pass(d, k, num, den), "jaccard-sets")
-    groups = seen.where("class is not null").groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1").select("class", "first")
-    one = seen.where("class is not null").join(groups, "class", "left").where("first is null or id = first")
+    spark = docs.sparkSession
+    wide = materialise(_first_pass(d, k, num, den).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    seen = materialise(wide.drop("prefix", "bits"), "jaccard-rows")
+    # Equal sets are one class, named after the row of its smallest id.
+    groups = seen.where("content is not null").groupBy("content").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("size")).where("size > 1").select("content", F.col("top.row").alias("top"))
+    seen = materialise(seen.join(groups, "content", "left").withColumn("class", F.when(F.col("content").isNotNull(), F.coalesce("top", "row"))).drop("content", "top"), "jaccard-classes")
+    copies = seen.where("class <> row").select("row")
+    one = wide.where("content is not null").join(copies, "row", "left_anti")
 
     # Shingles of the prefixes that different classes share.
-    posted = one.select(F.explode("prefix").alias("token"), "class", "n", "id", "row_key")
-    tokens = posted.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
+    posted = one.select(F.explode("prefix").alias("token"), F.col("row").alias("class"))
+    tokens = materialise(posted.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "jaccard-tokens")
     posted = materialise(posted.join(tokens, "token"), "jaccard-posted")
-    rows = posted.groupBy("class").agg(F.min_by(F.struct("id", "row_key"), F.struct("id", "row_key")).alias("of"), F.slice(F.array_sort(F.collect_set("token")), 1, PROBES).alias("probes"))
-    rows = rows.select("class", "of.id", "of.row_key", "probes")
-    texts = d.select("id", "row_key", "text").join(rows.select("class", "id", "row_key"), ["id", "row_key"])
-    sets = materialise(_sets(texts, k).dropDuplicates(["class"]), "jaccard-members")
+    release(spark)
+    maps = materialise(one.select(F.col("row").alias("class"), "n", "bits", "id", "row_key"), "jaccard-bitmaps")
+    discard(wide)
+
+    # Classes that the bitmaps leave a possible partner; only their sets are needed.
+    flagged = _in_blocks(_blocks(posted.join(maps.select("class", "n", "bits"), "class"), num, den).select(*BLOCK, "class", "n", "bits"), _near, num, den)
+    near = materialise(flagged.select(F.col("x").alias("class")).distinct(), "jaccard-near")
+    release(spark)
+    posted = materialise(posted.join(near, "class", "left_semi"), "jaccard-posted")
+    maps = materialise(maps.join(near, "class", "left_semi"), "jaccard-bitmaps")
+    texts = d.select("id", "row_key", "text").join(maps.select("class", "id", "row_key"), ["id", "row_key"])
+    sets = materialise(_sets(texts, k).dropDuplicates(["class"]).join(maps.select("class", "n", "bits"), "class"), "jaccard-members")
+    release(spark)
 
     # First in full by a few shared shingles, which finds nearly all links ...
-    probes = rows.select(F.explode("probes").alias("token"), "class")
+    probes = posted.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("token")), 1, PROBES).alias("probes")).select(F.explode("probes").alias("token"), "class")
     full = _blocks(probes.join(sets, "class"), num, den)
     edges = materialise(_in_blocks(full.select(*BLOCK, "class", "n", "members", "bits"), _block, num, den), "jaccard-links")
     parts = components(edges)
 
     # ... then by bitmaps over all shared shingles, for pairs that are not yet joined.
-    labelled = posted.select("token", "class").distinct().join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    labelled = posted.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     open_tokens = labelled.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    rest = labelled.join(open_tokens, "token").join(sets.select("class", "n", "bits"), "class")
+    rest = labelled.join(open_tokens, "token").join(maps.select("class", "n", "bits"), "class")
     maybe = _in_blocks(_blocks(rest, num, den).select(*BLOCK, "class", "n", "part", "bits"), _candidates, num, den)
     maybe = materialise(maybe.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-maybe")
+    release(spark)
     left = maybe.join(sets.select(F.col("class").alias("x"), F.col("members").alias("mx")), "x").join(sets.select(F.col("class").alias("y"), F.col("members").alias("my")), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +409,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ok = [similar(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), num, den) for p, q in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    found = materialise(left.select("x", "y", "mx", "my").mapInArrow(verify, "x binary, y binary"), "jaccard-links")
+    found = materialise(left.select("x", "y", "mx", "my").mapInArrow(verify, "x long, y long"), "jaccard-links")
     if not found.isEmpty():
         parts = components(edges.unionByName(found))
 
