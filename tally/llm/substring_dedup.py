@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import id_key, materialise
+from tally.llm.common import discard, id_key, materialise, release
 
 ROUNDS = 3
 #: Words handled at once, about: bounds the arrays of a task.
@@ -248,6 +248,11 @@ def _removed(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "row_key", "text", "starts").mapInArrow(run, "id long, row_key long, n_removed long, sha string, kept_text string")
 
 
+def _shared_picks(wide: DataFrame) -> DataFrame:
+    picks = wide.select("id", F.explode("picks").alias("key"))
+    return materialise(picks.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "substring-keys")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): each text without the words of repeated windows.
 
@@ -259,25 +264,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept_text`` is null where nothing was removed.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    seen = materialise(_first_pass(d, width), "substring-picks")
+    spark = docs.sparkSession
+    wide = materialise(_first_pass(d, width), "substring-picks")
     row = ["id", "row_key"]
+    seen = materialise(wide.drop("picks"), "substring-texts")
 
     # Whole texts that an earlier document has word for word.
     groups = seen.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
     twins = materialise(seen.where(F.col("n_words") >= width).select(*row, "content").join(groups, "content").where("id > first").select(*row).distinct(), "substring-twins")
 
     # Picks that at least two documents share, and the documents that hold them.
-    picks = seen.select(*row, F.posexplode("picks").alias("n", "key"))
-    keys = materialise(picks.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "substring-keys")
-    holders = picks.join(keys, "key").groupBy(*row).agg(F.collect_set("n").alias("picked"))
-    shared = d.select(*row, "text").join(holders.join(twins, row, "left_anti"), row)
-    shared = materialise(shared, "substring-shared")
+    keys = _shared_picks(wide)
+    release(spark)
+    holders = materialise(wide.select(*row, F.posexplode("picks").alias("n", "key")).join(keys, "key").groupBy(*row).agg(F.collect_set("n").alias("picked")), "substring-holders")
+    discard(wide)
+    release(spark)
+    shared = materialise(d.select(*row, "text").join(holders.join(twins, row, "left_anti"), row), "substring-shared")
+    release(spark)
 
     # The full contents decide: who else starts with the same window, and where first.
-    windows = materialise(_windows(shared, width), "substring-windows")
     # Twins are not looked at again, but the first of each group of them is here.
-    first = windows.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    starts = windows.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts"))
+    windows = materialise(_windows(shared, width), "substring-windows")
+    first = materialise(windows.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo"), "substring-first")
+    release(spark)
+    starts = materialise(windows.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts")
+    discard(windows)
+    release(spark)
     changed = _removed(shared.join(starts, row), width)
     if not with_text:
         changed = changed.drop("kept_text")
