@@ -146,3 +146,13 @@ WITH r AS (SELECT user_id, ts AS "at", event_id AS id, event_type = 'purchase' A
 f AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY "at", id) AS failures FROM r WHERE NOT ok)
 SELECT user_id, "at", id, CAST(failures AS INT) AS failures, CASE WHEN failures < 5 THEN 0 ELSE CAST(60 * pow(2, least(failures - 5, 10)) AS BIGINT) END AS locked_s FROM f""",
 }
+
+
+def _rate_limit(spark, sf_dir):
+    from tally.streaming.jobs import token_bucket_batch
+
+    requests = frame(spark, sf_dir, "SELECT concat('u', CAST(user_id AS STRING)) AS key, ts AS at, event_id AS id FROM events")
+    return token_bucket_batch(requests, capacity=3, refill=1 / 36000)
+
+
+QUERIES["rate_limit"] = _rate_limit
