@@ -108,7 +108,7 @@ def stored_members(file) -> dict[str, tuple[int, int]]:
     total = file.size()
     tail_at = max(0, total - END_HEAD.size - FULL16 - LOCATOR_HEAD.size)
     tail = _range(file, tail_at, total - tail_at)
-    k = tail.rfind(END)
+    k = tail.rfind(END, 0, max(0, len(tail) - END_HEAD.size + len(END)))
     while k >= 0 and k + END_HEAD.size + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
         k = tail.rfind(END, 0, k)
     if k < 0:
