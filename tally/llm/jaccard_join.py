@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise, release
 from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
-#: Bits of a token bitmap, in 64-bit words.
-BITMAP_WORDS = 16
+#: Least length of a token bitmap, in 64-bit words; larger sets get longer ones.
+LEAST_WORDS = 16
 LEAF = 32
 #: Shingles of one block that a task takes together, about; larger blocks are split.
 BLOCK_SHINGLES = 8_000_000
-#: Shared shingles by which a class is compared in full at first.
-PROBES = 3
+#: Shared shingles by which a class is compared in full at first: more for the
+#: short sets of up to SHORT shingles, which are cheap to send.
+PROBES, SHORT = 3, 1000
 
 
 def shingle_sets(words: Words, texts: list[list[bytes]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -59,11 +60,37 @@ def prefix_of(key: np.ndarray, length: np.ndarray, num: int, den: int) -> np.nda
 
 
 def bitmap(key: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(key >> np.uint64(20)).astype(np.int64) % (BITMAP_WORDS * 64)] = 1
+    """A set's token bitmap: a power of two of bits, at least twice as many as the set has shingles."""
+    words = LEAST_WORDS
+    while words * 64 < 2 * len(key):
+        words *= 2
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(key >> np.uint64(20)).astype(np.int64) % (words * 64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def width_groups(n: np.ndarray, bits: list[bytes], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members in order of size, their bitmaps of one length) for each length of bitmap.
+
+    Those of longer bitmaps that are small enough to be similar to a member
+    of this length come along with theirs folded; so each pair that can be
+    similar is together in a group.
+    """
+    words = np.fromiter((len(b) // 8 for b in bits), np.int64, len(bits))
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        at = np.concatenate([own, np.flatnonzero((words > w) & (n * num <= int(n[own].max()) * den))])
+        at = at[np.argsort(n[at], kind="stable")]
+        maps = np.empty((len(at), w), np.uint64)
+        for k, i in enumerate(at.tolist()):
+            m = np.frombuffer(bits[i], np.uint64)
+            while len(m) > w:
+                m = m[: len(m) // 2] | m[len(m) // 2 :]
+            maps[k] = m
+        if len(at) > 1:
+            yield at, maps
+
+
 def _texts(column) -> Iterator[tuple[int, list[list[bytes]]]]:
     at, some, n = 0, [], 0
     for k, t in enumerate(column):
@@ -196,16 +223,19 @@ def _first_pass(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(class, members) of the given classes' texts."""
+    """(class, n, bits, members) of the given classes' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             for at, some in _texts(b.column(1)):
-                sets = [s[0].tobytes() for s in shingle_sets(words, some, k)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(sets, pa.binary())], names=["class", "members"])
+                sets = [s[0] for s in shingle_sets(words, some, k)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(some)), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["class", "n", "bits", "members"],
+                )
 
-    return texts.select("class", "text").mapInArrow(run, "class long, members binary")
+    return texts.select("class", "text").mapInArrow(run, "class long, n long, bits binary, members binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, list]]:
@@ -235,42 +265,38 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str,
 def _block(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Positions in ``g`` of links that join different components: at most one less than there are members."""
     n = np.array(g["n"], np.int64)
-    order = np.argsort(n, kind="stable")
-    maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
-    sets = [np.frombuffer(g["members"][i], np.uint64) for i in order]
-    parts = Components(np.array(g["class"], np.int64)[order])
-    tree = SignatureTree(n[order], maps, num, den)
-    for xs, ys in tree.pairs():
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            if parts.find(x) != parts.find(y) and similar(sets[x], sets[y], num, den):
-                parts.join(x, y)
-                yield int(order[x]), int(order[y])
+    sets = [np.frombuffer(m, np.uint64) for m in g["members"]]
+    parts = Components(np.array(g["class"], np.int64))
+    for order, maps in width_groups(n, g["bits"], num, den):
+        for xs, ys in SignatureTree(n[order], maps, num, den).pairs():
+            for x, y in zip(order[xs].tolist(), order[ys].tolist()):
+                if parts.find(x) != parts.find(y) and similar(sets[x], sets[y], num, den):
+                    parts.join(x, y)
+                    yield x, y
 
 
 def _candidates(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Positions in ``g`` of pairs of different components that the bitmaps leave possible."""
-    n = np.array(g["n"], np.int64)
-    order = np.argsort(n, kind="stable")
-    maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
-    part = np.array(g["part"], np.int64)[order]
-    for xs, ys in SignatureTree(n[order], maps, num, den).pairs():
-        other = part[xs] != part[ys]
-        for x, y in zip(order[xs[other]].tolist(), order[ys[other]].tolist()):
-            yield x, y
+    n, part = np.array(g["n"], np.int64), np.array(g["part"], np.int64)
+    for order, maps in width_groups(n, g["bits"], num, den):
+        for xs, ys in SignatureTree(n[order], maps, num, den).pairs():
+            x, y = order[xs], order[ys]
+            other = part[x] != part[y]
+            yield from zip(x[other].tolist(), y[other].tolist())
 
 
 def _near(g: dict[str, list], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Positions in ``g``, each once as (x, x), of the classes that the bitmaps leave some partner."""
-    n = np.array(g["n"], np.int64)
-    order = np.argsort(n, kind="stable")
-    maps = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(n), BITMAP_WORDS)[order]
-    cls = np.array(g["class"], np.int64)[order]
+    n, cls = np.array(g["n"], np.int64), np.array(g["class"], np.int64)
     found = np.zeros(len(n), bool)
-    for xs, ys in SignatureTree(n[order], maps, num, den, found).pairs():
-        other = cls[xs] != cls[ys]
-        found[xs[other]] = True
-        found[ys[other]] = True
-    for x in order[found].tolist():
+    for order, maps in width_groups(n, g["bits"], num, den):
+        own = found[order]
+        for xs, ys in SignatureTree(n[order], maps, num, den, own).pairs():
+            other = cls[order[xs]] != cls[order[ys]]
+            own[xs[other]] = True
+            own[ys[other]] = True
+        found[order] |= own
+    for x in np.flatnonzero(found).tolist():
         yield x, x
 
 
@@ -386,13 +412,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posted = materialise(posted.join(near, "class", "left_semi"), "jaccard-posted")
     maps = materialise(maps.join(near, "class", "left_semi"), "jaccard-bitmaps")
     texts = d.select("id", "row_key", "text").join(maps.select("class", "id", "row_key"), ["id", "row_key"])
-    sets = materialise(_sets(texts, k).dropDuplicates(["class"]).join(maps.select("class", "n", "bits"), "class"), "jaccard-members")
+    # A repeated row brings its class twice, which links nothing new.
+    sets = materialise(_sets(texts, k), "jaccard-members")
+    del texts, one
     release(spark)
 
     # First in full by a few shared shingles, which finds nearly all links ...
-    probes = posted.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("token")), 1, PROBES).alias("probes")).select(F.explode("probes").alias("token"), "class")
+    tokens_of = posted.groupBy("class").agg(F.array_sort(F.collect_set("token")).alias("tokens")).join(maps.select("class", "n"), "class")
+    probes = tokens_of.select(F.explode(F.slice("tokens", 1, F.when(F.col("n") <= SHORT, PROBES).otherwise(1))).alias("token"), "class")
     full = _blocks(probes.join(sets, "class"), num, den)
     edges = materialise(_in_blocks(full.select(*BLOCK, "class", "n", "members", "bits"), _block, num, den), "jaccard-links")
+    del full
+    release(spark)
     parts = components(edges)
 
     # ... then by bitmaps over all shared shingles, for pairs that are not yet joined.

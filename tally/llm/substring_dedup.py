@@ -26,7 +26,7 @@ from tally.llm.common import discard, id_key, materialise, release
 
 ROUNDS = 3
 #: Words handled at once, about: bounds the arrays of a task.
-BATCH_WORDS = 250_000
+BATCH_WORDS = 120_000
 #: Odd multipliers of the hashes.
 MIX_1, MIX_2, STEP_1, STEP_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -56,7 +56,7 @@ class Words(dict):
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first hashes, second hashes, text number) of the words of all texts, one after the other."""
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.__init__()
             self.clear()
         of = np.array([self[w] for t in texts for w in t], np.int64)
