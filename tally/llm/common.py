@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut of
-    the lineage that survives the loss of executors."""
+    the lineage that survives the loss of executors. Filters on ``by`` then read only their own files."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +50,9 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     root = shared_dir(spark)
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if spark.sparkContext.applicationId in path.toString() and root.split("://")[-1] in path.toString():
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if spark.sparkContext.applicationId in folder and root.split("://")[-1] in folder:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from tally.llm.common import discard, id_key, materialise, release
 
 ROUNDS = 3
+#: Parts of the windows, by their hashes, that are dealt out one after the other:
+#: only one part's shuffle files are on disk at a time.
+PASSES = 4
 #: Words handled at once, about: bounds the arrays of a task.
 BATCH_WORDS = 120_000
 #: Odd multipliers of the hashes.
@@ -192,7 +195,7 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(shared: DataFrame, width: int) -> DataFrame:
-    """(id, row_key, p, a, b): start and contents of the windows around the shared picks."""
+    """(id, row_key, p, a, b, part): start and contents (by 96 bits of hashes) of the windows around the shared picks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -214,16 +217,17 @@ def _windows(shared: DataFrame, width: int) -> DataFrame:
                 s2, b2 = prefix_hashes(g, STEP_2)
                 first_word = np.searchsorted(text, np.arange(len(texts)))
                 take = pa.array(at + of_window)
+                a = range_hashes(s1, b1, start, start + width)
+                b = range_hashes(s2, b2, start, start + width) >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take), rows.take(take), pa.array((start - first_word[of_window]).astype(np.int32)),
-                        pa.array(range_hashes(s1, b1, start, start + width).view(np.int64)),
-                        pa.array(range_hashes(s2, b2, start, start + width).view(np.int64)),
+                        pa.array(a.view(np.int64)), pa.array(b.astype(np.uint32).view(np.int32)), pa.array((a % np.uint64(PASSES)).astype(np.int32)),
                     ],
-                    names=["id", "row_key", "p", "a", "b"],
+                    names=["id", "row_key", "p", "a", "b", "part"],
                 )
 
-    return shared.select("id", "row_key", "text", "picked").mapInArrow(run, "id long, row_key long, p int, a long, b long")
+    return shared.select("id", "row_key", "text", "picked").mapInArrow(run, "id long, row_key long, p int, a long, b int, part int")
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
@@ -249,8 +253,8 @@ def _removed(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _shared_picks(wide: DataFrame) -> DataFrame:
-    picks = wide.select("id", F.explode("picks").alias("key"))
-    return materialise(picks.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "substring-keys")
+    picks = wide.select("row", F.explode("picks").alias("key"))
+    return materialise(picks.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key"), "substring-keys")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False) -> DataFrame:
@@ -265,7 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    wide = materialise(_first_pass(d, width), "substring-picks")
+    wide = materialise(_first_pass(d, width).withColumn("row", F.monotonically_increasing_id()), "substring-picks")
     row = ["id", "row_key"]
     seen = materialise(wide.drop("picks"), "substring-texts")
 
@@ -273,23 +277,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = seen.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
     twins = materialise(seen.where(F.col("n_words") >= width).select(*row, "content").join(groups, "content").where("id > first").select(*row).distinct(), "substring-twins")
 
-    # Picks that at least two documents share, and the documents that hold them.
+    # Picks that at least two rows share, and the rows that hold them.
     keys = _shared_picks(wide)
     release(spark)
-    holders = materialise(wide.select(*row, F.posexplode("picks").alias("n", "key")).join(keys, "key").groupBy(*row).agg(F.collect_set("n").alias("picked")), "substring-holders")
+    holders = wide.select("row", F.posexplode("picks").alias("n", "key")).join(keys, "key").groupBy("row").agg(F.collect_set("n").alias("picked"))
+    holders = materialise(holders, "substring-holders")
     discard(wide)
     release(spark)
-    shared = materialise(d.select(*row, "text").join(holders.join(twins, row, "left_anti"), row), "substring-shared")
+    wanted = holders.join(seen.select("row", *row), "row").drop("row").dropDuplicates(row).join(twins, row, "left_anti")
+    shared = materialise(d.select(*row, "text").join(wanted, row), "substring-shared")
+    discard(keys)
+    discard(holders)
     release(spark)
 
     # The full contents decide: who else starts with the same window, and where first.
     # Twins are not looked at again, but the first of each group of them is here.
-    windows = materialise(_windows(shared, width), "substring-windows")
-    first = materialise(windows.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo"), "substring-first")
-    release(spark)
-    starts = materialise(windows.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts")
+    windows = materialise(_windows(shared, width), "substring-windows", by="part")
+    found = []
+    for part in range(PASSES):
+        own = windows.where(F.col("part") == part).drop("part")
+        first = own.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+        first = materialise(first, "substring-first")
+        release(spark)
+        found.append(materialise(own.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
+        discard(first)
+        release(spark)
     discard(windows)
-    release(spark)
+    starts = found[0]
+    for more in found[1:]:
+        starts = starts.unionByName(more)
+    # A start's window is in one part only.
+    starts = starts.groupBy(*row).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     changed = _removed(shared.join(starts, row), width)
     if not with_text:
         changed = changed.drop("kept_text")
