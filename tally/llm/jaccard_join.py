@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise, release
 from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
-#: Least length of a token bitmap, in 64-bit words; larger sets get longer ones.
-LEAST_WORDS = 16
+#: Token bitmaps: (least length in 64-bit words, most shingles a bit); larger sets get longer ones.
+#: The rough ones, sent with each posting, tell who may have a partner; the fine ones who it may be.
+ROUGH, FINE = (4, 1.2), (16, 0.5)
+#: Rows of three numbers up to which the table of documents with a partner is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 LEAF = 32
 #: Shingles of one block that a task takes together, about; larger blocks are split.
 BLOCK_SHINGLES = 8_000_000
@@ -59,10 +62,10 @@ def prefix_of(key: np.ndarray, length: np.ndarray, num: int, den: int) -> np.nda
     return key[np.lexsort((key, -length))[:p]]
 
 
-def bitmap(key: np.ndarray) -> np.ndarray:
-    """A set's token bitmap: a power of two of bits, at least twice as many as the set has shingles."""
-    words = LEAST_WORDS
-    while words * 64 < 2 * len(key):
+def bitmap(key: np.ndarray, size: tuple[int, float] = FINE) -> np.ndarray:
+    """A set's token bitmap: a power of two of bits, as many as the set's size and ``size`` ask for."""
+    words, load = size
+    while words * 64 * load < len(key):
         words *= 2
     bits = np.zeros(words * 64, np.uint8)
     bits[(key >> np.uint64(20)).astype(np.int64) % (words * 64)] = 1
@@ -213,7 +216,7 @@ def _first_pass(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     [
                         own, ids, rows, pa.array([len(s[0]) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s[0].tobytes()) if len(s[0]) else None for s in sets], pa.binary()),
-                        pa.array([bitmap(s[0]).tobytes() for s in sets], pa.binary()),
+                        pa.array([bitmap(s[0], ROUGH).tobytes() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))),
                     ],
                     names=["own_id", "id", "row_key", "n", "content", "bits", "prefix"],
@@ -410,11 +413,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = materialise(flagged.select(F.col("x").alias("class")).distinct(), "jaccard-near")
     release(spark)
     posted = materialise(posted.join(near, "class", "left_semi"), "jaccard-posted")
-    maps = materialise(maps.join(near, "class", "left_semi"), "jaccard-bitmaps")
-    texts = d.select("id", "row_key", "text").join(maps.select("class", "id", "row_key"), ["id", "row_key"])
+    own = materialise(maps.join(near, "class", "left_semi").select("class", "id", "row_key"), "jaccard-owners")
+    discard(maps)
+    # Few documents have a possible partner: a table of checked size meets the texts where they are read.
+    texts = d.select("id", "row_key", "text").join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, ["id", "row_key"])
     # A repeated row brings its class twice, which links nothing new.
     sets = materialise(_sets(texts, k), "jaccard-members")
-    del texts, one
+    maps = sets.select("class", "n", "bits").dropDuplicates(["class"])
+    del texts, one, flagged
     release(spark)
 
     # First in full by a few shared shingles, which finds nearly all links ...
