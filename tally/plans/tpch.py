@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LEDGER = """
 SELECT concat('A-', lpad(CAST(o_orderkey AS STRING), 10, '0')) AS id,
@@ -39,6 +40,11 @@ def in_window(sql: str, window: tuple[str, str] = WINDOW) -> str:
     return f"SELECT * FROM ({sql}) w WHERE value_date BETWEEN DATE '{window[0]}' AND DATE '{window[1]}'"
 
 
+def by_month(side: DataFrame) -> DataFrame:
+    """``side`` with run_id: each calendar month of value dates is a run, its window the whole month."""
+    return side.withColumn("run_id", F.concat(F.lit("run-"), F.date_format("value_date", "yyyy-MM")))
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables of ``sf_dir`` that it names."""
     for name in ("orders", "events", "customer", "nation"):
@@ -49,3 +55,8 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def sides(spark: SparkSession, sf_dir: str, window: tuple[str, str] = WINDOW) -> tuple[DataFrame, DataFrame]:
     return frame(spark, sf_dir, in_window(LEDGER, window)), frame(spark, sf_dir, in_window(BANK, window))
+
+
+def all_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every row of both sides, with its run."""
+    return by_month(frame(spark, sf_dir, LEDGER)), by_month(frame(spark, sf_dir, BANK))
