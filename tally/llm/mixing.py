@@ -1,7 +1,8 @@
 """Mixing to target weights with soft domain membership, DataFrame functions only.
 
 A naive Bayes classifier fitted on the labelled table gives each document a
-posterior over domains. Projected-gradient least squares then finds
+posterior over domains; the words that tell a domain are chosen in each
+language by itself. Projected-gradient least squares then finds
 nonnegative document rates whose expected token totals per domain match the
 targets: rates start at 1, each step moves them against the gradient and sets
 negative ones to 0. Only the domains' totals (a few numbers) reach the driver
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import ASCII_SPACE_CLASS, ascii_lower, ascii_words, id_key, materialise
@@ -21,6 +22,10 @@ from tally.llm.common import ASCII_SPACE_CLASS, ascii_lower, ascii_words, id_key
 DOMAINS = ["clean", "low", "toxic"]
 #: Shares of the expected tokens that the mix should have.
 TARGETS = {"clean": 0.89, "low": 0.05, "toxic": 0.06}
+#: Labelled rows of a domain from which on a language has telling words of its own.
+LANG_ROWS = 10
+#: Labelled rows of a domain that must hold a word before it can tell that domain.
+WORD_ROWS = 3
 
 
 def domain_label(quality: Column, toxic: Column) -> Column:
@@ -28,8 +33,12 @@ def domain_label(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _features(words: Column, body: Column, n: Column, lexicon: dict[str, list[str]]) -> Column:
-    """The categories of a text: binned statistics and the number of telling words of each domain it holds."""
+def _features(words: Column, body: Column, n: Column, lang: Column, lexicon: dict[str, list[str]], by_lang: dict[str, dict[str, list[str]]]) -> Column:
+    """The categories of a text: binned statistics and the number of telling words of each domain it holds.
+
+    Telling words are those of the text's language, or of all languages
+    together where the labelled rows of its language are too few.
+    """
     per_word = lambda c: F.least(F.floor(F.log2(1 + c / F.greatest(n, F.lit(1)) * 8) * 2), F.lit(20)).cast("int")
     parts = {
         "symbols": per_word(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))),
@@ -37,50 +46,80 @@ def _features(words: Column, body: Column, n: Column, lexicon: dict[str, list[st
         "marks": per_word(F.regexp_count(body, F.lit("[!?]"))),
         "unique": F.floor(8 * F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).cast("int"),
     }
+    # A language with words of its own also has weights of its own for them.
+    prefix = F.when(lang.isin(*sorted(by_lang)), F.concat(lang, F.lit(":"))).otherwise("") if by_lang else F.lit("")
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
     for domain, telling in lexicon.items():
-        if telling:
-            parts[domain] = F.least(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in telling]))), F.lit(4))
-    return F.array(*[F.concat(F.lit(f"{name}="), v) for name, v in parts.items()])
+        own = {code: found[domain] for code, found in sorted(by_lang.items())}
+        if telling or any(own.values()):
+            table = listed(telling)
+            if own:
+                # A constant map of bounded size.
+                table = F.coalesce(F.create_map(*[c for code, ws in own.items() for c in (F.lit(code), listed(ws))])[lang], table)
+            parts[domain] = F.least(F.size(F.array_intersect(words, table)), F.lit(4))
+    return F.array(*[F.concat(prefix if name in lexicon else F.lit(""), F.lit(f"{name}="), v) for name, v in parts.items()])
 
 
 def _words(text: str) -> Column:
     return ascii_words(ascii_lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^\\p{{L}}\\p{{N}}{ASCII_SPACE_CLASS}]+", "")))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, lexicon: int = 64) -> dict:
-    """Naive Bayes over categories of a text: {"lexicon": {domain: words}, "bias": [...], "weights": {category: [...]}}.
+def _lang(docs: DataFrame, lang_col: str) -> Column:
+    """The language of a row; a table without that column counts as one language."""
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, lexicon: int = 64, lang_col: str = "lang") -> dict:
+    """Naive Bayes over categories of a text: {"lexicon": {domain: words}, "by_lang": {lang: {domain: words}}, "bias": [...], "weights": {category: [...]}}.
 
     Fitted on at most about ``most_rows`` labelled rows, chosen by a hash of
-    their ids; ``lexicon`` bounds the telling words of each domain. Only this
-    bounded model reaches the driver.
+    their ids; ``lexicon`` bounds the telling words of each domain and
+    language. A language has words of its own from ``LANG_ROWS`` rows of the
+    first domain and of another on. Only this bounded model reaches the driver.
     """
     lab = labels.select(id_key(id_col).alias("id"), domain_label(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").groupBy("id").agg(F.max("domain").alias("domain"))
     total = lab.count()
     if total > most_rows:
         lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(lab, "id")
-    rows = materialise(rows.select("domain", "body", _words("body").alias("words")), "mix-labelled")
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    n = [sizes.get(d, 0) for d in DOMAINS]
-    share = {d: (F.col(d) + 0.5) / (size + 1.0) for d, size in zip(DOMAINS, n)}
+    rows = docs.select(id_key(id_col).alias("id"), _lang(docs, lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(lab, "id")
+    rows = materialise(rows.select("lang", "domain", "body", _words("body").alias("words")), "mix-labelled")
     per_domain = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
+    first = DOMAINS[0]
+    sizes = rows.groupBy("lang").agg(*per_domain)
+    whole = sizes.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS])
+    n = list(whole.first())
+    enough = (F.col(first) >= LANG_ROWS) & (F.greatest(*DOMAINS[1:]) >= LANG_ROWS)
 
     # Telling words of a domain are far more common in it than in the first one.
-    seen = rows.select("domain", F.explode(F.array_distinct("words")).alias("f")).groupBy("f").agg(*per_domain)
-    telling: dict[str, list[str]] = {}
-    first = DOMAINS[0]
-    for d in DOMAINS[1:]:
+    seen = materialise(rows.select("lang", "domain", F.explode(F.array_distinct("words")).alias("f")).groupBy("lang", "f").agg(*per_domain), "mix-words")
+    named = lambda df, own: df.select(*own, *[F.col(d).alias(f"n_{d}") for d in DOMAINS])
+    # One row, and at most a row for each LANG_ROWS labelled ones.
+    pooled = seen.groupBy("f").agg(*[F.sum(d).alias(d) for d in DOMAINS]).withColumn("lang", F.lit("")).crossJoin(F.broadcast(named(whole, [])))
+    single = seen.join(F.broadcast(named(sizes.where(enough), ["lang"])), "lang")
+    share = {d: (F.col(d) + 0.5) / (F.col(f"n_{d}") + 1.0) for d in DOMAINS}
+
+    def tells(counted: DataFrame, d: str) -> dict[str, list[str]]:
         gain = F.round(share[d] * F.log(share[d] / share[first]), 9)
-        best = seen.where((share[d] >= 0.05) & (share[d] >= 8 * share[first])).orderBy(F.desc(gain), "f").limit(lexicon)
-        telling[d] = sorted(r["f"] for r in best.select("f").collect())
-
-    marked = rows.select("domain", F.explode(_features(F.col("words"), F.col("body"), F.size("words"), telling)).alias("f"))
+        kept = counted.where((F.col(d) >= WORD_ROWS) & (share[d] >= 0.05) & (share[d] >= 8 * share[first]))
+        best = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(gain), "f"))).where(F.col("k") <= lexicon)
+        found: dict[str, list[str]] = {}
+        for r in best.orderBy("lang", "f").select("lang", "f").collect():
+            found.setdefault(r["lang"], []).append(r["f"])
+        return found
+
+    telling = {d: tells(pooled, d).get("", []) for d in DOMAINS[1:]}
+    own = {d: tells(single, d) for d in DOMAINS[1:]}
+    by_lang = {r["lang"]: {d: own[d].get(r["lang"], []) for d in own} for r in sizes.where(enough).select("lang").collect()}
+
+    # Each row counts in its own language's weights and in those of all languages together.
+    marks = [_features(F.col("words"), F.col("body"), F.size("words"), F.col("lang"), telling, found) for found in (by_lang, {})]
+    marked = rows.select("domain", F.explode(F.array_union(*marks)).alias("f"))
     weights = {r["f"]: [log((r[d] + 0.5) / (size + 1.0)) for d, size in zip(DOMAINS, n)] for r in marked.groupBy("f").agg(*per_domain).collect()}
     bias = [log((size + 1) / (sum(n) + len(DOMAINS))) for size in n]
-    return {"lexicon": telling, "bias": bias, "weights": weights}
+    return {"lexicon": telling, "by_lang": by_lang, "bias": bias, "weights": weights}
 
 
-def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(own_id, id, row_key, n_tokens, p) per row; tokens are words, p the posterior over the domains.
 
     A category that the labelled rows do not show counts as equally likely in all domains.
@@ -88,10 +127,10 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     k = len(DOMAINS)
     pairs = [c for f, w in sorted(model["weights"].items()) for c in (F.lit(f), F.array(*[F.lit(float(x)) for x in w]))]
     table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * k))
-    df = docs.select(F.col(id_col).alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    df = docs.select(F.col(id_col).alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), _lang(docs, lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     df = df.withColumn("words", _words("body")).withColumn("n", F.size("words"))
     own = ["own_id", "id", "row_key", "n_tokens"]
-    df = df.select("own_id", "id", "row_key", F.col("n").cast("long").alias("n_tokens"), _features(F.col("words"), F.col("body"), F.col("n"), model["lexicon"]).alias("f"))
+    df = df.select("own_id", "id", "row_key", F.col("n").cast("long").alias("n_tokens"), _features(F.col("words"), F.col("body"), F.col("n"), F.col("lang"), model["lexicon"], model["by_lang"]).alias("f"))
     # A few look-ups in a constant map of bounded size.
     df = df.select(*own, F.filter(F.transform("f", lambda f: table[f]), lambda w: w.isNotNull()).alias("w"))
 
