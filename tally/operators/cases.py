@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,37 +30,67 @@ def replay(events: DataFrame) -> DataFrame:
 
     Events (case_id, seq, kind, actor_id, role, assignee_id) are applied in
     the order of seq; one that its state does not allow is refused and changes
-    nothing. A case's log is short, so it is folded as one array.
+    nothing. A case's events stream by in order: a task holds the state of one
+    case, not its log.
     """
-    state = F.struct(
-        F.lit("open").alias("status"), F.lit(None).cast("string").alias("assignee_id"), F.lit(None).cast("string").alias("requester_id"),
-        F.lit(0).alias("applied"), F.lit(0).alias("refused"), F.lit(None).cast("int").alias("first_refused"), F.lit(None).cast("string").alias("reason"),
-    )
-
-    def step(s: Column, e: Column) -> Column:
-        status, kind = s["status"], e["kind"]
-        problem = (
-            F.when((kind == "approval_requested") & ~status.isin("open", "investigating"), "not_requestable")
-            .when(kind.isin("approved", "rejected") & (status != "pending_approval"), "not_pending")
-            .when((kind == "approved") & ~F.coalesce(may(e["role"], "approve"), F.lit(False)), "role")
-            .when((kind == "approved") & s["requester_id"].isNull(), "no_request")
-            .when((kind == "approved") & (s["requester_id"] == e["actor_id"]), "maker")
-        )
-        fine = problem.isNull()
-        starts = (kind == "assignment") & (status == "open")
-        after = F.when(starts | (kind == "rejected"), "investigating").when(kind == "approval_requested", "pending_approval").when(kind == "approved", "resolved").otherwise(status)
-        return F.struct(
-            F.when(fine, after).otherwise(status).alias("status"),
-            F.when(starts, e["assignee_id"]).otherwise(s["assignee_id"]).alias("assignee_id"),
-            F.when(fine & (kind == "approval_requested"), e["actor_id"]).otherwise(s["requester_id"]).alias("requester_id"),
-            (s["applied"] + fine.cast("int")).alias("applied"),
-            (s["refused"] + (~fine).cast("int")).alias("refused"),
-            F.coalesce(s["first_refused"], F.when(~fine, e["seq"])).alias("first_refused"),
-            F.coalesce(s["reason"], problem).alias("reason"),
-        )
-
-    log = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "kind", "actor_id", "role", "assignee_id"))).alias("log"))
-    return log.select("case_id", F.aggregate("log", state, step).alias("s")).select("case_id", "s.*")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        case, s = _NONE, {}
+        for batch in batches:
+            out = []
+            for case_id, seq, *event in batch.itertuples(index=False, name=None):
+                case_id = None if pd.isna(case_id) else case_id
+                if case is _NONE or case_id != case:
+                    if case is not _NONE:
+                        out.append((case, *s.values()))
+                    case, s = case_id, {"status": "open", "assignee_id": None, "requester_id": None, "applied": 0, "refused": 0, "first_refused": None, "reason": None}
+                _apply(s, None if pd.isna(seq) else int(seq), *(None if pd.isna(x) else x for x in event))
+            yield _states(out)
+        if case is not _NONE:
+            yield _states([(case, *s.values())])
+
+    case_type = events.schema["case_id"].dataType.simpleString()
+    rows = events.select("case_id", F.col("seq").cast("int").alias("seq"), "kind", "actor_id", "role", "assignee_id")
+    rows = rows.repartition("case_id").sortWithinPartitions(*rows.columns)
+    schema = f"case_id {case_type}, status string, assignee_id string, requester_id string, applied int, refused int, first_refused int, reason string"
+    return rows.mapInPandas(fold, schema)
+
+
+#: Stands for no case, as a case id may be null.
+_NONE = object()
+
+
+def _states(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["case_id", "status", "assignee_id", "requester_id", "applied", "refused", "first_refused", "reason"], dtype=object)
+
+
+def _apply(s: dict, seq: int | None, kind: str | None, actor_id: str | None, role: str | None, assignee_id: str | None) -> None:
+    """Applies one event to a case's state, or counts it as refused."""
+    status, problem = s["status"], None
+    if kind == "approval_requested" and status not in ("open", "investigating"):
+        problem = "not_requestable"
+    elif kind in ("approved", "rejected") and status != "pending_approval":
+        problem = "not_pending"
+    elif kind == "approved" and role not in APPROVERS:
+        problem = "role"
+    elif kind == "approved" and s["requester_id"] is None:
+        problem = "no_request"
+    elif kind == "approved" and s["requester_id"] == actor_id:
+        problem = "maker"
+    if problem:
+        s["refused"] += 1
+        s["first_refused"] = seq if s["first_refused"] is None else s["first_refused"]
+        s["reason"] = s["reason"] or problem
+        return
+    s["applied"] += 1
+    if kind == "assignment" and status == "open":
+        s["status"], s["assignee_id"] = "investigating", assignee_id
+    elif kind == "rejected":
+        s["status"] = "investigating"
+    elif kind == "approval_requested":
+        s["status"], s["requester_id"] = "pending_approval", actor_id
+    elif kind == "approved":
+        s["status"] = "resolved"
 
 
 def assign(breaks: DataFrame, assignments: DataFrame, memberships: DataFrame) -> DataFrame:
