@@ -37,41 +37,53 @@ MEMBERSHIPS = """
 SELECT concat('user-', CAST(c_custkey AS STRING)) AS user_id, concat('tenant-', CAST(c_custkey % 2 AS STRING)) AS tenant_id,
   CASE c_custkey % 3 WHEN 0 THEN 'operator' WHEN 1 THEN 'approver' ELSE 'admin' END AS role FROM customer WHERE c_custkey < 5"""
 
-_as_of = lambda: F.lit(AS_OF).cast("timestamp")
-
+#: The tables of the queries named ..._all: a row for every order or customer. The SQL of the others keeps some ids only.
+ALL = {
+    BREAKS: BREAKS.replace(" WHERE k % 7 < 2", "").replace("k % 6 AS STRING", "k % 1009 AS STRING"),
+    RUNS: RUNS.replace(" WHERE k % 11 = 0", ""),
+    USERS: USERS.replace(" WHERE c_custkey < 5", ""),
+    MEMBERSHIPS: MEMBERSHIPS.replace(" WHERE c_custkey < 5", ""),
+}
 
-def _breaks(spark, sf_dir):
-    return frame(spark, sf_dir, BREAKS)
+_as_of = lambda: F.lit(AS_OF).cast("timestamp")
 
 
-def _by_type(spark, sf_dir):
-    return listing.share_of_max(listing.breaks_by_type(_breaks(spark, sf_dir), TENANT))
+def _by_type(breaks):
+    return listing.share_of_max(listing.breaks_by_type(breaks, TENANT))
 
 
-def _enriched(spark, sf_dir):
-    b = _breaks(spark, sf_dir).where(F.col("tenant_id") == TENANT).withColumn("txn_ids", F.array("txn_id"))
-    return listing.enrich_breaks(b, frame(spark, sf_dir, LEDGER), frame(spark, sf_dir, USERS)).select("id", "first_txn", "first_ref", "assignee")
+def _enriched(spark, sf_dir, breaks, users):
+    b = breaks.where(F.col("tenant_id") == TENANT).withColumn("txn_ids", F.array("txn_id"))
+    return listing.enrich_breaks(b, frame(spark, sf_dir, LEDGER), users).select("id", "first_txn", "first_ref", "assignee")
 
 
-def _detail(spark, sf_dir):
-    b = _breaks(spark, sf_dir).select("id", F.array("txn_id", F.concat(F.lit("B"), F.substring("txn_id", 2, 99)), F.lit("A-0000000001")).alias("txn_ids"))
+def _detail(spark, sf_dir, breaks):
+    b = breaks.select("id", F.array("txn_id", F.concat(F.lit("B"), F.substring("txn_id", 2, 99)), F.lit("A-0000000001")).alias("txn_ids"))
     d = listing.run_detail(b, frame(spark, sf_dir, LEDGER))
     return d.select("id", F.concat_ws(",", F.transform("txns", lambda t: F.coalesce(t["external_ref"], F.lit("?")))).alias("refs"), F.aggregate("txns", F.lit(0).cast("bigint"), lambda a, t: a + F.coalesce(t["amount_minor"], F.lit(0))).alias("total_minor"))
 
 
-QUERIES = {
-    "dashboard_kpis": lambda s, d: listing.dashboard(frame(s, d, RUNS), _breaks(s, d), TENANT, _as_of()),
-    "breaks_by_type": _by_type,
-    "breaks_by_ageing": lambda s, d: listing.breaks_by_ageing(_breaks(s, d), TENANT, _as_of()),
-    "list_runs": lambda s, d: listing.list_runs(frame(s, d, RUNS), TENANT, status="completed", source_id="bank", started_from=F.lit("1996-01-01").cast("timestamp"), search=" ORD-1 ").select("id", "name", "started_at"),
-    "list_breaks": lambda s, d: listing.list_breaks(_breaks(s, d), TENANT, _as_of(), status="open", bucket="8-30d").select("id", "type", "ageing_days", "ageing_bucket", "value_minor"),
-    "unassigned_breaks": lambda s, d: listing.list_breaks(_breaks(s, d), TENANT, _as_of(), unassigned=True).select("id", "status", "ageing_bucket"),
-    "recent_runs": lambda s, d: listing.recent_runs(frame(s, d, RUNS), TENANT).select("id", "name", "started_at", "match_rate_pct"),
-    "source_counts": lambda s, d: listing.source_counts(frame(s, d, SOURCES), frame(s, d, BY_SOURCE), TENANT),
-    "break_enrichment": _enriched,
-    "run_detail": _detail,
-    "member_list": lambda s, d: listing.members(frame(s, d, USERS), frame(s, d, MEMBERSHIPS), TENANT),
-}
+def _queries(tables: dict[str, str]) -> dict:
+    breaks, runs, users, memberships = (lambda s, d, sql=tables.get(t, t): frame(s, d, sql) for t in (BREAKS, RUNS, USERS, MEMBERSHIPS))
+    return {
+        "dashboard_kpis": lambda s, d: listing.dashboard(runs(s, d), breaks(s, d), TENANT, _as_of()),
+        "breaks_by_type": lambda s, d: _by_type(breaks(s, d)),
+        "breaks_by_ageing": lambda s, d: listing.breaks_by_ageing(breaks(s, d), TENANT, _as_of()),
+        "list_runs": lambda s, d: listing.list_runs(runs(s, d), TENANT, status="completed", source_id="bank", started_from=F.lit("1996-01-01").cast("timestamp"), search=" ORD-1 ").select("id", "name", "started_at"),
+        "list_breaks": lambda s, d: listing.list_breaks(breaks(s, d), TENANT, _as_of(), status="open", bucket="8-30d").select("id", "type", "ageing_days", "ageing_bucket", "value_minor"),
+        "unassigned_breaks": lambda s, d: listing.list_breaks(breaks(s, d), TENANT, _as_of(), unassigned=True).select("id", "status", "ageing_bucket"),
+        "recent_runs": lambda s, d: listing.recent_runs(runs(s, d), TENANT).select("id", "name", "started_at", "match_rate_pct"),
+        "source_counts": lambda s, d: listing.source_counts(frame(s, d, SOURCES), frame(s, d, BY_SOURCE), TENANT),
+        "break_enrichment": lambda s, d: _enriched(s, d, breaks(s, d), users(s, d)),
+        "run_detail": lambda s, d: _detail(s, d, breaks(s, d)),
+        "member_list": lambda s, d: listing.members(users(s, d), memberships(s, d), TENANT),
+    }
+
+
+#: Those whose tables keep some ids only in QUERIES.
+_CUT = ("dashboard_kpis", "breaks_by_type", "breaks_by_ageing", "list_runs", "list_breaks", "unassigned_breaks", "recent_runs", "break_enrichment", "run_detail", "member_list")
+QUERIES = _queries({})
+QUERIES |= {f"{name}_all": query for name, query in _queries(ALL).items() if name in _CUT}
 
 _OPEN = "status IN ('open', 'investigating', 'pending_approval')"
 _AGED = f"""SELECT *, CASE WHEN ageing_days <= 1 THEN '0-1d' WHEN ageing_days <= 7 THEN '2-7d' WHEN ageing_days <= 30 THEN '8-30d' ELSE '30d+' END AS ageing_bucket
@@ -105,3 +117,12 @@ FROM ({BREAKS}) b LEFT JOIN ({LEDGER}) l ON l.id = b.txn_id LEFT JOIN ({USERS})
 FROM ({BREAKS}) b JOIN ({LEDGER}) l ON l.id = b.txn_id""",
     "member_list": f"SELECT u.id, u.name, m.role FROM ({MEMBERSHIPS}) m JOIN ({USERS}) u ON u.id = m.user_id WHERE m.tenant_id = '{TENANT}'",
 }
+
+
+def _whole(sql: str) -> str:
+    for part, every in ALL.items():
+        sql = sql.replace(part, every)
+    return sql
+
+
+ORACLES |= {f"{name}_all": _whole(ORACLES[name]) for name in _CUT}
