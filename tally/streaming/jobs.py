@@ -67,13 +67,14 @@ def token_bucket(requests: DataFrame, capacity: float = 10, refill: float = 10 /
 
 
 def token_bucket_batch(requests: DataFrame, capacity: float = 10, refill: float = 10 / 60) -> DataFrame:
-    """The same for a finished table, streamed through each task in key and time order."""
+    """The same for a finished table, streamed through each task in key and time order. A null key has a bucket too."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tokens, last = None, capacity, None
+        key, tokens, last = object(), capacity, None
         for b in batches:
             out = []
-            for k, part in b.groupby("key", sort=False):
+            for k, part in b.groupby("key", sort=False, dropna=False):
+                k = None if pd.isna(k) else k
                 if k != key:
                     key, tokens, last = k, capacity, None
                 allowed, tokens, last = _bucket(part, tokens, last, capacity, refill)
