@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
+from tally.llm.common import materialise
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -34,8 +35,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer(BPE_JSON), with_prefixes=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    # The counts of all prefixes are kept as a table; the digest columns are read from it.
+    counts = materialise(token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer(BPE_JSON), budget=1024), "prefix-counts")
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "bytes_in_budget")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

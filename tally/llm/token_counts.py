@@ -9,6 +9,7 @@ budget questions are then answered from the stored counts.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from operator import sub
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from tally.llm.word_chunks import PIECES, PLAIN, WORD, PartCache, byte_characters
 
 _loaded: dict = {}
+#: The stored form of a change of the count.
+STEP = np.dtype(np.int16)
 #: The characters with Unicode's White_Space property.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -32,7 +35,9 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        # Where several special strings start at one place, the longest counts.
+        special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         with open(file, encoding="utf-8") as f:
             model = json.load(f)["model"]
         shown = {c: b for b, c in enumerate(byte_characters())}
@@ -165,36 +170,38 @@ class PrefixCounter:
         self.total = base
         return out
 
-    def counts(self, text: str) -> tuple[list[int], int]:
-        """Counts after each byte of a whole text, and the count of the whole."""
-        found = [(text.find(x), -len(x), x) for x in self.special if x in text]
-        if not found:
-            out = self.plain(text)
-            return out, self.total
-        at, _, special = min(found)
-        before = text[:at]
-        head = self.plain(before)
-        n = self.total
-        # Inside the special string a prefix is ordinary text; at its end it is one token.
-        inside = self.plain(before + special[:-1])[len(head) :]
-        tail, m = self.counts(text[at + len(special) :])
-        return head + inside + [n + 1] + [n + 1 + c for c in tail], n + 1 + m
+    def counts(self, text: str) -> list[int]:
+        """Counts after each byte of a whole text."""
+        out: list[int] = []
+        at = base = 0
+        for m in self.special.finditer(text):
+            before = text[at : m.start()]
+            head = self.plain(before)
+            after = base + self.total + 1
+            # Inside the special string a prefix is ordinary text; at its end it is one token.
+            inside = self.plain(before + m[0][:-1])[len(head) :]
+            out += [base + c for c in head]
+            out += [base + c for c in inside]
+            out.append(after)
+            base, at = after, m.end()
+        return out + [base + c for c in self.plain(text[at:])]
 
     def part(self, text: str) -> bytes:
-        """The change of the count at each byte, as int8, of a part between two cuts; they add up to its count."""
-        if WORD(text) and not any(x in text for x in self.special):
+        """The change of the count at each byte of a part between two cuts; they add up to its count."""
+        if WORD(text) and not self.special.search(text):
             return b"".join([self._steps(p) for p in PIECES(text)])
-        return _changes(self.counts(text)[0])
+        return _changes(self.counts(text))
 
     def document(self, text: str | None) -> tuple[bytes, int]:
         """(changes of the count at each byte, count) of a whole text; null counts as empty."""
         changes = self.cache.document(text or "")
-        return changes, int(np.frombuffer(changes, np.int8).sum(dtype=np.int64))
+        return changes, int(np.frombuffer(changes, STEP).sum(dtype=np.int64))
 
 
 def _changes(counts: list[int]) -> bytes:
-    """Differences of the counts, starting from 0, as int8; ValueError if one does not fit."""
-    return array("b", map(sub, counts, [0, *counts])).tobytes() if counts else b""
+    """Differences of the counts, starting from 0. A byte changes the count by less than the
+    bytes of the longest token, which 16 bits hold by far."""
+    return array("h", map(sub, counts, [0, *counts])).tobytes() if counts else b""
 
 
 def counter(file: str) -> PrefixCounter:
@@ -205,7 +212,7 @@ def counter(file: str) -> PrefixCounter:
 
 def prefix_counts(changes: bytes) -> np.ndarray:
     """Token counts after 0, 1, 2, ... bytes from the stored changes."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(changes, np.int8), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(np.frombuffer(changes, STEP), dtype=np.int64)])
 
 
 def tokens_at(changes: bytes, n_bytes: int) -> int:
@@ -221,27 +228,32 @@ def longest_within(changes: bytes, text: str, budget: int) -> int:
     return int(np.flatnonzero(ok)[-1]) if ok.any() else 0
 
 
-def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", with_prefixes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens[, prefix_changes]) per row.
+def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", budget: int = 1024) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, bytes_in_budget, prefix_changes) per row.
 
     ``prefix_changes`` holds for each UTF-8 byte the change of the token count
     when the text is cut behind it (see :func:`tokens_at` and
-    :func:`longest_within`). Null text counts as empty: no bytes, no tokens.
-    Special strings in a text count as their special token. Rows are
-    independent; other columns are not read.
+    :func:`longest_within`); ``bytes_in_budget`` is read off it: the bytes of
+    the longest prefix of at most ``budget`` tokens. Null text counts as empty:
+    no bytes, no tokens. Special strings in a text count as their special
+    token. A very long text takes time and memory in proportion to its length.
+    Rows are independent: a null or repeated id gives a row like any other,
+    an empty table an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(file)
         for b in batches:
-            done = [count.document(t.as_py()) for t in b.column(1)]
-            cols = [b.column(0), pa.array([len(x[0]) for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())]
-            names = ["id", "n_bytes", "n_tokens"]
-            if with_prefixes:
-                cols.append(pa.array([x[0] for x in done], pa.large_binary()).cast(pa.binary()))
-                names.append("prefix_changes")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            texts = b.column(1).to_pylist()
+            done = [count.document(t) for t in texts]
+            within = [len(c) // STEP.itemsize if n <= budget else longest_within(c, t, budget) for t, (c, n) in zip(texts, done)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([len(x[0]) // STEP.itemsize for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()),
+                    pa.array(within, pa.int64()), pa.array([x[0] for x in done], pa.large_binary()).cast(pa.binary()),
+                ],
+                names=["id", "n_bytes", "n_tokens", "bytes_in_budget", "prefix_changes"],
+            )
 
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_bytes long, n_tokens long" + ", prefix_changes binary" * with_prefixes
-    return pair.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return pair.mapInArrow(run, "id long, n_bytes long, n_tokens long, bytes_in_budget long, prefix_changes binary").withColumnRenamed("id", id_col)

@@ -93,6 +93,20 @@ def test_token_counts_at_every_prefix(spark, pairs):
             assert [counts[len(t[:k].encode())] for k in range(len(t) + 1)] == [n(t[:k]) for k in range(len(t) + 1)]
             cut = token_counts.longest_within(bytes(got[i].prefix_changes), t, 5)
             assert n(t.encode()[:cut].decode()) <= 5
+        whole, cut = t.encode(), got[i].bytes_in_budget
+        assert n(whole[:cut].decode()) <= 1024 and (cut == len(whole) or n(t[: len(whole[:cut].decode()) + 1]) > 1024)
+
+
+def test_token_counts_of_special_strings_null_ids_and_empty_tables(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    many = "<|endoftext|>" * 100_000
+    rows = [(1, many), (None, "a<|endoftext|> b<|endoftext|>"), (None, "x"), (2, "dup"), (2, "dup"), (3, " " * 3000 + "-" * 3000)]
+    got = token_counts.token_counts(table(spark, rows), JSON).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(tok.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    assert next(r for r in got if r.doc_id == 1).bytes_in_budget == 1024 * 13
+    assert token_counts.token_counts(table(spark, []), JSON).count() == 0
 
 
 def test_exact_dedup(spark, pairs):
