@@ -1,31 +1,40 @@
 """Mixing to target weights with soft domain membership, DataFrame functions only.
 
-A naive Bayes classifier fitted on the labelled table gives each document a
-posterior over domains; the words that tell a domain are chosen in each
-language by itself. Projected-gradient least squares then finds
-nonnegative document rates whose expected token totals per domain match the
-targets: rates start at 1, each step moves them against the gradient and sets
-negative ones to 0. Only the domains' totals (a few numbers) reach the driver
-in each step; rates follow from them and the posteriors, row by row.
+A classifier fitted on the labelled table gives each document a posterior over
+domains. Its first layer weighs every hashed word and word ending by how far
+the labelled rows of a domain hold it more often than those of the first one;
+its second layer is a logistic regression, fitted by Newton steps, on the sums
+of these weights and a few statistics. Projected-gradient least squares then
+finds nonnegative document rates whose expected token totals per domain match
+the targets: rates start at 1, each step moves them against the gradient and
+sets negative ones to 0. Only the domains' totals (a few numbers) reach the
+driver in each step; rates follow from them and the posteriors, row by row.
 """
 
 from __future__ import annotations
 
-from math import log
+import warnings
+from math import log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import ASCII_SPACE_CLASS, ascii_lower, ascii_words, id_key, materialise
+from tally.llm.common import ascii_words, id_key, materialise
 
 #: Domains told apart by the labelled table.
 DOMAINS = ["clean", "low", "toxic"]
 #: Shares of the expected tokens that the mix should have.
-TARGETS = {"clean": 0.89, "low": 0.05, "toxic": 0.06}
-#: Labelled rows of a domain from which on a language has telling words of its own.
-LANG_ROWS = 10
-#: Labelled rows of a domain that must hold a word before it can tell that domain.
-WORD_ROWS = 3
+TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+#: Hash values of words, and of word endings behind them in the same table.
+WORDS, ENDINGS = 1 << 16, 1 << 14
+#: Labelled rows that an unseen word counts for, and the standard errors by which a weighed word must differ between domains.
+PRIOR_ROWS, CERTAIN = 2.0, 3.75
+#: Fixed-point units: of a word's weight, and of the sums of the regression, which are exact and so alike in every run.
+WEIGHT_UNIT, SUM_UNIT = 256, 1_000_000
+#: Signs at the ends of a word that do not belong to it.
+MARKS = ".,;:!?\"'()"
+#: Steps whose pulls are replayed row by row before the rates are written out.
+REPLAYED = 6
 
 
 def domain_label(quality: Column, toxic: Column) -> Column:
@@ -33,115 +42,117 @@ def domain_label(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _features(words: Column, body: Column, n: Column, lang: Column, lexicon: dict[str, list[str]], by_lang: dict[str, dict[str, list[str]]]) -> Column:
-    """The categories of a text: binned statistics and the number of telling words of each domain it holds.
+def _hashed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with n (words), kinds (distinct words) and hashes (of its words and word endings, each once) of each ``body``."""
+    word = lambda w: F.xxhash64(F.trim(F.lower(w), F.lit(MARKS))).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    ending = lambda w: (F.xxhash64(F.lit("ending"), F.substring(w, -2, 2)).bitwiseAND(F.lit(ENDINGS - 1)) + WORDS).cast("int")
+    df = rows.select(*keep, ascii_words(F.col("body")).alias("words"))
+    df = df.select(*keep, F.size("words").alias("n"), F.array_distinct(F.transform("words", word)).alias("own"), F.array_distinct(F.transform("words", ending)).alias("ends"))
+    return df.select(*keep, "n", F.size("own").alias("kinds"), F.concat("own", "ends").alias("hashes"))
 
-    Telling words are those of the text's language, or of all languages
-    together where the labelled rows of its language are too few.
+
+def _vector(hashed: DataFrame, keep: list[str], weights: list[int]) -> DataFrame:
+    """``keep`` with n and x, the inputs of the regression.
+
+    The weights of the second and third domain share a number: 32 bits each.
     """
-    per_word = lambda c: F.least(F.floor(F.log2(1 + c / F.greatest(n, F.lit(1)) * 8) * 2), F.lit(20)).cast("int")
-    parts = {
-        "symbols": per_word(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))),
-        "capitals": per_word(F.regexp_count(body, F.lit("[A-Z]"))),
-        "marks": per_word(F.regexp_count(body, F.lit("[!?]"))),
-        "unique": F.floor(8 * F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).cast("int"),
-    }
-    # A language with words of its own also has weights of its own for them.
-    prefix = F.when(lang.isin(*sorted(by_lang)), F.concat(lang, F.lit(":"))).otherwise("") if by_lang else F.lit("")
-    listed = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
-    for domain, telling in lexicon.items():
-        own = {code: found[domain] for code, found in sorted(by_lang.items())}
-        if telling or any(own.values()):
-            table = listed(telling)
-            if own:
-                # A constant map of bounded size.
-                table = F.coalesce(F.create_map(*[c for code, ws in own.items() for c in (F.lit(code), listed(ws))])[lang], table)
-            parts[domain] = F.least(F.size(F.array_intersect(words, table)), F.lit(4))
-    return F.array(*[F.concat(prefix if name in lexicon else F.lit(""), F.lit(f"{name}="), v) for name, v in parts.items()])
-
-
-def _words(text: str) -> Column:
-    return ascii_words(ascii_lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^\\p{{L}}\\p{{N}}{ASCII_SPACE_CLASS}]+", "")))
-
-
-def _lang(docs: DataFrame, lang_col: str) -> Column:
-    """The language of a row; a table without that column counts as one language."""
-    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
-
-
-def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, lexicon: int = 64, lang_col: str = "lang") -> dict:
-    """Naive Bayes over categories of a text: {"lexicon": {domain: words}, "by_lang": {lang: {domain: words}}, "bias": [...], "weights": {category: [...]}}.
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded to a constant
+    df = hashed.select(*keep, "n", "kinds", F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a + F.get(table, h)).alias("sum"))
+    low = F.pmod(F.col("sum") + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    df = df.select(*keep, "n", "kinds", "sum", low.alias("low"))
+    df = df.select(*keep, "n", "kinds", (F.col("low") / WEIGHT_UNIT).alias("w1"), (F.shiftright(F.col("sum") - F.col("low"), 32) / WEIGHT_UNIT).alias("w2"))
+    damped = lambda w: F.signum(w) * F.log1p(F.abs(w))
+    words = F.greatest(F.col("n"), F.lit(1))
+    parts = [F.lit(1.0), damped(F.col("w2")), damped(F.col("w1")), F.col("kinds") / words, F.log1p(words) / 4, F.sqrt(F.greatest(-F.col("w1"), F.lit(0.0))) / 4]
+    return df.select(*keep, "n", F.array(*[F.round(x, 6) for x in parts]).alias("x"))
+
+
+#: Number of inputs of the regression, as _vector makes them.
+INPUTS = 6
+
+
+def _with_posterior(rows: DataFrame, beta: list[list[float]]) -> DataFrame:
+    """``rows`` with p0, p1, ...: the softmax over the first domain's score 0 and those of ``beta``.
+
+    The coefficients are constant arrays, so all of Newton's steps share their compiled code.
+    """
+    keep = rows.columns
+    score = lambda bs: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(b)) for b in bs]), lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
+    df = rows.select(*keep, F.lit(0.0).alias("s0"), *[score(bs).alias(f"s{k + 1}") for k, bs in enumerate(beta)])
+    names = [f"s{k}" for k in range(len(DOMAINS))]
+    df = df.select(*keep, *names, F.greatest(*names).alias("top"))
+    df = df.select(*keep, *[F.exp(F.greatest(F.col(s) - F.col("top"), F.lit(-40.0))).alias(s) for s in names])
+    df = df.select(*keep, *names, sum((F.col(s) for s in names[1:]), F.col("s0")).alias("whole"))
+    return df.select(*keep, *[F.round(F.col(s) / F.col("whole"), 9).alias(f"p{k}") for k, s in enumerate(names)])
+
+
+def _word_weights(rows: DataFrame, n: list[int]) -> list[int]:
+    """The packed weights of all hash values, from labelled rows (domain, hashes) of which ``n`` fall in each domain."""
+    counted = rows.select("domain", F.explode("hashes").alias("h")).groupBy("h").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
+    weights, first = [0] * (WORDS + ENDINGS), DOMAINS[0]
+    # At most a row for each hash value.
+    for r in counted.collect():
+        packed = 0
+        for k, d in enumerate(DOMAINS[1:], 1):
+            seen = r[d] + r[first]
+            if seen and n[k] and n[0]:
+                q = n[k] / (n[k] + n[0])
+                if abs(r[d] - seen * q) >= CERTAIN * sqrt(seen * q * (1 - q)):
+                    p = (r[d] + PRIOR_ROWS * q) / (seen + PRIOR_ROWS)
+                    packed += round(log(p / (1 - p) * (1 - q) / q) * WEIGHT_UNIT) << (32 * (k - 1))
+        weights[r["h"]] = packed
+    return weights
+
+
+def _regression(rows: DataFrame, ridge: float = 1.0, most_steps: int = 30) -> list[list[float]]:
+    """Coefficients of the domains behind the first, from rows (domain, x); RuntimeError if Newton's steps do not settle."""
+    d, k = INPUTS, len(DOMAINS) - 1
+    beta = [[0.0] * d for _ in range(k)]
+    total = lambda c: F.coalesce(F.sum(F.round(c * SUM_UNIT).cast("long")), F.lit(0))
+    x = [F.get("x", F.lit(i)) for i in range(d)]
+    for _ in range(most_steps):
+        p = [F.col(f"p{a + 1}") for a in range(k)]
+        sums = [total(x[i] * ((F.col("domain") == DOMAINS[a + 1]).cast("double") - p[a])).alias(f"g{a}_{i}") for a in range(k) for i in range(d)]
+        sums += [total(p[a] * (float(a == b) - p[b]) * x[i] * x[j]).alias(f"h{a}_{b}_{i}_{j}") for a in range(k) for b in range(a + 1) for i in range(d) for j in range(i + 1)]
+        r = _with_posterior(rows, beta).agg(*sums).first()
+        g = [r[f"g{a}_{i}"] / SUM_UNIT - ridge * beta[a][i] for a in range(k) for i in range(d)]
+        h = [[r[f"h{max(a, b)}_{min(a, b)}_{max(i, j)}_{min(i, j)}"] / SUM_UNIT + ridge * (a == b and i == j) for b in range(k) for j in range(d)] for a in range(k) for i in range(d)]
+        step = _solve(h, g)
+        beta = [[beta[a][i] + step[a * d + i] for i in range(d)] for a in range(k)]
+        if max(map(abs, step)) < 1e-4:
+            return [[round(b, 6) for b in bs] for bs in beta]
+    raise RuntimeError(f"the regression did not settle in {most_steps} steps")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> dict:
+    """The model {"weights": [...], "beta": [[...], ...]}, of a size that does not depend on the tables.
 
     Fitted on at most about ``most_rows`` labelled rows, chosen by a hash of
-    their ids; ``lexicon`` bounds the telling words of each domain and
-    language. A language has words of its own from ``LANG_ROWS`` rows of the
-    first domain and of another on. Only this bounded model reaches the driver.
+    their ids. Labels of a null id belong to the documents of a null id; of
+    several labels of one id the last in the alphabet counts. Without labelled
+    rows all weights are 0.
     """
     lab = labels.select(id_key(id_col).alias("id"), domain_label(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").groupBy("id").agg(F.max("domain").alias("domain"))
     total = lab.count()
     if total > most_rows:
         lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    rows = docs.select(id_key(id_col).alias("id"), _lang(docs, lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(lab, "id")
-    rows = materialise(rows.select("lang", "domain", "body", _words("body").alias("words")), "mix-labelled")
-    per_domain = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
-    first = DOMAINS[0]
-    sizes = rows.groupBy("lang").agg(*per_domain)
-    whole = sizes.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS])
-    n = list(whole.first())
-    enough = (F.col(first) >= LANG_ROWS) & (F.greatest(*DOMAINS[1:]) >= LANG_ROWS)
-
-    # Telling words of a domain are far more common in it than in the first one.
-    seen = materialise(rows.select("lang", "domain", F.explode(F.array_distinct("words")).alias("f")).groupBy("lang", "f").agg(*per_domain), "mix-words")
-    named = lambda df, own: df.select(*own, *[F.col(d).alias(f"n_{d}") for d in DOMAINS])
-    # One row, and at most a row for each LANG_ROWS labelled ones.
-    pooled = seen.groupBy("f").agg(*[F.sum(d).alias(d) for d in DOMAINS]).withColumn("lang", F.lit("")).crossJoin(F.broadcast(named(whole, [])))
-    single = seen.join(F.broadcast(named(sizes.where(enough), ["lang"])), "lang")
-    share = {d: (F.col(d) + 0.5) / (F.col(f"n_{d}") + 1.0) for d in DOMAINS}
-
-    def tells(counted: DataFrame, d: str) -> dict[str, list[str]]:
-        gain = F.round(share[d] * F.log(share[d] / share[first]), 9)
-        kept = counted.where((F.col(d) >= WORD_ROWS) & (share[d] >= 0.05) & (share[d] >= 8 * share[first]))
-        best = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(gain), "f"))).where(F.col("k") <= lexicon)
-        found: dict[str, list[str]] = {}
-        for r in best.orderBy("lang", "f").select("lang", "f").collect():
-            found.setdefault(r["lang"], []).append(r["f"])
-        return found
-
-    telling = {d: tells(pooled, d).get("", []) for d in DOMAINS[1:]}
-    own = {d: tells(single, d) for d in DOMAINS[1:]}
-    by_lang = {r["lang"]: {d: own[d].get(r["lang"], []) for d in own} for r in sizes.where(enough).select("lang").collect()}
-
-    # Each row counts in its own language's weights and in those of all languages together.
-    marks = [_features(F.col("words"), F.col("body"), F.size("words"), F.col("lang"), telling, found) for found in (by_lang, {})]
-    marked = rows.select("domain", F.explode(F.array_union(*marks)).alias("f"))
-    weights = {r["f"]: [log((r[d] + 0.5) / (size + 1.0)) for d, size in zip(DOMAINS, n)] for r in marked.groupBy("f").agg(*per_domain).collect()}
-    bias = [log((size + 1) / (sum(n) + len(DOMAINS))) for size in n]
-    return {"lexicon": telling, "by_lang": by_lang, "bias": bias, "weights": weights}
-
-
-def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(own_id, id, row_key, n_tokens, p) per row; tokens are words, p the posterior over the domains.
+    # About most_rows rows of an id and a domain.
+    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).join(F.broadcast(lab), "id")
+    rows = materialise(_hashed(rows, ["domain"]), "mix-labelled")
+    n = list(rows.agg(*[F.count_if(F.col("domain") == d) for d in DOMAINS]).first())
+    weights = _word_weights(rows, n)
+    return {"weights": weights, "beta": _regression(materialise(_vector(rows, ["domain"], weights), "mix-vectors"))}
 
-    A category that the labelled rows do not show counts as equally likely in all domains.
-    """
-    k = len(DOMAINS)
-    pairs = [c for f, w in sorted(model["weights"].items()) for c in (F.lit(f), F.array(*[F.lit(float(x)) for x in w]))]
-    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(*[F.lit(0.0)] * k))
-    df = docs.select(F.col(id_col).alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), _lang(docs, lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    df = df.withColumn("words", _words("body")).withColumn("n", F.size("words"))
-    own = ["own_id", "id", "row_key", "n_tokens"]
-    df = df.select("own_id", "id", "row_key", F.col("n").cast("long").alias("n_tokens"), _features(F.col("words"), F.col("body"), F.col("n"), F.col("lang"), model["lexicon"], model["by_lang"]).alias("f"))
-    # A few look-ups in a constant map of bounded size.
-    df = df.select(*own, F.filter(F.transform("f", lambda f: table[f]), lambda w: w.isNotNull()).alias("w"))
 
-    def total(i: int, b: float) -> Column:
-        return F.aggregate("w", F.lit(float(b)), lambda a, w: a + F.get(w, F.lit(i)))
+def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(own_id, id, row_key, n_tokens, p) per row; tokens are words, p the posterior over the domains.
 
-    df = df.select(*own, *[total(i, b).alias(f"s{i}") for i, b in enumerate(model["bias"])])
-    top = F.greatest(*[f"s{i}" for i in range(k)])
-    df = df.select(*own, *[F.exp(F.greatest(F.col(f"s{i}") - top, F.lit(-40.0))).alias(f"e{i}") for i in range(k)])
-    whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
-    return df.select(*own, F.array(*[F.round(F.col(f"e{i}") / whole, 9) for i in range(k)]).alias("p"))
+    A null or empty text has no tokens and the posterior of its other inputs.
+    """
+    own = ["own_id", "id", "row_key"]
+    rows = docs.select(F.col(id_col).alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    judged = _with_posterior(_vector(_hashed(rows, own), own, model["weights"]), model["beta"])
+    return judged.select(*own, F.col("n").cast("long").alias("n_tokens"), F.array(*[f"p{k}" for k in range(len(DOMAINS))]).alias("p"))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -160,25 +171,36 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return out
 
 
-def _rate(pulls: list[list[float]]) -> Column:
-    """The rate after the steps with these pulls: each moves it by the posterior-weighted pull and projects it to 0 or more."""
-    rate: Column = F.lit(1.0)
-    if not pulls:
-        return rate
+def _moved(steps: list[tuple[list[float], float]]) -> Column:
+    """The columns rate and ahead (the point the next gradient is taken at) after these steps of a pull and a momentum each.
+
+    A step moves ``ahead`` by the posterior-weighted pull, projects it to 0 or
+    more, which is the new rate, and looks on in the direction of the change.
+    """
+    state = F.struct(F.col("rate").alias("rate"), F.col("ahead").alias("ahead"))
+    if not steps:
+        return state
     dot = lambda g: sum((F.get("p", F.lit(k)) * F.get(g, F.lit(k)) for k in range(1, len(DOMAINS))), F.get("p", F.lit(0)) * F.get(g, F.lit(0)))
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in pulls])
-    return F.aggregate(history, rate, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
+    def step(s: Column, g: Column) -> Column:
+        return F.transform(F.array(F.greatest(F.lit(0.0), s["ahead"] - dot(g))), lambda r: F.struct(r.alias("rate"), (r + F.get(g, F.lit(len(DOMAINS))) * (r - s["rate"])).alias("ahead")))[0]
 
-def solve_rates(soft: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 25, tolerance: float = 1e-4, whole: str | None = None) -> tuple[DataFrame, dict]:
+    history = F.array(*[F.array(*[F.lit(float(x)) for x in (*pull, momentum)]) for pull, momentum in steps])
+    return F.aggregate(history, state, step)
+
+
+def solve_rates(soft: DataFrame, targets: dict[str, float] | None = None, most_steps: int = 200, tolerance: float = 1e-4, whole: str | None = None) -> tuple[DataFrame, dict]:
     """``soft`` with ``rate``, and a report of the totals reached.
 
     Minimises the distance of the expected domain totals sum(tokens * rate * p)
-    from the targets, which share out all tokens. The residual is measured in
-    the metric of M = sum(tokens * p p'), in which a unit step is the
-    projected gradient's safe step. Targets of domains that no document
-    belongs to cannot be met and are left over in the report. The domain
-    ``whole`` is not cut: where its target is under what it has, all targets grow.
+    from the targets, which share out all tokens. The distance is measured in
+    the metric of M = sum(tokens * p p'), in which a step of 1 is the projected
+    gradient's safe step. They end when all totals are within ``tolerance``
+    of all tokens, or when the distance no longer falls: then no rates meet the
+    targets (as where a domain has no documents), those nearest to them come
+    back, the report says met = False and a warning is given. RuntimeError if
+    neither comes about in ``most_steps``. The domain ``whole`` is not cut:
+    where its target is under what it has, all targets grow.
     """
     k = len(DOMAINS)
     targets = targets or TARGETS
@@ -195,44 +217,58 @@ def solve_rates(soft: DataFrame, targets: dict[str, float] | None = None, most_s
         at = DOMAINS.index(whole)
         grow = max(1.0, float(row[f"t{at}"] or 0) / goal[at] if goal[at] else 1.0)
         goal = [g * grow for g in goal]
-    pulls: list[list[float]] = []
-    reached = goal
-    for _ in range(most_steps):
-        rate = _rate(pulls)
-        sums = soft.withColumn("rate", rate).agg(*[F.sum(t * F.col("rate") * p[i]).alias(f"a{i}") for i in range(k)]).first()
-        reached = [float(sums[f"a{i}"] or 0) for i in range(k)]
+    soft = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
+    own = [c for c in soft.columns if c not in ("rate", "ahead")]
+    pending: list[tuple[list[float], float]] = []
+    far, pace = None, 1.0
+    for steps in range(most_steps + 1):
+        if len(pending) == REPLAYED:
+            soft, pending = materialise(soft.select(*own, _moved(pending).alias("s")).select(*own, "s.*"), "mix-rates"), []
+        now = soft.select(t.alias("t"), "p", _moved(pending).alias("s"))
+        sums = now.agg(*[F.sum(F.col("t") * F.col(f"s.{c}") * p[i]).alias(f"{c}{i}") for c in ("rate", "ahead") for i in range(k)]).first()
+        reached = [float(sums[f"rate{i}"] or 0) for i in range(k)]
         rest = [a - b for a, b in zip(reached, goal)]
-        if total == 0 or max(map(abs, rest)) <= tolerance * total:
+        met = total == 0 or max(map(abs, rest)) <= tolerance * total
+        before, far = far, sum(x * y for x, y in zip(rest, _solve(m, rest)))
+        if met or before is not None and before >= far >= before * (1 - 1e-4):
             break
-        pulls.append(_solve(m, rest))
-    report = {"steps": len(pulls), "total": total, "goal": dict(zip(DOMAINS, goal)), "reached": dict(zip(DOMAINS, reached))}
-    return soft.withColumn("rate", F.round(_rate(pulls), 6)), report
+        # The momentum grows from step to step and starts again when a step led away.
+        last, pace = (pace, (1 + sqrt(1 + 4 * pace * pace)) / 2) if before is None or far < before else (1.0, 1.0)
+        pending.append((_solve(m, [float(sums[f"ahead{i}"] or 0) - b for i, b in enumerate(goal)]), (last - 1) / pace))
+    else:
+        raise RuntimeError(f"the rates did not settle in {most_steps} steps: reached {reached}, wanted {goal}")
+    report = {"steps": steps, "met": met, "total": total, "goal": dict(zip(DOMAINS, goal)), "reached": dict(zip(DOMAINS, reached))}
+    if not met:
+        warnings.warn(f"no rates meet the targets: {report}", stacklevel=2)
+    return soft.select(*own, F.round(_moved(pending)["rate"], 6).alias("rate")), report
+
+
+def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets: dict[str, float] | None, whole: str | None) -> DataFrame:
+    soft = materialise(posteriors(docs, fit_classifier(docs, labels, id_col, text_col), id_col, text_col), "mix-posteriors")
+    return solve_rates(soft, targets, whole=whole)[0]
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
     """(own id, row_key, n_tokens, posteriors, rate) per row of ``docs``.
 
     Null or empty text has no tokens: its rate is as its posterior says and
-    changes no total. Rows of a null or repeated id are rows of their own.
-    Without labelled rows the posterior is the same for all.
+    changes no total. Rows of a null or repeated id are rows of their own. A
+    very long text is one row with all its words. Without labelled rows the
+    posterior is the same for all; an empty table gives no rows. Columns
+    besides the named ones are not read.
     """
-    model = fit_classifier(docs, labels, id_col, text_col)
-    soft = materialise(posteriors(docs, model, id_col, text_col), "mix-posteriors")
-    rated, _ = solve_rates(soft, targets)
-    return rated
+    return _rated(docs, labels, id_col, text_col, targets, None)
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, whole: str | None = "clean") -> DataFrame:
     """``docs`` with each row as often as its rate says, all columns unchanged.
 
     The fractional part of a rate is settled by a hash of id and text, so the
-    outcome is the same in every run.
+    outcome is the same in every run; repeated rows fare alike.
     """
-    model = fit_classifier(docs, labels, id_col, text_col)
-    soft = materialise(posteriors(docs, model, id_col, text_col), "mix-posteriors")
-    rated, _ = solve_rates(soft, targets, whole=whole)
+    rated = _rated(docs, labels, id_col, text_col, targets, whole)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "id", "row_key"), F.lit(1_000_003)) / 1_000_003
     times = rated.select("id", "row_key", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("times")).groupBy("id", "row_key").agg(F.max("times").alias("times"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"))
-    out = whole.join(times, ["id", "row_key"]).where("times > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"))
+    out = rows.join(times, ["id", "row_key"]).where("times > 0")
     return out.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")

@@ -302,8 +302,9 @@ def test_mixing_meets_its_targets(spark):
     df = table(spark, docs)
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     model = mixing.fit_classifier(df, lab)
-    assert "nasty" in model["lexicon"]["toxic"]
     soft = mixing.posteriors(df, model)
+    held = {r.id: r.p for r in soft.collect() if r.id in range(0, 300, 2)}
+    assert all(max(range(3), key=lambda d: held[k][d]) == (0 if k % 10 < 6 else 1 if k % 10 < 8 else 2) for k in held if k != 8)
     targets = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
     rated, report = mixing.solve_rates(soft, targets)
     for d in mixing.DOMAINS:
@@ -315,3 +316,28 @@ def test_mixing_meets_its_targets(spark):
     assert all(k in clean for k, _ in docs[:300] if k % 10 < 6)
     none = mixing.mixing_rates(df, lab.where("false")).collect()
     assert len(none) == len(docs)
+
+
+def test_mixing_solver_against_brute_force_least_squares(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 40).round(6)
+    t = rng.integers(0, 500, 40)
+    soft = spark.createDataFrame([(int(n), [float(v) for v in q]) for n, q in zip(t, p)], "n_tokens bigint, p array<double>")
+    for targets in ({"clean": 0.6, "low": 0.3, "toxic": 0.1}, {"clean": 0.95, "low": 0.03, "toxic": 0.02}):
+        goal = t.sum() * np.array([targets[d] for d in mixing.DOMAINS])
+        metric = np.linalg.inv((p * t[:, None]).T @ p)
+        rate = np.ones(40)
+        for _ in range(100_000):
+            rate = np.maximum(0, rate - p @ (metric @ (p.T @ (t * rate) - goal)))
+        want = p.T @ (t * rate)
+        far = lambda x: (x - goal) @ metric @ (x - goal)
+        rated, report = mixing.solve_rates(soft, targets)
+        got = np.array([report["reached"][d] for d in mixing.DOMAINS])
+        assert far(got) <= far(want) * 1.05 + 1e-3 and report["met"] == (abs(got - goal).max() <= 1e-4 * t.sum())
+        rates = [(r.n_tokens, r.p, r.rate) for r in rated.collect()]
+        assert min(r for *_, r in rates) >= 0 and np.allclose(sum(n * r * np.array(q) for n, q, r in rates), got, atol=0.01)
+
+
+def test_mixing_of_an_empty_table(spark):
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert mixing.mixing_rates(table(spark, []), lab).count() == 0 and mixing.mix(table(spark, []), lab).count() == 0
