@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.storage import discard, new_path, qualified  # noqa: F401
+from tally.storage import written as materialise  # noqa: F401
+
 #: Fixed value: the six ASCII white-space characters that separate words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class body.
@@ -16,44 +16,16 @@ ASCII_SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null id inside joins and sorts: below every real id.
 NULL_ID = -(2**63)
+#: Rows of one key that a task joins, about; keys with more are dealt to several tasks.
+PART_ROWS = 2_000
+#: Rows of a few numbers up to which a table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a local session that has not set it gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tally-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut of
-    the lineage that survives the loss of executors. Filters on ``by`` then read only their own files."""
-    path = new_path(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialise`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if spark.sparkContext.applicationId in folder and root.split("://")[-1] in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file layer's file system and path of a qualified path; object stores go by other scheme names there."""
+    scheme, _, rest = path.partition(":")
+    return pafs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{rest}")
 
 
 def id_key(col: str) -> Column:
@@ -76,11 +48,18 @@ def ascii_words(c: Column) -> Column:
     return F.when(F.octet_length(t) > 0, F.split(t, f"[{ASCII_SPACE_CLASS}]+")).otherwise(F.array().cast("array<string>"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when
-    the JVM collects their plans, which a roomy driver may put off for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the written table ``groups``, which has a row for each of its keys and in
+    ``size`` the number of rows with it. A key of many rows is dealt to several tasks, each with a copy of its group."""
+    parts = F.ceil(F.col(size) / PART_ROWS).cast("int")
+    hot = groups.where(F.col(size) > PART_ROWS).select(*keys, parts.alias("parts"))
+    n = hot.count()
+    if n == 0:
+        return rows.join(groups, keys, how)
+    marked = rows.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, keys, "left")
+    salted = marked.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,6 +69,6 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     one of several rows of that pair stays.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"))
-    j = whole.join(kept, ["id", "row_key"])
-    repeated = j.where("single").dropDuplicates(["id", "row_key"])
-    return j.where("not single").unionByName(repeated).select("row.*")
+    # The join has dealt and sorted the rows by the pair, so numbering them costs no further shuffle.
+    nth = F.row_number().over(Window.partitionBy("id", "row_key").orderBy("id"))
+    return whole.join(kept, ["id", "row_key"]).withColumn("nth", nth).where(~F.col("single") | (F.col("nth") == 1)).select("row.*")

@@ -1,10 +1,10 @@
 """Exact dedup by a cuckoo-filter index over digests of the normalised text.
 
-The index is a bucketed table of live digests. Each bucket has a cuckoo filter
-over its stored keys: a lookup that misses proves a digest new, a hit is
-verified against the keys stored in the bucket, and an insertion that finds no
-room makes the filter larger and refills it from those keys. Digests can be
-inserted and deleted batch by batch.
+The index is a bucketed table of live digests with a cuckoo filter in front of
+each bucket: a lookup that misses proves a digest new, a hit is verified
+against the stored contents, and an insertion that finds no room makes the
+filter larger and refills it from the bucket's keys. Digests can be inserted
+and deleted batch by batch.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, id_key, keep_rows, materialise
+from tally.llm.common import NULL_ID, id_key, keep_rows, materialise, spread_join
 
 SLOTS = 4
+#: Digests of a bucket, about: bounds the filter and the keys that a task holds.
+BUCKET_KEYS = 100_000
 
 
 class CuckooFilter:
@@ -74,39 +75,38 @@ class CuckooFilter:
 
 
 class CuckooIndex:
-    """Live digests of one bucket: a cuckoo filter in front of the stored keys."""
+    """The keys of one bucket behind a cuckoo filter; a filter without room is made larger and refilled from the keys.
+
+    ``meets`` only says that a key may be here: the bucket's contents decide.
+    """
 
     def __init__(self, capacity: int = 64):
         self.capacity = capacity
         self.filter = CuckooFilter(capacity)
-        self.stored: dict[bytes, list] = {}
+        self.keys: set[bytes] = set()
         self.resizes = 0
-        self.false_hits = 0
 
-    def get(self, key: bytes):
-        if key not in self.filter:
-            return None
-        entry = self.stored.get(key)
-        self.false_hits += entry is None
-        return entry
+    def meets(self, key: bytes) -> bool:
+        return key in self.filter
 
-    def put(self, key: bytes, entry: list) -> None:
-        self.stored[key] = entry
+    def put(self, key: bytes) -> None:
+        self.keys.add(key)
         if not self.filter.insert(key):
             self._grow()
 
     def remove(self, key: bytes) -> bool:
-        if self.get(key) is None:
+        """Deletes a key that is here; a key of another text with the same fingerprint stays."""
+        if not self.meets(key) or key not in self.keys:
             return False
-        del self.stored[key]
+        self.keys.discard(key)
         return self.filter.delete(key)
 
     def _grow(self) -> None:
         while True:
-            self.capacity = max(2 * self.capacity, 2 * len(self.stored))
+            self.capacity = max(2 * self.capacity, 2 * len(self.keys))
             self.resizes += 1
             fresh = CuckooFilter(self.capacity)
-            if all(fresh.insert(k) for k in self.stored):
+            if all(fresh.insert(k) for k in self.keys):
                 self.filter = fresh
                 return
 
@@ -134,15 +134,18 @@ def _combine(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[p
     have: dict[bytes, list] = {}
 
     def out() -> pd.DataFrame:
-        return pd.DataFrame([(k, v[0], v[1]) for k, v in have.items()], columns=["digest", "top", "n"])
+        return pd.DataFrame([(k, *v) for k, v in have.items()], columns=["digest", "keep", "at", "group_size"])
 
     for b in batches:
-        for i, d in zip(b["id"], b["digest"]):
-            e = have.get(bytes(d))
+        for i, at, d in zip(b["id"], b["at"], b["digest"]):
+            d = bytes(d)
+            e = have.get(d)
             if e is None:
-                have[bytes(d)] = [i, 1]
+                have[d] = [i, at, 1]
             else:
-                e[0], e[1] = max(e[0], i), e[1] + 1
+                e[2] += 1
+                if (i, at) > (e[0], e[1]):
+                    e[0], e[1] = i, at
         if len(have) > most:
             yield out()
             have.clear()
@@ -150,56 +153,91 @@ def _combine(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[p
         yield out()
 
 
-def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a task's buckets pass through one index; a later, larger id replaces the live entry."""
-    index = CuckooIndex(1024)
-    for b in batches:
-        for key, top, n in zip(b["digest"], b["top"], b["n"]):
-            key = bytes(key)
-            live = index.get(key)
-            if live is None:
-                index.put(key, [top, n])
-            elif top > live[0]:
-                index.remove(key)
-                index.put(key, [top, live[1] + n])
-            else:
-                live[1] += n
-    items = list(index.stored.items())
-    for at in range(0, len(items), 50_000):
-        part = items[at : at + 50_000]
-        yield pd.DataFrame([(k, v[0], v[1]) for k, v in part], columns=["digest", "keep", "group_size"])
+class DigestIndex:
+    """A cuckoo-filter index of live digests, kept as a table in a shared folder.
+
+    The table (bucket, digest, keep, at, group_size) holds a row per live
+    digest, ``keep`` the id that stays and ``at`` its row; ``bucket`` deals them into parts of about BUCKET_KEYS digests. ``insert``
+    and ``delete`` stream each bucket's stored digests, then the given ones,
+    through a filter of its own. A digest that meets nothing is new, without a
+    look at the contents; those that meet something are verified against the
+    contents of the table by an exact join, and false hits end there. Both
+    write the table anew, so a lost executor costs only a task's retry.
+    """
 
+    SCHEMA = "bucket int, digest binary, keep long, at long, group_size long"
 
-def live_digests(hashed: DataFrame) -> DataFrame:
-    """(digest, keep, group_size): one row per distinct digest."""
-    combined = hashed.select("id", "digest").mapInPandas(_combine, "digest binary, top long, n long")
-    return combined.repartition("digest").mapInPandas(_indexed, "digest binary, keep long, group_size long")
+    def __init__(self, spark: SparkSession, expected: int = 1_000_000):
+        self.buckets = max(1, -(-expected // BUCKET_KEYS))
+        self.table = spark.createDataFrame([], self.SCHEMA)
 
+    def _bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int"))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, row_no, id, row_key): one row per input row.
+    def _hits(self, given: DataFrame, delete: bool) -> DataFrame:
+        """(digest): the given (bucket, digest) rows that meet a stored or earlier given one in the filter; each digest once."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index, of = CuckooIndex(), None
+            for b in batches:
+                met = []
+                for bucket, is_given, key in zip(b["bucket"], b["given"], b["digest"]):
+                    if bucket != of:
+                        index, of = CuckooIndex(), bucket
+                    key = bytes(key)
+                    if delete and is_given:
+                        if index.remove(key):
+                            met.append(key)
+                    elif is_given and index.meets(key):
+                        met.append(key)
+                    else:
+                        index.put(key)
+                yield pd.DataFrame({"digest": met})
+
+        rows = self.table.select("bucket", F.lit(False).alias("given"), "digest").unionByName(given.select("bucket", F.lit(True).alias("given"), "digest"))
+        return materialise(rows.repartition("bucket").sortWithinPartitions("bucket", "given").mapInPandas(run, "digest binary").distinct(), "digest-hits")
+
+    def insert(self, hashed: DataFrame) -> DataFrame:
+        """Adds (id, at, digest) rows; returns a written table (digest, keep, at, group_size, is_new) of the digests that were
+        met: held by several of the rows, or live before (is_new false)."""
+        combined = hashed.select("id", "at", "digest").mapInPandas(_combine, "digest binary, keep long, at long, group_size long")
+        given = materialise(self._bucket(combined).select(*self.table.columns), "digest-batch")
+        # Rows that a task has combined already have met each other.
+        hits = self._hits(given, delete=False).unionByName(given.where("group_size > 1").select("digest")).distinct()
+        hits = materialise(hits, "digest-hits")
+        both = self.table.withColumn("old", F.lit(True)).unionByName(given.withColumn("old", F.lit(False)))
+        content = both.join(hits, "digest", "left_semi").groupBy("bucket", "digest").agg(F.max(F.struct("keep", "at")).alias("top"), F.sum("group_size").alias("group_size"), F.max("old").alias("old"), F.min("old").alias("all_old"))
+        met = materialise(content.select("bucket", "digest", "top.*", "group_size", "old", "all_old"), "digest-groups")
+        rest = both.join(hits, "digest", "left_anti").drop("old")
+        self.table = materialise(rest.unionByName(met.drop("old", "all_old")), "digest-index")
+        return met.where("group_size > 1 and not all_old").select("digest", "keep", "at", "group_size", (~F.col("old")).alias("is_new"))
+
+    def delete(self, gone: DataFrame) -> None:
+        """Takes the given digests out of the index."""
+        hits = self._hits(self._bucket(gone.select("digest").distinct()), delete=True)
+        self.table = materialise(self.table.join(hits, "digest", "left_anti"), "digest-index")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest, id, row_key): one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
-    empty. Of a group the row with the largest id stays; a null id is smaller
-    than any other. Where whole rows repeat, one of the repeats stays
-    (``row_no`` 1). An empty table gives an empty result; other columns are
-    not read.
+    empty. All digests go into an empty index; those that meet none there are
+    single, the others' groups are what the index says. Of a group the row
+    with the largest id stays; a null id is smaller than any other. Where
+    whole rows repeat, one of the repeats stays. A very long text is hashed whole. An empty table gives an empty result; other columns
+    are not read.
     """
-    hashed = materialise(digests(docs, id_col, text_col), "digests")
-    groups = live_digests(hashed).where("group_size > 1")
-    # The documents of a large group are spread over the salts.
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = hashed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    j = rows.join(spread, ["digest", "salt"], "left")
-    repeat = Window.partitionBy("digest", "id").orderBy("row_key")
+    hashed = materialise(digests(docs, id_col, text_col).withColumn("at", F.monotonically_increasing_id()), "digests")
+    groups = DigestIndex(docs.sparkSession, hashed.count()).insert(hashed).drop("is_new").withColumnRenamed("at", "top_at")
+    j = spread_join(hashed, groups, ["digest"], "group_size", "left")
     keep = F.coalesce("keep", "id")
-    return j.withColumn("row_no", F.row_number().over(repeat)).select(
+    return j.select(
         F.col("own_id").alias(id_col),
         F.when(keep != NULL_ID, keep).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        ((keep == F.col("id")) & (F.col("row_no") == 1)).alias("kept"),
+        (F.coalesce("top_at", "at") == F.col("at")).alias("kept"),
         "digest",
-        "row_no",
         "id",
         "row_key",
     )
@@ -209,61 +247,3 @@ def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
     kept = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where("kept")
     return keep_rows(docs, kept.select("id", "row_key", F.lit(True).alias("single")), id_col, text_col)
-
-
-class DigestIndex:
-    """A cuckoo index kept as a bucketed table in a shared folder.
-
-    ``insert`` returns the batch's verdicts and ``delete`` takes digests out
-    again; both rewrite the table under a new version, so a lost executor
-    costs only a task's retry. A bucket holds about ``1 / buckets`` of the
-    live digests and must fit a task: choose ``buckets`` by the expected size.
-    """
-
-    SCHEMA = "bucket int, digest binary, keep long, group_size long"
-
-    def __init__(self, spark, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.table = spark.createDataFrame([], self.SCHEMA)
-
-    def _bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int"))
-
-    def insert(self, hashed: DataFrame) -> DataFrame:
-        """Adds (id, digest) rows; returns (digest, keep, group_size, is_new) of the batch."""
-
-        def merge(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            index, out = CuckooIndex(max(64, len(old))), []
-            for k, top, n in zip(old["digest"], old["keep"], old["group_size"]):
-                index.put(bytes(k), [top, n, "old"])
-            for k, top, n in zip(new["digest"], new["keep"], new["group_size"]):
-                k, live = bytes(k), index.get(bytes(k))
-                if live is None:
-                    index.put(k, [top, n, "new"])
-                else:
-                    index.remove(k)
-                    index.put(k, [max(top, live[0]), live[1] + n, "met" if live[2] != "new" else "new"])
-            bucket = int((old if len(old) else new)["bucket"].iloc[0])
-            out = [(bucket, k, *v) for k, v in index.stored.items()]
-            return pd.DataFrame(out, columns=["bucket", "digest", "keep", "group_size", "state"])
-
-        new = self._bucket(live_digests(hashed))
-        done = self.table.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(merge, self.SCHEMA + ", state string")
-        done = materialise(done, "digest-index")
-        self.table = done.drop("state")
-        return done.where("state <> 'old'").select("digest", "keep", "group_size", (F.col("state") == "new").alias("is_new"))
-
-    def delete(self, gone: DataFrame) -> None:
-        """Takes the given digests out of the index."""
-
-        def cut(old: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
-            index = CuckooIndex(max(64, len(old)))
-            for b, k, top, n in zip(old["bucket"], old["digest"], old["keep"], old["group_size"]):
-                index.put(bytes(k), [b, top, n])
-            for k in out["digest"]:
-                index.remove(bytes(k))
-            return pd.DataFrame([(v[0], k, v[1], v[2]) for k, v in index.stored.items()], columns=["bucket", "digest", "keep", "group_size"])
-
-        dead = self._bucket(gone.select("digest").distinct())
-        done = self.table.groupBy("bucket").cogroup(dead.groupBy("bucket")).applyInPandas(cut, self.SCHEMA)
-        self.table = materialise(done, "digest-index")

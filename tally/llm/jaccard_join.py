@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise, release
+from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise
 from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
 #: Token bitmaps: (least length in 64-bit words, most shingles a bit); larger sets get longer ones.
@@ -391,7 +391,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal sets and so link.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
     wide = materialise(_first_pass(d, k, num, den).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     seen = materialise(wide.drop("prefix", "bits"), "jaccard-rows")
     # Equal sets are one class, named after the row of its smallest id.
@@ -404,14 +403,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posted = one.select(F.explode("prefix").alias("token"), F.col("row").alias("class"))
     tokens = materialise(posted.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "jaccard-tokens")
     posted = materialise(posted.join(tokens, "token"), "jaccard-posted")
-    release(spark)
     maps = materialise(one.select(F.col("row").alias("class"), "n", "bits", "id", "row_key"), "jaccard-bitmaps")
     discard(wide)
 
     # Classes that the bitmaps leave a possible partner; only their sets are needed.
     flagged = _in_blocks(_blocks(posted.join(maps.select("class", "n", "bits"), "class"), num, den).select(*BLOCK, "class", "n", "bits"), _near, num, den)
     near = materialise(flagged.select(F.col("x").alias("class")).distinct(), "jaccard-near")
-    release(spark)
     posted = materialise(posted.join(near, "class", "left_semi"), "jaccard-posted")
     own = materialise(maps.join(near, "class", "left_semi").select("class", "id", "row_key"), "jaccard-owners")
     discard(maps)
@@ -420,16 +417,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A repeated row brings its class twice, which links nothing new.
     sets = materialise(_sets(texts, k), "jaccard-members")
     maps = sets.select("class", "n", "bits").dropDuplicates(["class"])
-    del texts, one, flagged
-    release(spark)
 
     # First in full by a few shared shingles, which finds nearly all links ...
     tokens_of = posted.groupBy("class").agg(F.array_sort(F.collect_set("token")).alias("tokens")).join(maps.select("class", "n"), "class")
     probes = tokens_of.select(F.explode(F.slice("tokens", 1, F.when(F.col("n") <= SHORT, PROBES).otherwise(1))).alias("token"), "class")
     full = _blocks(probes.join(sets, "class"), num, den)
     edges = materialise(_in_blocks(full.select(*BLOCK, "class", "n", "members", "bits"), _block, num, den), "jaccard-links")
-    del full
-    release(spark)
     parts = components(edges)
 
     # ... then by bitmaps over all shared shingles, for pairs that are not yet joined.
@@ -438,7 +431,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = labelled.join(open_tokens, "token").join(maps.select("class", "n", "bits"), "class")
     maybe = _in_blocks(_blocks(rest, num, den).select(*BLOCK, "class", "n", "part", "bits"), _candidates, num, den)
     maybe = materialise(maybe.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-maybe")
-    release(spark)
     left = maybe.join(sets.select(F.col("class").alias("x"), F.col("members").alias("mx")), "x").join(sets.select(F.col("class").alias("y"), F.col("members").alias("my")), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

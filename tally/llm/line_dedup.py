@@ -12,25 +12,29 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import ascii_lower, id_key, materialise, trim_ascii
 
+#: Lines of one key that a task streams, about: a line may be a third of all.
+LINES_A_PART = 100_000
+
 
 def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, salts: int = 32) -> DataFrame:
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row per document that loses lines: (id_key, row_key, n_dropped, runs).
 
     ``runs`` is the keep bitmap of the document's lines, run-length compressed:
-    lengths of alternating runs kept, dropped, kept, dropped ...; what follows
-    the last run is kept. A line's key is the line without ASCII white space at
+    where each dropped run starts and where it has ended, in turn; all other
+    lines are kept. A line's key is the line without ASCII white space at
     its ends, A-Z lower-cased; a key of at least ``min_chars`` code points that
     at least ``min_docs`` documents hold is dropped everywhere but in the
     document with the largest id.
 
     Null or empty text is one empty line, which is never dropped. A null id
     counts as one document with the smallest id. Rows are told apart by id and
-    text: repeated rows get the same bitmap and count as one document. Columns
-    besides the two named are not read.
+    text: repeated rows get the same bitmap and count as one document. Time is
+    in proportion to a text's lines, however many there are or go; an empty
+    table gives no bitmaps. Columns besides the two named are not read.
     """
     key = ascii_lower(trim_ascii(F.col("line")))
     lines = docs.select(id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.posexplode(_lines(text_col)).alias("pos", "line"))
@@ -40,12 +44,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(
             F.xxhash64("key").alias("h1"),
             F.xxhash64(F.lit("second"), "key").alias("h2"),
-            F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
             "id", "row_key", "pos",
         )
     )
     seen = materialise(seen, "line-keys")
-    # A line that a third of all documents share is spread over the salts.
+    # A line that a third of all documents share is spread over the salts, the more the larger the table.
+    salts = 1 + seen.count() // LINES_A_PART
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     group = ["h1", "h2", "salt"]
     dealt = seen.select(*group, "id", "pos").repartitionByRange(*group).sortWithinPartitions(*group, F.desc("id"), "pos")
     stream = Window.partitionBy(*group).orderBy(F.desc("id"))
@@ -60,17 +65,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1)).alias("starts"),
         F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1)).alias("ends"),
     )
-    runs = F.flatten(F.transform("starts", lambda s, i: F.array(s - F.when(i == 0, 0).otherwise(F.get("ends", i - 1) + 1), F.get("ends", i) - s + 1)))
+    runs = F.flatten(F.transform("starts", lambda s, i: F.array(s, F.get("ends", i) + 1)))
     return ends.select("id", "row_key", F.size("at").cast("long").alias("n_dropped"), runs.alias("runs"))
 
 
 def dropped_positions(runs: Column) -> Column:
     """The positions that a bitmap of :func:`line_bitmaps` drops."""
-    bounds = F.transform(
-        F.sequence(F.lit(1), (F.size(runs) / 2).cast("int")),
-        lambda k: F.struct(F.aggregate(F.slice(runs, 1, k * 2 - 1), F.lit(0), lambda a, x: a + x).alias("a"), F.get(runs, k * 2 - 1).alias("n")),
-    )
-    return F.flatten(F.transform(bounds, lambda b: F.sequence(b["a"], b["a"] + b["n"] - 1)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(runs) / 2).cast("int") - 1), lambda k: F.sequence(F.get(runs, 2 * k), F.get(runs, 2 * k + 1) - 1)))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,11 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import materialise, new_path
+from tally.llm.common import NULL_ID, id_key, materialise, new_path, open_store, qualified
 from tally.llm.word_chunks import PIECES, PLAIN, PartCache, PieceCache, byte_characters
 
 MAGIC = b"TLYSST1\0"
@@ -36,6 +35,8 @@ FOOTER = struct.Struct("<QQQQQQQBB6x8s")
 INDEX = struct.Struct("<9sQQQQ")
 BLOCK = 64 * 1024
 BITS_PER_KEY, HASHES = 10, 7
+#: Bytes of text that make a shard, about.
+SHARD_TEXT = 128 << 20
 
 _loaded: dict = {}
 
@@ -238,27 +239,23 @@ def _encoder(file: str, end_id: int) -> IdEncoder:
     return _loaded[file, end_id]
 
 
-def _open(path: str):
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return fs, at
-
-
 MANIFEST = "shard string, first_id long, last_id long, docs long, tokens long, bytes long, has_null boolean"
 
 
 def write_shards(docs: DataFrame, file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes shards; returns their manifest with ``start``.
 
-    Text is range-partitioned by id before it is encoded, so each task encodes
-    and writes one shard. A shard gets a name of its own in each attempt; only
+    Text is range-partitioned by id before it is encoded, into parts of about
+    SHARD_TEXT bytes but no fewer than shuffles have, so each task encodes and
+    writes one shard. A shard gets a name of its own in each attempt; only
     those named in the committed manifest count. ``start`` is the number of
     ids in all shards before. Null text counts as empty (one id, the end), a
     null id sorts first, repeated ids follow one another; an empty table gives
-    no shard. Other columns are not read.
+    no shard. A very long text is one value, encoded whole by the task that has
+    its id. Other columns are not read.
     """
     spark = docs.sparkSession
-    path = path or new_path(spark, "sstable")
-    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    root = qualified(spark, path or new_path(spark, "sstable"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(file, end_id)
@@ -269,7 +266,7 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, id_col: str = "doc
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if out is None:
                     name = f"{root}/shard-{uuid.uuid4().hex}.sst"
-                    fs, where = _open(name)
+                    fs, where = open_store(name)
                     fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(where)
                     writer = ShardWriter(out, enc.width)
@@ -283,8 +280,10 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, id_col: str = "doc
             row = pd.DataFrame([[name, first, last, writer.docs, writer.tokens, size, has_null]], columns=[c.split()[0] for c in MANIFEST.split(", ")])
             yield pa.RecordBatch.from_pandas(row.astype({"first_id": "Int64", "last_id": "Int64"}), preserve_index=False)
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id")
-    manifest = materialise(dealt.mapInArrow(write, MANIFEST), "sstable-manifest")
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT))
+    manifest = materialise(pairs.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(write, MANIFEST), "sstable-manifest")
     # One row a shard: the running sum over shards is small.
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -296,7 +295,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = True, id_col: str = "doc_i
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, base in zip(b.column("shard").to_pylist(), b.column("start").to_pylist()):
-                fs, where = _open(shard)
+                fs, where = open_store(shard)
                 with fs.open_input_file(where) as f:
                     rows: list[tuple] = []
                     for i, start, ids in ShardReader(f).scan():
@@ -318,19 +317,37 @@ def read_shards(manifest: DataFrame, with_ids: bool = True, id_col: str = "doc_i
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    # The manifest has a short row a shard; each task reads a few shards.
-    return manifest.select("shard", "start").repartition("shard").mapInArrow(read, schema).withColumnRenamed("id", id_col)
+    # As many tasks as shards: each reads one.
+    return manifest.select("shard", "start").repartitionByRange(max(1, manifest.count()), "start", "shard").mapInArrow(read, schema).withColumnRenamed("id", id_col)
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of the wanted ids, each read from the shards whose range holds it."""
-    w = wanted.select(F.col(id_col).cast("long").alias("id")).distinct()
-    hit = w.join(manifest.select("shard", "first_id", "last_id"), (F.col("id") >= F.col("first_id")) & (F.col("id") <= F.col("last_id")))
+    """(doc_id, ids) of the wanted ids, each read from the shards whose range holds it; a null id finds the documents without one.
+
+    The bounds of all shards, two numbers for each SHARD_TEXT bytes, go to
+    every task, which finds an id's shards by binary search.
+    """
+    bounds = manifest.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).select("shard", "first_id", "last_id", "has_null").collect()
+    names = [r["shard"] for r in bounds]
+    # A shard that begins with null ids begins with the smallest key; one of null ids only also ends with it.
+    low = np.array([NULL_ID if r["has_null"] or r["first_id"] is None else r["first_id"] for r in bounds], np.int64)
+    high = np.array([NULL_ID if r["last_id"] is None else r["last_id"] for r in bounds], np.int64)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            key = b["key"].to_numpy(np.int64)
+            first, last = np.searchsorted(high, key, "left"), np.searchsorted(low, key, "right")
+            hit = [(i, names[s]) for i, a, z in zip(key.tolist(), first.tolist(), last.tolist()) for s in range(a, z)]
+            yield pd.DataFrame(hit, columns=["key", "shard"])
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        fs, where = _open(pdf["shard"].iloc[0])
+        fs, where = open_store(pdf["shard"].iloc[0])
         with fs.open_input_file(where) as f:
             shard = ShardReader(f)
-            return pd.DataFrame([(int(i), v.astype(np.int32)) for i in pdf["id"] for v in shard.get(int(i))], columns=["id", "ids"])
+            ids = [None if k == NULL_ID else int(k) for k in pdf["key"]]
+            found = [(i, v.astype(np.int32)) for i in ids for v in shard.get(i)]
+            return pd.DataFrame({"id": pd.array([i for i, _ in found], "Int64"), "ids": [v for _, v in found]})
 
-    return hit.groupBy("shard").applyInPandas(find, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    w = wanted.select(id_key(id_col).alias("key")).distinct()
+    routed = w.mapInPandas(route, "key long, shard string")
+    return routed.groupBy("shard").applyInPandas(find, "id long, ids array<int>").withColumnRenamed("id", id_col)

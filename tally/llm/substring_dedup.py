@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import discard, id_key, materialise, release
+from tally.llm.common import discard, id_key, materialise
 
 ROUNDS = 3
 #: Parts of the windows, by their hashes, that are dealt out one after the other:
@@ -268,7 +268,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept_text`` is null where nothing was removed.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
     wide = materialise(_first_pass(d, width).withColumn("row", F.monotonically_increasing_id()), "substring-picks")
     row = ["id", "row_key"]
     seen = materialise(wide.drop("picks"), "substring-texts")
@@ -279,16 +278,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Picks that at least two rows share, and the rows that hold them.
     keys = _shared_picks(wide)
-    release(spark)
     holders = wide.select("row", F.posexplode("picks").alias("n", "key")).join(keys, "key").groupBy("row").agg(F.collect_set("n").alias("picked"))
     holders = materialise(holders, "substring-holders")
     discard(wide)
-    release(spark)
     wanted = holders.join(seen.select("row", *row), "row").drop("row").dropDuplicates(row).join(twins, row, "left_anti")
     shared = materialise(d.select(*row, "text").join(wanted, row), "substring-shared")
     discard(keys)
     discard(holders)
-    release(spark)
 
     # The full contents decide: who else starts with the same window, and where first.
     # Twins are not looked at again, but the first of each group of them is here.
@@ -298,10 +294,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = windows.where(F.col("part") == part).drop("part")
         first = own.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
         first = materialise(first, "substring-first")
-        release(spark)
         found.append(materialise(own.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
         discard(first)
-        release(spark)
     discard(windows)
     starts = found[0]
     for more in found[1:]:

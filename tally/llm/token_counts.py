@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import sub
 
 import numpy as np
@@ -22,12 +22,33 @@ from pyspark.sql import functions as F
 from tally.llm.word_chunks import PIECES, PLAIN, WORD, PartCache, byte_characters
 
 _loaded: dict = {}
+#: Bytes at the end of a string by which the tokens it may end with are looked up.
+END_BYTES = 5
+#: Beginnings of pre-tokens that are kept have so many bytes at most.
+KEPT_BYTES = 24
 #: The stored form of a change of the count.
 STEP = np.dtype(np.int16)
 #: The characters with Unicode's White_Space property.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+class EndLengths(dict):
+    """Up to END_BYTES bytes -> the lengths, longest first, of the tokens that a string ending in them may end with."""
+
+    def __init__(self, vocab: Iterable[bytes]):
+        super().__init__()
+        self.vocab = vocab
+        self.long: dict[bytes, set[int]] = {}
+        for token in vocab:
+            if len(token) >= END_BYTES:
+                self.long.setdefault(token[-END_BYTES:], set()).add(len(token))
+
+    def __missing__(self, end: bytes) -> tuple[int, ...]:
+        short = {n for n in range(1, END_BYTES) if n <= len(end) and end[-n:] in self.vocab}
+        found = self[end] = tuple(sorted(short | self.long.get(end, set()), reverse=True))
+        return found
+
+
 class PrefixCounter:
     """Prefix counts for one byte-level BPE tokenizer file of the tokenizers library."""
 
@@ -43,9 +64,6 @@ class PrefixCounter:
         shown = {c: b for b, c in enumerate(byte_characters())}
         raw = {t: bytes(shown[c] for c in t) for t in model["vocab"] if all(c in shown for c in t)}
         self.vocab = {b: n for n, b in enumerate(raw.values())}
-        self.ends = [1] * 256
-        for token in self.vocab:
-            self.ends[token[-1]] = max(self.ends[token[-1]], len(token))
         # For each token the merge that makes it: its rank and its two halves. Single bytes have rank -1.
         self.rank, self.left, self.right, self.pair = [-1] * len(raw), [0] * len(raw), [0] * len(raw), {}
         for rank, merge in enumerate(model["merges"]):
@@ -55,7 +73,9 @@ class PrefixCounter:
             if made is not None and self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, i, j
         self.vocab = {b: n for b, n in self.vocab.items() if len(b) == 1 or self.rank[n] >= 0 and self._joins(b, n)}
+        self.lengths = EndLengths(self.vocab)
         self.follows: dict[tuple[int, int], bool] = {}
+        self.prefixes: dict[bytes, tuple[list[int], list[int]]] = {}
         self.pieces: dict[bytes, list[int]] = {}
         self.steps: dict[str, bytes] = {}
         self.cache = PartCache(self.part)
@@ -98,12 +118,18 @@ class PrefixCounter:
         known = self.pieces.get(s)
         if known is not None:
             return known
-        get, ends, follows, may = self.vocab.get, self.ends, self.follows.get, self._may_follow
-        last, count = [-1], [0]
-        for end in range(1, len(s) + 1):
-            low = end - ends[s[end - 1]]
-            for start in range(low if low > 0 else 0, end):
-                token = get(s[start:end])
+        get, lengths, follows, may, prefixes = self.vocab.get, self.lengths, self.follows.get, self._may_follow, self.prefixes
+        # Pre-tokens share beginnings: go on from the longest one that is kept.
+        kept, last, count = 0, [-1], [0]
+        for end in range(min(len(s) - 1, KEPT_BYTES), 0, -1):
+            found = prefixes.get(s[:end])
+            if found is not None:
+                kept, last, count = end, found[0][: end + 1], found[1][: end + 1]
+                break
+        for end in range(kept + 1, len(s) + 1):
+            for length in lengths[s[end - END_BYTES : end] if end > END_BYTES else s[:end]]:
+                start = end - length
+                token = get(s[start:end]) if start >= 0 else None
                 if token is None:
                     continue
                 if start:
@@ -117,6 +143,12 @@ class PrefixCounter:
                 break
             else:
                 raise ValueError(f"no token ends at byte {end} of {s[:80]!r}")
+        if len(prefixes) > 200_000:
+            prefixes.clear()
+        if len(s) <= 4 * KEPT_BYTES:
+            found = last, count
+            for end in range(kept + 1, min(len(s), KEPT_BYTES) + 1):
+                prefixes[s[:end]] = found
         if len(self.pieces) > 100_000:
             self.pieces.clear()
         known = self.pieces[s] = count[1:]

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, id_key, materialise, new_path
+from tally.llm.common import NULL_ID, id_key, materialise, new_path, open_store, qualified, spread_join
 
 #: Fixed values of the ZIP format: signatures and record layouts.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -34,8 +33,8 @@ LOCATOR_HEAD = struct.Struct("<4sIQI")
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
 #: One index line per record: record key, offset and length within the records' member.
 INDEX_LINE = struct.Struct("<qQQ")
-#: Bytes of records that one reading task takes, about.
-SPLIT = 32 << 20
+#: Bytes of records that one reading task takes, about, and after which a writing task starts another archive.
+SPLIT, ARCHIVE = 32 << 20, 1 << 30
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -191,17 +190,43 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def _open(path: str):
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, row_key, refers_to) of the pages whose payload a page with a larger id has too."""
     body = F.coalesce(F.col(html_col), F.lit(""))
     keys = pages.select(id_key(id_col).alias("id"), F.xxhash64(body).alias("row_key"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= min_bytes)
     keys = materialise(keys, "warc-digests")
-    groups = keys.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(groups, "digest").where("id < top").select("id", "row_key", F.col("top").alias("refers_to")).dropDuplicates(["id", "row_key"])
+    groups = materialise(keys.groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1"), "warc-groups")
+    # The empty page may be a third of all pages.
+    return spread_join(keys, groups, ["digest"], "n").where("id < top").select("id", "row_key", F.col("top").alias("refers_to")).dropDuplicates(["id", "row_key"])
+
+
+class ArchiveWriter:
+    """One ZIP archive under a new name in ``root``: the records' member, then the index."""
+
+    def __init__(self, root: str):
+        self.name = f"{root}/pages-{uuid.uuid4().hex}.zip"
+        fs, where = open_store(self.name)
+        fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        self.out = fs.open_output_stream(where)
+        self.zipped, self.index, self.bytes, self.records = StoredZipWriter(self.out), bytearray(), 0, 0
+        self.zipped.start("archive/pages.warc.gz")
+
+    def add(self, page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
+        raw = gzip.compress(_record(page, url, payload, refers_to), 1, mtime=0)
+        self.zipped.write(raw)
+        self.index += index_entry(page, self.bytes, len(raw))
+        self.bytes += len(raw)
+        self.records += 1
+
+    def close(self) -> pa.RecordBatch:
+        """The archive's row of the manifest."""
+        self.zipped.end()
+        self.zipped.start("indexes/pages.idx")
+        self.zipped.write(bytes(self.index))
+        self.zipped.end()
+        size = self.zipped.close()
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"archive": [self.name], "records": [self.records], "bytes": [size]})
 
 
 MANIFEST = "archive string, records long, bytes long"
@@ -217,8 +242,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     only those in the committed manifest count.
     """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
-    root = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    root = qualified(spark, path or new_path(spark, "warc"))
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), id_key(id_col).alias("id"), F.xxhash64(body).alias("row_key"), F.col(url_col).cast("string").alias("url"), body.alias("html"))
     rows = rows.join(revisits(pages, id_col, html_col, min_bytes), ["id", "row_key"], "left").select("page", "url", "html", "refers_to")
@@ -227,26 +251,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         out = None
         for b in batches:
             for page, url, html, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                if out is None:
-                    name = f"{root}/pages-{uuid.uuid4().hex}.zip"
-                    fs, where = _open(name)
-                    fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(where)
-                    zipped, index, at, records = StoredZipWriter(out), bytearray(), 0, 0
-                    zipped.start("archive/pages.warc.gz")
-                raw = gzip.compress(_record(page, url, html.as_py().encode(), refers), 1, mtime=0)
-                zipped.write(raw)
-                index += index_entry(page, at, len(raw))
-                records += 1
-                at += len(raw)
+                out = out or ArchiveWriter(root)
+                out.add(page, url, html.as_py().encode(), refers)
+                if out.bytes >= ARCHIVE:
+                    yield out.close()
+                    out = None
         if out is not None:
-            zipped.end()
-            zipped.start("indexes/pages.idx")
-            zipped.write(bytes(index))
-            zipped.end()
-            size = zipped.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [name], "records": [records], "bytes": [size]})
+            yield out.close()
 
     return materialise(rows.mapInArrow(write, MANIFEST), "warc-manifest")
 
@@ -257,7 +268,7 @@ def splits(manifest: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for archive in b["archive"]:
-                fs, where = _open(archive)
+                fs, where = open_store(archive)
                 with fs.open_input_file(where) as f:
                     members = stored_members(f)
                     for name, (at, n) in members.items():
@@ -275,14 +286,18 @@ def splits(manifest: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
                             out.append((archive, data_at, run))
                         yield pd.DataFrame([(a, d, [{"start": s, "size": z} for s, z in r]) for a, d, r in out], columns=["archive", "data_at", "ranges"])
 
-    return manifest.select("archive").repartition("archive").mapInPandas(locate, "archive string, data_at long, ranges array<struct<start:long,size:long>>")
+    # As many tasks as archives: each reads one archive's directory and index.
+    n = max(1, manifest.count())
+    return manifest.select("archive").repartitionByRange(n, "archive").mapInPandas(locate, "archive string, data_at long, ranges array<struct<start:long,size:long>>")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload].
 
     The index gives each record's range; records are read and parsed one by
-    one, so memory holds one record (and one output batch) at a time.
+    one, so memory holds one record (and one output batch) at a time, however
+    long it is. Repeated rows and rows of a null id come back as they were
+    written; no archives give no rows.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["url", "payload"] * with_payload
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -290,7 +305,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in b.to_pylist():
-                fs, where = _open(s["archive"])
+                fs, where = open_store(s["archive"])
                 with fs.open_input_file(where) as f:
                     rows: list[dict] = []
                     for r in s["ranges"]:
@@ -307,5 +322,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * with_payload
-    cut = splits(manifest)
-    return cut.repartition(F.col("archive"), F.get("ranges", F.lit(0))["start"]).mapInArrow(read, schema)
+    # As many tasks as splits, which a given number of partitions keeps apart.
+    cut = materialise(splits(manifest), "warc-splits")
+    cut = cut.select("*", F.get("ranges", F.lit(0))["start"].alias("at"))
+    return cut.repartitionByRange(max(1, cut.count()), "archive", "at").mapInArrow(read, schema)

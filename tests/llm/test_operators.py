@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tally.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip  # noqa: E402
+from tally.llm import bpe, common, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip  # noqa: E402
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_lines string, kept string, h1 string, row string, id string"
@@ -49,7 +49,9 @@ def sha(t):
     return hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_lines(spark, pairs):
+@pytest.mark.parametrize("a_part", [100_000, 7])
+def test_lines(spark, pairs, monkeypatch, a_part):
+    monkeypatch.setattr(line_dedup, "LINES_A_PART", a_part)
     df = table(spark, pairs)
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.apply_bitmaps(df, line_dedup.line_bitmaps(df)).collect()}
     holders = collections.defaultdict(set)
@@ -64,6 +66,20 @@ def test_lines(spark, pairs):
     assert sum(v[1] for v in got.values()) > 5
 
 
+def test_lines_of_very_long_texts_null_ids_repeats_and_empty_tables(spark):
+    line = lambda k: f"line {k} that is long enough to be counted as one of many"
+    many = "\n".join(f"{line(k % 9)}\nkeep {k}" for k in range(100_000))
+    rows = [(1, many), (None, line(0)), (None, line(0)), (5, line(1)), (5, line(1)), *[(100 + k, "\n".join(map(line, range(9)))) for k in range(5)]]
+    df = table(spark, rows)
+    got = line_dedup.apply_bitmaps(df, line_dedup.line_bitmaps(df)).collect()
+    assert len(got) == len(rows)
+    long = next(r for r in got if r.doc_id == 1)
+    assert (long.n_lines, long.n_dropped) == (200_000, 100_000) and long.kept_text == "\n".join(f"keep {k}" for k in range(100_000))
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in got if r.doc_id != 1) == [(0, 1), (0, 1), (5, 1), (5, 1), *[(100 + k, 9) for k in range(4)], (104, 0)]
+    none = table(spark, [])
+    assert line_dedup.apply_bitmaps(none, line_dedup.line_bitmaps(none)).count() == 0
+
+
 def test_bpe_round_trip(spark, pairs):
     import base64
 
@@ -109,16 +125,18 @@ def test_token_counts_of_special_strings_null_ids_and_empty_tables(spark):
     assert token_counts.token_counts(table(spark, []), JSON).count() == 0
 
 
-def test_exact_dedup(spark, pairs):
-    rows = [*pairs, pairs[0], (None, pairs[1][1])]
+def test_exact_dedup(spark, pairs, monkeypatch):
+    rows = [*pairs, pairs[0], pairs[0], (None, pairs[1][1]), (None, "lonely"), (None, "lonely")]
+    monkeypatch.setattr(common, "PART_ROWS", 2)
     got = exact_dedup.exact_dedup(table(spark, rows)).collect()
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[lower(t)].append(i)
+    by_digest = {sha(t): g for t, g in groups.items()}
     assert len(got) == len(rows)
     for r in got:
-        own = next(g for g in groups.values() if r.doc_id in g and sha(lower(dict((i, t) for i, t in rows)[r.doc_id])) == bytes(r.digest).hex())
-        assert (r.group_size, r.keep_id) == (len(own), max(i for i in own if i is not None))
+        own = by_digest[bytes(r.digest).hex()]
+        assert (r.group_size, r.keep_id) == (len(own), max((i for i in own if i is not None), default=None))
     assert sum(r.kept for r in got) == len(groups)
     assert exact_dedup.exact_dedup_filter(table(spark, rows)).count() == len(groups)
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
@@ -128,19 +146,21 @@ def test_cuckoo_index_inserts_deletes_and_grows(spark):
     keys = [hashlib.sha256(str(k).encode()).digest() for k in range(3000)]
     index = exact_dedup.CuckooIndex(16)
     for k in keys:
-        assert index.get(k) is None
-        index.put(k, [1])
-    assert index.resizes > 0 and all(index.get(k) == [1] for k in keys)
+        index.put(k)
+    assert index.resizes > 0 and all(map(index.meets, keys))
     assert all(index.remove(k) for k in keys[::2]) and not index.remove(keys[0])
-    assert [index.get(k) is not None for k in keys] == [n % 2 == 1 for n in range(3000)]
-    live = exact_dedup.DigestIndex(spark, buckets=4)
-    batch = lambda some: spark.createDataFrame([(n, bytearray(keys[n])) for n in some], "id bigint, digest binary")
-    assert sorted(r.is_new for r in live.insert(batch(range(5))).collect()) == [True] * 5
-    live.delete(batch([0]))
-    assert sorted((r.keep, r.is_new) for r in live.insert(batch([0, 1])).collect()) == [(0, True), (1, False)]
-
-
-def test_warc_zip(spark):
+    assert all(map(index.meets, keys[1::2])) and sum(map(index.meets, keys[::2])) < 30
+    live = exact_dedup.DigestIndex(spark, 4 * exact_dedup.BUCKET_KEYS)
+    batch = lambda some: spark.createDataFrame([(n, k, bytearray(keys[n])) for k, n in enumerate(some)], "id bigint, at bigint, digest binary")
+    table_of = lambda: sorted((r.keep, r.group_size) for r in live.table.collect())
+    assert live.insert(batch(range(5))).count() == 0 and table_of() == [(n, 1) for n in range(5)]
+    live.delete(batch([0, 9]))
+    assert [(r.keep, r.group_size, r.is_new) for r in live.insert(batch([0, 1, 1])).collect()] == [(1, 3, False)]
+    assert table_of() == [(0, 1), (1, 3), (2, 1), (3, 1), (4, 1)]
+    assert [(r.keep, r.is_new) for r in live.insert(batch([7, 7])).collect()] == [(7, True)]
+
+
+def test_warc_zip(spark, tmp_path):
     html = ["<p>a</p>", "", None, "<p>a</p>", "é" * 50, "<p>a</p>", "x"]
     pages = spark.createDataFrame([(10 + k, f"http://x/{k}", h, "c") for k, h in enumerate(html)], "page_id bigint, url string, html string, refers_to string")
     manifest = warc_zip.write_archives(pages)
@@ -151,12 +171,26 @@ def test_warc_zip(spark):
         assert r.payload_bytes == len((h or "").encode()) and r.payload_digest == warc_zip.sha1_base32((h or "").encode())
         assert (r.record_type, r.refers_to) == (("response", None) if 10 + k == max(same) else ("revisit", max(same)))
     for r in manifest.collect():  # another reader agrees with ours
-        with zipfile.ZipFile(r.archive.removeprefix("file://")) as z:
+        with zipfile.ZipFile(r.archive.removeprefix("file:")) as z:
             assert z.testzip() is None and set(z.namelist()) == {"archive/pages.warc.gz", "indexes/pages.idx"}
-    big = warc_zip.read_archives(warc_zip.write_archives(pages, min_bytes=10))
+    big = warc_zip.read_archives(warc_zip.write_archives(pages, min_bytes=10, path=(tmp_path / "a").as_uri()))
     assert big.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_zip_of_hot_payloads_odd_ids_long_pages_and_no_pages(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    monkeypatch.setattr(warc_zip, "ARCHIVE", 4000)
+    rows = [(k, f"u{k}", "") for k in range(40)] + [(None, None, "n"), (None, "b", "n"), (50, "r", "same"), (50, "r", "same"), (60, "l", "long " * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc_zip.write_archives(pages)
+    got = warc_zip.read_archives(manifest).collect()
+    assert len(got) == len(rows) and manifest.count() > 2
+    assert sorted(r.page_id for r in got if r.refers_to == 39) == list(range(39))
+    assert [r.record_type for r in got if r.page_id in (39, 50, 60, None)] == ["response"] * 6
+    assert next(r for r in got if r.page_id == 60).payload_bytes == 2_000_000
+    assert warc_zip.read_archives(warc_zip.write_archives(pages.where("false"))).count() == 0
+
+
 def test_zip_reader_takes_plain_archives():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
@@ -259,13 +293,15 @@ def test_near_dup_filter(spark, pairs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
-def test_sstable(spark, pairs):
+def test_sstable(spark, pairs, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
     rows = [*pairs, (None, "null id"), (pairs[0][0], "again")]
-    manifest = sstable.write_shards(table(spark, rows), JSON)
-    got = sstable.read_shards(manifest).collect()
+    manifest = sstable.write_shards(table(spark, rows), JSON, path=str(tmp_path / "without-a-scheme"))
+    back = sstable.read_shards(manifest)
+    assert back.rdd.getNumPartitions() == manifest.count() > 1
+    got = back.collect()
     assert len(got) == len(rows) and sorted(r.doc_id is None for r in got)[-1]
     start = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -278,9 +314,9 @@ def test_sstable(spark, pairs):
             assert r.ids_crc32 == __import__("zlib").crc32(np.array(r.ids, "<u4").tobytes())
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
-    wanted = spark.createDataFrame([(pairs[5][0],), (pairs[0][0],), (-99,), (2,)], "doc_id bigint")
+    wanted = spark.createDataFrame([(pairs[5][0],), (pairs[0][0],), (-99,), (2,), (None,)], "doc_id bigint")
     found = collections.Counter(r.doc_id for r in sstable.lookup(manifest, wanted).collect())
-    assert found == {pairs[5][0]: 1, pairs[0][0]: 2}
+    assert found == {pairs[5][0]: 1, pairs[0][0]: 2, None: 1}
     assert sstable.read_shards(sstable.write_shards(table(spark, []), JSON)).count() == 0
 
 
