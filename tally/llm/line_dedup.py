@@ -24,8 +24,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document that loses lines: (id_key, row_key, n_dropped, runs).
 
     ``runs`` is the keep bitmap of the document's lines, run-length compressed:
-    where each dropped run starts and where it has ended, in turn; all other
-    lines are kept. A line's key is the line without ASCII white space at
+    where each dropped run starts and stops; all other lines are kept. A line's key is the line without ASCII white space at
     its ends, A-Z lower-cased; a key of at least ``min_chars`` code points that
     at least ``min_docs`` documents hold is dropped everywhere but in the
     document with the largest id.
@@ -37,7 +36,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no bitmaps. Columns besides the two named are not read.
     """
     key = ascii_lower(trim_ascii(F.col("line")))
-    lines = docs.select(id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.posexplode(_lines(text_col)).alias("pos", "line"))
+    # The hash of the text comes first: behind the lines it would be taken anew for each of them.
+    keyed = docs.select(id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), _lines(text_col).alias("lines"))
+    lines = keyed.select("id", "row_key", F.posexplode("lines").alias("pos", "line"))
     seen = (
         lines.where(F.char_length(trim_ascii(F.col("line"))) >= min_chars)
         .withColumn("key", key)
@@ -65,13 +66,14 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1)).alias("starts"),
         F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1)).alias("ends"),
     )
-    runs = F.flatten(F.transform("starts", lambda s, i: F.array(s, F.get("ends", i) + 1)))
+    # Zipped, for an array that a lambda indexes may be made anew for each element.
+    runs = F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("start"), (e + 1).alias("stop")))
     return ends.select("id", "row_key", F.size("at").cast("long").alias("n_dropped"), runs.alias("runs"))
 
 
 def dropped_positions(runs: Column) -> Column:
     """The positions that a bitmap of :func:`line_bitmaps` drops."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(runs) / 2).cast("int") - 1), lambda k: F.sequence(F.get(runs, 2 * k), F.get(runs, 2 * k + 1) - 1)))
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["stop"] - 1)))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
