@@ -32,17 +32,13 @@ SELECT concat('B-', substr(id, 3), 'e') AS id, tenant_id, 'bank' AS source_id, e
   currency, direction, counterparty_account, counterparty_bic
 FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS k FROM ({LEDGER}) l) p WHERE k % 29 = 0"""
 
-#: One month, as the sequential oracle walks row by row.
-WINDOW = ("1998-03-01", "1998-03-31")
+#: The run of a row, in SQL that Spark and DuckDB share: a calendar month of value dates of one tenant.
+RUN_OF = "concat('run-', tenant_id, '-', substr(CAST(value_date AS STRING), 1, 7))"
 
 
-def in_window(sql: str, window: tuple[str, str] = WINDOW) -> str:
-    return f"SELECT * FROM ({sql}) w WHERE value_date BETWEEN DATE '{window[0]}' AND DATE '{window[1]}'"
-
-
-def by_month(side: DataFrame) -> DataFrame:
-    """``side`` with run_id: each calendar month of value dates is a run, its window the whole month."""
-    return side.withColumn("run_id", F.concat(F.lit("run-"), F.date_format("value_date", "yyyy-MM")))
+def by_run(side: DataFrame) -> DataFrame:
+    """``side`` with run_id: each calendar month of value dates of a tenant is a run, its window the whole month."""
+    return side.withColumn("run_id", F.expr(RUN_OF))
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -53,10 +49,6 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def sides(spark: SparkSession, sf_dir: str, window: tuple[str, str] = WINDOW) -> tuple[DataFrame, DataFrame]:
-    return frame(spark, sf_dir, in_window(LEDGER, window)), frame(spark, sf_dir, in_window(BANK, window))
-
-
-def all_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every row of both sides, with its run."""
-    return by_month(frame(spark, sf_dir, LEDGER)), by_month(frame(spark, sf_dir, BANK))
+    return by_run(frame(spark, sf_dir, LEDGER)), by_run(frame(spark, sf_dir, BANK))
