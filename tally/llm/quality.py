@@ -2,9 +2,9 @@
 
 Each text gets a vector of transformed statistics. Per language and source the
 minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps, and texts beyond a Mahalanobis distance are rejected.
-Vectors are fixed-point integers and sums are exact, so results do not depend
-on how rows are dealt.
+concentration steps from several starts until the determinant settles, and
+texts beyond a Mahalanobis distance are rejected. Vectors are fixed-point
+integers and sums are exact, so results do not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -134,15 +134,93 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(1 + d2) * 64).cast("long")
 
 
-def fit(vectors: DataFrame, share: float = 0.75, steps: int = 3, min_group: int = 100) -> DataFrame:
+def _moments(by: list[str], sums: DataFrame, scale: float) -> DataFrame:
+    """(by, centre, factor, logdet) from exact sums (n, s0.., p0_0..): mean, and the Cholesky factor of the scaled
+    covariance with the squared smallest spreads on top of its diagonal."""
+    floor = [v**2 for v in STATISTICS.values()]
+    m = sums.select(*by, "n", *[c for c in sums.columns if c[0] == "p"], *[(F.col(f"s{i}").cast("double") / F.col("n") / UNIT).alias(f"m{i}") for i in range(D)])
+    cov = [((F.col(f"p{i}_{j}").cast("double") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)]
+    return _factored(by, m.select(*by, *[f"m{i}" for i in range(D)], *cov))
+
+
+def _factored(by: list[str], m: DataFrame) -> DataFrame:
+    """(by, centre, factor, logdet) from columns m0.. (centre) and c0_0.. (scatter, lower half)."""
+    for i in range(D):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}_{j}")
+            for k in range(j):
+                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            m = m.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
+    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(1, D)), 2 * F.log("l0_0"))
+    return m.select(*by, F.array(*[f"m{i}" for i in range(D)]).alias("centre"), F.array(*[f"l{i}_{j}" for i in range(D) for j in range(i + 1)]).alias("factor"), F.round(logdet, 9).alias("logdet"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, start, centre, factor, logdet): three estimates of each group to begin with.
+
+    0: medians and the quartiles' distances, uncorrelated. 1: medians with the
+    scatter of the directions in which the rows lie from them (spatial signs).
+    2: mean and covariance of all rows.
+    """
+    cells = rows.select("g", F.posexplode("x").alias("k", "v")).groupBy("g", "k", "v").agg(F.count("*").alias("n"))
+    quartiles = _quantile_bins(cells, ["g", "k"], "v", {"low": 0.25, "mid": 0.5, "high": 0.75})
+    floors = F.array(*[F.lit(f) for f in STATISTICS.values()])
+    spread = F.greatest((F.col("high") - F.col("low")) / (1.349 * UNIT), F.get(floors, F.col("k")))
+    wide = quartiles.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col("mid") / UNIT)).alias(f"m{i}") for i in range(D)], *[F.max(F.when(F.col("k") == i, spread)).alias(f"e{i}") for i in range(D)])
+    wide = materialise(wide, "quality-quartiles")
+    by = ["g", "start"]
+    mids = [f"m{i}" for i in range(D)]
+    lower = [(i, j) for i in range(D) for j in range(i + 1)]
+    plain = _factored(by, wide.select("g", F.lit(0).alias("start"), *mids, *[(F.col(f"e{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in lower]))
+
+    x = [F.get("x", F.lit(i)) for i in range(D)]
+    z = rows.join(wide, "g").select("g", "x", *[((x[i] / UNIT - F.col(f"m{i}")) / F.col(f"e{i}")).alias(f"z{i}") for i in range(D)])
+    z = z.withColumn("norm", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(1, D)), F.col("z0") ** 2), F.lit(1e-9)))
+    sign = [F.sum(F.round(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") * 1_000_000).cast("long")).alias(f"q{i}_{j}") for i, j in lower]
+    sums = materialise(z.groupBy("g").agg(F.count("*").alias("n"), *sign, *_sums(x)), "quality-starts")
+    j = sums.join(wide, "g")
+    scatter = [(D * F.col(f"q{a}_{b}") / 1e6 / F.col("n") * F.col(f"e{a}") * F.col(f"e{b}") + (F.col(f"e{a}") ** 2 * 1e-3 if a == b else F.lit(0.0))).alias(f"c{a}_{b}") for a, b in lower]
+    signs = _factored(by, j.select("g", F.lit(1).alias("start"), *mids, *scatter))
+    whole = _moments(by, sums.select("g", F.lit(2).alias("start"), "n", *[c for c in sums.columns if c[0] in "sp"]), 1.0)
+    return materialise(plain.unionByName(signs).unionByName(whole), "quality-model")
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.sum(x[i]).alias(f"s{i}") for i in range(D)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(D) for j in range(i + 1)]
+
+
+def _concentrate(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """A concentration step: the estimate from the ``share`` of each group's rows that the given one puts nearest.
+
+    One pass over the rows gives counts and exact sums by distance, in bins of
+    about one part in ninety; the rows of the bin with the last of the share
+    all belong to it.
+    """
+    by = ["g", "start"]
+    # Consistency at the normal distribution of a scatter from the inner share.
+    scale = share / chi_square_cdf(chi_square_quantile(share, D), D + 2)
+    d = _with_distance(rows.join(model, "g")).select(*by, _bin(F.col("d2")).alias("bin"), "x")
+    bins = materialise(d.groupBy(*by, "bin").agg(F.count("*").alias("n"), *_sums([F.get("x", F.lit(i)) for i in range(D)])), "quality-bins")
+    inner = bins.join(_quantile_bins(bins, by, "bin", {"cut": share}).select(*by, "cut"), by).where("bin <= cut")
+    # Sums of a bin fit 64 bits for up to 10^10 rows; those of all its bins are decimals.
+    sums = inner.groupBy(*by).agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in bins.columns if c not in (*by, "bin")])
+    return materialise(_moments(by, sums, scale), "quality-model")
+
+
+def fit(vectors: DataFrame, share: float = 0.75, min_group: int = 5 * D, settled: float = 1e-3) -> DataFrame:
     """(g_lang, g_source, centre, factor) per language and source from (lang, source, x) rows.
 
-    ``share`` of a group's rows support the estimate. Languages and sources
-    with under ``min_group`` rows are pooled by language, and languages with
-    too few of those together; null languages and sources are groups of their
-    own. The result has a row for each pair of (lang, source).
+    Minimum covariance determinant: concentration steps from three starts; the
+    start with the smallest determinant after two steps goes on until the
+    logarithm of no group's determinant falls by more than ``settled``, and
+    the estimate of the smallest determinant counts. ``share`` of a group's
+    rows support it. The diagonal has the squares of the smallest spreads in
+    STATISTICS added, so that a statistic that hardly varies has no
+    determinant of 0. Languages and sources with under ``min_group`` rows,
+    five for each dimension, are pooled by language, and languages with too
+    few of those together; null languages and sources are groups of their own.
+    The result has a row for each pair of (lang, source).
     """
-    names = list(STATISTICS)
     sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.col("n") < min_group
     by_lang = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang"))
@@ -155,40 +233,15 @@ def fit(vectors: DataFrame, share: float = 0.75, steps: int = 3, min_group: int
     joined = vectors.join(groups, vectors["lang"].eqNullSafe(groups["lang"]) & vectors["source"].eqNullSafe(groups["source"]))
     rows = materialise(joined.select("g", "x"), "quality-vectors")
 
-    # Start: per statistic the median, and the quartiles' distance as the spread.
-    cells = rows.select("g", F.posexplode("x").alias("k", "v")).groupBy("g", "k", "v").agg(F.count("*").alias("n"))
-    start = _quantile_bins(cells, ["g", "k"], "v", {"low": 0.25, "mid": 0.5, "high": 0.75})
-    floors = F.array(*[F.lit(f) for f in STATISTICS.values()])
-    start = start.withColumn("spread", F.greatest((F.col("high") - F.col("low")) / (1.349 * UNIT), F.get(floors, F.col("k"))))
-    start = start.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("mid") / UNIT).alias("mid"), "spread"))).alias("s"))
-    diagonal = [F.get("s", F.lit(i))["spread"] if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)]
-    model = start.select("g", F.transform("s", lambda s: s["mid"]).alias("centre"), F.array(*diagonal).alias("factor"))
-    model = materialise(model, "quality-model")
-
-    # Consistency at the normal distribution of a scatter from the inner share.
-    scale = share / chi_square_cdf(chi_square_quantile(share, D), D + 2)
-    for _ in range(steps):
-        d = _with_distance(rows.join(model, "g"))
-        bins = d.select("g", _bin(F.col("d2")).alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n"))
-        cut = materialise(_quantile_bins(bins, ["g"], "bin", {"cut": share}).select("g", "cut").join(model, "g"), "quality-cut")
-        inner = _with_distance(rows.join(cut, "g")).where(_bin(F.col("d2")) <= F.col("cut"))
-        exact = lambda c: F.sum(c.cast("decimal(38,0)"))
-        x = [F.get("x", F.lit(i)) for i in range(D)]
-        sums = [exact(x[i]).alias(f"s{i}") for i in range(D)] + [exact(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(D) for j in range(i + 1)]
-        m = inner.groupBy("g").agg(F.count("*").alias("n"), *sums)
-        mean = [(F.col(f"s{i}").cast("double") / F.col("n") / UNIT).alias(f"m{i}") for i in range(D)]
-        m = m.select("*", *mean)
-        floor = [STATISTICS[k] ** 2 for k in names]
-        m = m.select("*", *[((F.col(f"p{i}_{j}").cast("double") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(D) for j in range(i + 1)])
-        for i in range(D):
-            for j in range(i + 1):
-                rest = F.col(f"c{i}_{j}")
-                for k in range(j):
-                    rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-                m = m.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
-        model = m.select("g", F.array(*[f"m{i}" for i in range(D)]).alias("centre"), F.array(*[f"l{i}_{j}" for i in range(D) for j in range(i + 1)]).alias("factor"))
-        model = materialise(model, "quality-model")
-    return groups.join(model, "g").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "centre", "factor")
+    model = _concentrate(rows, _concentrate(rows, _starts(rows), share), share)
+    best = F.struct("logdet", "start", "centre", "factor")
+    model = materialise(model.groupBy("g").agg(F.min(best).alias("b")).select("g", "b.*"), "quality-model")
+    while True:
+        new = _concentrate(rows, model, share).select("g", F.struct("logdet", "start", "centre", "factor").alias("new"))
+        j = materialise(model.select("g", best.alias("old")).join(new, "g"), "quality-settling")
+        model = materialise(j.select("g", F.least("old", "new").alias("b")).select("g", "b.*"), "quality-model")
+        if j.where(F.col("new.logdet") < F.col("old.logdet") - settled).isEmpty():
+            return groups.join(model, "g").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "centre", "factor")
 
 
 def judge(stats: DataFrame, model: DataFrame, level: float = 0.99999) -> DataFrame:
@@ -208,8 +261,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: id, base statistics, base_failed, distance2 and kept.
 
     Null or empty text has no words and fails the base rules; null languages
-    and sources form groups of their own; repeated rows are judged alike. The
-    estimate rests on the texts that pass the base rules.
+    and sources form groups of their own; repeated rows are judged alike, and
+    so are all rows at the distance of the cut, which are kept. A very long
+    text is one vector like any other; an empty table gives no rows. The
+    estimate rests on the texts that pass the base rules. Other columns are
+    not read.
     """
     keep = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
     stats = materialise(base_statistics(docs, keep, text_col), "quality-stats")

@@ -255,6 +255,46 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert abs(quality.chi_square_cdf(quality.chi_square_quantile(0.9, 4), 4) - 0.9) < 1e-9 and abs(quality.chi_square_quantile(0.95, 1) - 3.841459) < 1e-5
 
 
+def test_quality_estimate_against_brute_force_minimum_determinant(spark):
+    rng = np.random.default_rng(8)
+    d, share = quality.D, 0.75
+    base = rng.normal(0, 1, (120, d)) @ np.diag([0.2, 0.5, 0.4, 0.3, 0.2]) + rng.normal(0, 0.3, (120, 1))
+    base[:24] += 4  # a fifth of the rows lies elsewhere, close together
+    x = np.round(base * quality.UNIT).astype(np.int64)
+    rows = spark.createDataFrame([("en", "s", row.tolist()) for row in x], "lang string, source string, x array<bigint>")
+    got = quality.fit(rows).first()
+    floor = np.diag([v**2 for v in quality.STATISTICS.values()])
+    scale = share / quality.chi_square_cdf(quality.chi_square_quantile(share, d), d + 2)
+    u, h = x / quality.UNIT, int(np.ceil(share * len(x)))
+
+    def estimate(at):
+        c = u[at]
+        return c.mean(0), np.cov(c.T, bias=True) * scale + floor
+
+    best = np.inf
+    for _ in range(200):
+        at = rng.choice(len(u), d + 1, replace=False)
+        for _ in range(30):
+            mean, cov = estimate(at)
+            at = np.argsort(((u - mean) @ np.linalg.inv(cov) * (u - mean)).sum(1))[:h]
+        best = min(best, np.linalg.slogdet(estimate(at)[1])[1])
+    low = np.zeros((d, d))
+    low[np.tril_indices(d)] = got.factor
+    assert abs(2 * np.log(np.diag(low)).sum() - best) < 0.1 and np.abs(np.array(got.centre) - u[24:].mean(0)).max() < 0.2
+
+
+def test_quality_of_null_groups_pools_repeats_and_empty_tables(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(80))
+    rows = [(k, text(), lang, source) for k, (lang, source) in enumerate([("en", "a")] * 40 + [("de", "b")] * 3 + [(None, None)] * 30 + [("fr", None)] * 2)]
+    rows += [(None, rows[0][1], "en", "a"), (1, rows[1][1], "en", "a"), (90, "long word " * 300_000, "en", "a"), (91, None, "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = quality.quality_verdicts(df).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got if r.doc_id not in (90, 91)) and not any(r.kept for r in got if r.doc_id in (90, 91))
+    assert quality.quality_filter(df).count() == len(rows) - 2
+    assert quality.quality_verdicts(df.where("false")).count() == 0
+
+
 def brute_links(pairs, k, num, den):
     sets = {}
     for i, t in pairs:
