@@ -73,6 +73,25 @@ def _text(spark, sf_dir):
     return st.gate(st.parse_text_statement(files))[0].select(*_SHOWN)
 
 
+def _layer(content: bytes) -> str:
+    """The text of the made-up files below; a real extractor is the caller's library."""
+    head, _, text = content.decode().partition("\n")
+    if head != "%PDF":
+        raise ValueError("not a PDF")
+    return text
+
+
+def _pdf(spark, sf_dir):
+    """Each day a file: on every eighth day of a year one without text, on every ninth one that cannot be read."""
+    line = f"concat(date_format(value_date, 'dd/MM/yyyy'), '  ', external_ref, '  some text  ', IF(direction = 'debit', 'DR', 'CR'), '  ', {_AMOUNT.format('.')})"
+    files = _files(spark, sf_dir, line, "'%PDF\n\nDate  Reference  Description  DR/CR  Amount\n'", "'\nPage 1 of 1'")
+    day = F.dayofyear(F.to_date("path"))
+    files = files.select("path", F.when(day % 8 == 0, F.encode(F.lit("%PDF\n \n"), "UTF-8")).when(day % 9 == 0, F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+    accepted, rejects = st.gate(st.PARSERS["pdf"](files, extract=_layer))
+    rows = accepted.select("path", F.lit("accepted").alias("what"), F.concat_ws("|", "external_ref", "direction", F.col("amount_minor").cast("string")).alias("detail"))
+    return rows.unionByName(rejects.select("path", F.concat(F.lit("row "), F.col("row").cast("string")).alias("what"), "message").withColumnRenamed("message", "detail"))
+
+
 def _detect(spark, sf_dir):
     o = frame(spark, sf_dir, "SELECT o_orderkey AS k FROM orders")
     content = F.expr("CASE k % 7 WHEN 0 THEN '%PDF-1' WHEN 1 THEN '  <Document/>' WHEN 2 THEN '01,A' WHEN 3 THEN ':20:X\\n:34F:G' WHEN 4 THEN ':20:X' WHEN 5 THEN 'ref,day' ELSE ':20:X\\n:90C:1' END")
@@ -106,6 +125,7 @@ QUERIES = {
     "csv_signed": lambda s, d: _csv(s, d, "signed"),
     "csv_debit_credit": lambda s, d: _csv(s, d, "both"),
     "text_statement_roundtrip": _text,
+    "pdf_statements": _pdf,
     "detect_format": _detect,
     "money_parse": _money,
     "ingest_dedupe": _dedupe,
@@ -126,6 +146,10 @@ FROM (SELECT *, dayofyear(value_date) % 7 = 0 AS bad FROM ({LEDGER}) l) x""",
     "csv_signed": _LEDGER_ROWS.format(description="'a;b'", account=_NULL),
     "csv_debit_credit": _LEDGER_ROWS.format(description="''", account="counterparty_account"),
     "text_statement_roundtrip": _LEDGER_ROWS.format(description="'some text'", account=_NULL),
+    "pdf_statements": f"""
+WITH f AS (SELECT *, CAST(value_date AS VARCHAR) AS path, dayofyear(value_date) AS d FROM ({LEDGER}) l)
+SELECT path, 'accepted' AS what, concat(external_ref, '|', direction, '|', CAST(amount_minor AS VARCHAR)) AS detail FROM f WHERE d % 8 <> 0 AND d % 9 <> 0
+UNION ALL SELECT DISTINCT path, 'row 0', CASE WHEN d % 8 = 0 THEN 'no extractable text layer (scanned PDF?)' ELSE 'could not read PDF (malformed or unsupported)' END FROM f WHERE d % 8 = 0 OR d % 9 = 0""",
     "detect_format": "SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'camt053' WHEN 2 THEN 'bai2' WHEN 3 THEN 'mt942' WHEN 4 THEN 'mt940' WHEN 6 THEN 'mt942' END AS format FROM orders",
     "money_parse": "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN m WHEN 1 THEN -m WHEN 2 THEN -m END AS amount_minor FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS m FROM orders) o",
     "ingest_dedupe": f"""

@@ -357,8 +357,44 @@ def parse_text_statement(files: DataFrame) -> DataFrame:
     return _as_parsed(body.withColumn("errors", errors), external_ref=at(1), value_date=day, amount_minor=amount, direction=F.when(at(3) == "DR", "debit").otherwise("credit"), description=at(2))
 
 
+#: Fixed value: the name of the one known layout of PDF statements. A further one is a function files of text -> parsed rows.
+PDF_PROFILES = {"acmebank": parse_text_statement}
+
+
+def parse_pdf(files: DataFrame, extract, profile: str = "acmebank") -> DataFrame:
+    """Text-layer PDF statements: ``extract`` takes a file's bytes to its text, and the profile's parser reads it.
+
+    ``extract`` is a function of the caller's PDF library; a file that it
+    fails on, and one without text, is an error of the document (row 0).
+    ValueError for an unknown profile.
+    """
+    if profile not in PDF_PROFILES:
+        raise ValueError(f"unknown profile {profile!r}")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, problems = [], []
+            for content in b["content"]:
+                try:
+                    text, problem = extract(bytes(content)), None
+                except Exception:  # whatever a library raises on a malformed file
+                    text, problem = "", "could not read PDF (malformed or unsupported)"
+                if problem is None and not text.strip():
+                    problem = "no extractable text layer (scanned PDF?)"
+                texts.append(text.encode())
+                problems.append(problem)
+            yield pd.DataFrame({"path": b["path"], "content": texts, "problem": problems})
+
+    read_files = files.select("path", "content").mapInPandas(read, "path string, content binary, problem string")
+    good = PDF_PROFILES[profile](read_files.where("problem is null").select("path", "content"))
+    error = F.array(F.struct(F.lit(0).alias("row"), F.lit("document").alias("field"), F.col("problem").alias("message"))).cast(ERRORS)
+    bad = read_files.where("problem is not null").withColumn("row", F.lit(0)).withColumn("errors", error)
+    return good.unionByName(_as_parsed(bad))
+
+
 #: Parsers by format; a further one is a function files -> parsed rows.
 PARSERS = {
+    "pdf": lambda files, **o: parse_pdf(files, o["extract"], o.get("profile", "acmebank")),
     "mt940": lambda files, **o: parse_mt94x(files, o.get("dialect", "generic")),
     "mt942": lambda files, **o: parse_mt94x(files, o.get("dialect", "generic"), intraday=True),
     "bai2": lambda files, **o: parse_bai2(files),

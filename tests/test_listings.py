@@ -1,7 +1,7 @@
 import pytest
 
 from tally import plans
-from tally.plans import listing, matching
+from tally.plans import admin, listing, matching
 from tally.plans.tpch import frame
 
 duckdb = pytest.importorskip("duckdb")
@@ -18,7 +18,7 @@ def test_tables_hold_a_row_for_every_order_or_customer(spark):
         assert frame(spark, SF, part).count() == n
 
 
-@pytest.mark.parametrize("name", [n for n in (*listing.QUERIES, *matching.QUERIES, "ingest_dedupe") if not n.endswith("_all")])
+@pytest.mark.parametrize("name", [n for n in (*listing.QUERIES, *matching.QUERIES, *admin.QUERIES, "ingest_dedupe", "pdf_statements") if not n.endswith("_all")])
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
     for t in ("orders", "customer", "nation"):
