@@ -63,7 +63,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     """(doc_id, ids, n_tokens) per row; null text counts as empty and gives no ids, null ids stay null.
 
     Rows are independent: repeated rows give repeated rows, other columns are
-    not read, an empty table gives an empty result.
+    not read, an empty table gives an empty result. A very long text is cut at
+    safe places; one without any, as a single run of signs, is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -388,7 +388,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked with nothing. Texts link when ``den * intersection >= num * union``;
     ``component`` names what is reachable by links and ``component_id`` is the
     smallest id in it. A null id is smaller than any other; repeated rows have
-    equal sets and so link.
+    equal sets and so link. A very long text has one large set, split with its
+    block; an empty table gives an empty result; other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     wide = materialise(_first_pass(d, k, num, den).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")

@@ -7,7 +7,8 @@ exchanging tables, and equal substrings get equal symbols inside. Each symbol
 carries the stretch of words that its forming depended on. Every window of
 words picks the symbol of the highest level whose stretch lies inside it; two
 equal windows pick the same. Only stretches that documents share can belong to
-repeats: the windows around them are then compared by their full contents.
+repeats: the windows around them are then compared by 128 bits of hashes over
+their words.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import discard, id_key, materialise
+from tally.llm.common import discard, id_key, materialise, spread_join
 
 ROUNDS = 3
-#: Parts of the windows, by their hashes, that are dealt out one after the other:
-#: only one part's shuffle files are on disk at a time.
+#: Parts of the windows, by their hashes, that are dealt out one after the other: only one
+#: part's shuffle files are on disk at a time, a share of all windows that is the same at every size.
 PASSES = 4
 #: Words handled at once, about: bounds the arrays of a task.
 BATCH_WORDS = 120_000
@@ -195,7 +196,7 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(shared: DataFrame, width: int) -> DataFrame:
-    """(id, row_key, p, a, b, part): start and contents (by 96 bits of hashes) of the windows around the shared picks."""
+    """(id, row_key, p, a, b, part): start and contents (by 128 bits of hashes) of the windows around the shared picks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -218,16 +219,16 @@ def _windows(shared: DataFrame, width: int) -> DataFrame:
                 first_word = np.searchsorted(text, np.arange(len(texts)))
                 take = pa.array(at + of_window)
                 a = range_hashes(s1, b1, start, start + width)
-                b = range_hashes(s2, b2, start, start + width) >> np.uint64(32)
+                b = range_hashes(s2, b2, start, start + width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take), rows.take(take), pa.array((start - first_word[of_window]).astype(np.int32)),
-                        pa.array(a.view(np.int64)), pa.array(b.astype(np.uint32).view(np.int32)), pa.array((a % np.uint64(PASSES)).astype(np.int32)),
+                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((a % np.uint64(PASSES)).astype(np.int32)),
                     ],
                     names=["id", "row_key", "p", "a", "b", "part"],
                 )
 
-    return shared.select("id", "row_key", "text", "picked").mapInArrow(run, "id long, row_key long, p int, a long, b int, part int")
+    return shared.select("id", "row_key", "text", "picked").mapInArrow(run, "id long, row_key long, p int, a long, b long, part int")
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
@@ -264,7 +265,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a document with a smaller id; windows are judged on the input. Words are
     split at ASCII white space; kept words are joined by one space. Null or
     short texts lose nothing. A null id is smaller than all others; rows of
-    one id do not remove from each other, repeated rows are treated alike.
+    one id do not remove from each other, repeated rows are treated alike. A
+    very long text is handled whole, in memory in proportion to its words; an
+    empty table gives an empty result; other columns are not read. Of texts
+    that are equal as a whole only the first passes through the rounds: all
+    windows of the others start there.
     ``kept_text`` is null where nothing was removed.
     """
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
@@ -273,8 +278,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = materialise(wide.drop("picks"), "substring-texts")
 
     # Whole texts that an earlier document has word for word.
-    groups = seen.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("content", "first")
-    twins = materialise(seen.where(F.col("n_words") >= width).select(*row, "content").join(groups, "content").where("id > first").select(*row).distinct(), "substring-twins")
+    groups = seen.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last").select("content", "first", "size")
+    groups = materialise(groups, "substring-groups")
+    twins = spread_join(seen.where(F.col("n_words") >= width).select(*row, "content"), groups, ["content"], "size").where("id > first").select(*row).distinct()
+    twins = materialise(twins, "substring-twins")
 
     # Picks that at least two rows share, and the rows that hold them.
     keys = _shared_picks(wide)
@@ -292,9 +299,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = []
     for part in range(PASSES):
         own = windows.where(F.col("part") == part).drop("part")
-        first = own.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+        first = own.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("a", "b", "lo", "size")
         first = materialise(first, "substring-first")
-        found.append(materialise(own.join(first, ["a", "b"]).where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
+        found.append(materialise(spread_join(own, first, ["a", "b"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
         discard(first)
     discard(windows)
     starts = found[0]

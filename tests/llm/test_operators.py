@@ -224,6 +224,28 @@ def brute_substrings(pairs, width):
     return out
 
 
+def test_substrings_and_near_copies_of_hot_texts_odd_ids_long_texts_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    shared, copied = words(30), words(40)
+    rows = [(k, f"{words(20)} {shared} {words(20)}") for k in range(12)] + [(100 + k, copied) for k in range(12)] + [(200, words(30_000) + " " + shared), (201, None)]
+    df = table(spark, rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == brute_substrings(rows, 13)
+    odd = [(None, shared), (None, shared), (1, shared + " x"), (1, shared + " x")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, odd)).collect())
+    assert got == {(None, 30, 0): 2, (1, 31, 30): 2}
+    joined = {r.own_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df).collect()}
+    assert joined == brute_links(rows, 3, 90, 100)
+    got = collections.Counter((r.own_id, r.component_id) for r in jaccard_join.jaccard_join(table(spark, odd)).collect())
+    assert got == {(None, None): 2, (1, None): 2}
+    none = table(spark, [])
+    assert substring_dedup.substring_dedup(none).count() == jaccard_join.jaccard_join(none).count() == jaccard_join.near_dup_filter(none).count() == 0
+    encoded = bpe.encode_documents(table(spark, [(None, "a"), (1, "b"), (1, "b")]), RANKS, public_tokenizers.PATTERN)
+    assert sorted(r.doc_id or 0 for r in encoded.collect()) == [0, 1, 1] and bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_substrings(spark, pairs):
     rng = random.Random(5)
     letters = [(1000 + k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for k in range(40)]
