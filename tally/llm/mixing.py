@@ -174,8 +174,9 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 def _moved(steps: list[tuple[list[float], float]]) -> Column:
     """The columns rate and ahead (the point the next gradient is taken at) after these steps of a pull and a momentum each.
 
-    A step moves ``ahead`` by the posterior-weighted pull, projects it to 0 or
-    more, which is the new rate, and looks on in the direction of the change.
+    A step moves ``ahead`` by the posterior-weighted pull, projects it to the
+    ``floor`` or more, which is the new rate, and looks on in the direction of
+    the change.
     """
     state = F.struct(F.col("rate").alias("rate"), F.col("ahead").alias("ahead"))
     if not steps:
@@ -183,7 +184,7 @@ def _moved(steps: list[tuple[list[float], float]]) -> Column:
     dot = lambda g: sum((F.get("p", F.lit(k)) * F.get(g, F.lit(k)) for k in range(1, len(DOMAINS))), F.get("p", F.lit(0)) * F.get(g, F.lit(0)))
 
     def step(s: Column, g: Column) -> Column:
-        return F.transform(F.array(F.greatest(F.lit(0.0), s["ahead"] - dot(g))), lambda r: F.struct(r.alias("rate"), (r + F.get(g, F.lit(len(DOMAINS))) * (r - s["rate"])).alias("ahead")))[0]
+        return F.transform(F.array(F.greatest(F.col("floor"), s["ahead"] - dot(g))), lambda r: F.struct(r.alias("rate"), (r + F.get(g, F.lit(len(DOMAINS))) * (r - s["rate"])).alias("ahead")))[0]
 
     history = F.array(*[F.array(*[F.lit(float(x)) for x in (*pull, momentum)]) for pull, momentum in steps])
     return F.aggregate(history, state, step)
@@ -199,8 +200,9 @@ def solve_rates(soft: DataFrame, targets: dict[str, float] | None = None, most_s
     of all tokens, or when the distance no longer falls: then no rates meet the
     targets (as where a domain has no documents), those nearest to them come
     back, the report says met = False and a warning is given. RuntimeError if
-    neither comes about in ``most_steps``. The domain ``whole`` is not cut:
-    where its target is under what it has, all targets grow.
+    neither comes about in ``most_steps``. The domain ``whole`` is not cut: the
+    targets are set in proportion to what it has, and the rate of a document
+    that is as likely in it as in any other domain is 1 at least.
     """
     k = len(DOMAINS)
     targets = targets or TARGETS
@@ -213,24 +215,26 @@ def solve_rates(soft: DataFrame, targets: dict[str, float] | None = None, most_s
     m = [[x + ridge * (i == j) for j, x in enumerate(r)] for i, r in enumerate(m)]
     weight = sum(targets[d] for d in DOMAINS)
     goal = [total * targets[d] / weight for d in DOMAINS]
+    floor = F.lit(0.0)
     if whole is not None:
         at = DOMAINS.index(whole)
-        grow = max(1.0, float(row[f"t{at}"] or 0) / goal[at] if goal[at] else 1.0)
-        goal = [g * grow for g in goal]
-    soft = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
-    own = [c for c in soft.columns if c not in ("rate", "ahead")]
+        has = float(row[f"t{at}"] or 0)
+        goal = [g * has / goal[at] for g in goal] if has and goal[at] else goal
+        floor = F.when(p[at] >= F.array_max("p"), 1.0).otherwise(0.0)
+    soft = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0), "floor": floor})
+    own = [c for c in soft.columns if c not in ("rate", "ahead", "floor")]
     pending: list[tuple[list[float], float]] = []
     far, pace = None, 1.0
     for steps in range(most_steps + 1):
         if len(pending) == REPLAYED:
-            soft, pending = materialise(soft.select(*own, _moved(pending).alias("s")).select(*own, "s.*"), "mix-rates"), []
+            soft, pending = materialise(soft.select(*own, "floor", _moved(pending).alias("s")).select(*own, "floor", "s.*"), "mix-rates"), []
         now = soft.select(t.alias("t"), "p", _moved(pending).alias("s"))
         sums = now.agg(*[F.sum(F.col("t") * F.col(f"s.{c}") * p[i]).alias(f"{c}{i}") for c in ("rate", "ahead") for i in range(k)]).first()
         reached = [float(sums[f"rate{i}"] or 0) for i in range(k)]
         rest = [a - b for a, b in zip(reached, goal)]
         met = total == 0 or max(map(abs, rest)) <= tolerance * total
         before, far = far, sum(x * y for x, y in zip(rest, _solve(m, rest)))
-        if met or before is not None and before >= far >= before * (1 - 1e-4):
+        if met or before is not None and before >= far >= before * (1 - 1e-3):
             break
         # The momentum grows from step to step and starts again when a step led away.
         last, pace = (pace, (1 + sqrt(1 + 4 * pace * pace)) / 2) if before is None or far < before else (1.0, 1.0)
