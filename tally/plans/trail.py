@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.operators import audit, cases, listing
 from tally.plans.tpch import frame
+from tally.storage import written
 
 #: Events as audit entries. The payload is written here as text in the canonical form.
 EVENTS = """
@@ -31,7 +32,8 @@ def entries(spark, sf_dir) -> DataFrame:
 
 
 def chain(spark, sf_dir) -> DataFrame:
-    return audit.append(entries(spark, sf_dir))
+    """The chained log as a table: what reads it several times does not chain it again."""
+    return written(audit.append(entries(spark, sf_dir)), "chain")
 
 
 def _entry_hashes(spark, sf_dir):
