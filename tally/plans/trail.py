@@ -158,3 +158,13 @@ def _rate_limit(spark, sf_dir):
 
 
 QUERIES["rate_limit"] = _rate_limit
+ORACLES["rate_limit"] = """
+WITH RECURSIVE r AS (
+  SELECT concat('u', CAST(user_id AS VARCHAR)) AS key, ts, event_id, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), b AS (
+  SELECT key, CAST(0 AS BIGINT) AS i, 3e0 AS tokens, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id, false AS allowed FROM r GROUP BY key
+  UNION ALL
+  SELECT key, i, CASE WHEN have >= 1 THEN have - 1 ELSE have END, now, ts, event_id, have >= 1
+  FROM (SELECT r.*, CASE WHEN b.last IS NULL THEN b.tokens ELSE least(3e0, b.tokens + greatest(0e0, r.now - b.last) * (1e0 / 36000)) END AS have FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1) q
+)
+SELECT key, ts AS "at", event_id AS id, allowed FROM b WHERE i > 0"""

@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from tally import plans
 from tally.streaming import jobs
 
 
@@ -22,3 +25,13 @@ def test_buckets_equal_a_walk_and_null_keys_have_one(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert {r.id: r.allowed for r in got} == want
     assert {r.id for r in got if r.key is None} == {k for key, _, k in rows if key is None}
+
+
+def test_registered_query_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf_dir = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    want = {(k, i): ok for k, i, ok in db.sql(f"SELECT key, id, allowed FROM ({plans.oracles()['rate_limit']}) q").fetchall()}
+    got = {(r.key, r.id): r.allowed for r in plans.queries()["rate_limit"](spark, sf_dir).collect()}
+    assert got == want and {True, False} == set(got.values())
