@@ -400,7 +400,7 @@ def test_mixing_meets_its_targets(spark):
     df = table(spark, docs)
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     model = mixing.fit_classifier(df, lab)
-    soft = mixing.posteriors(df, model)
+    soft = mixing.materialise(mixing.posteriors(df, model), "soft")
     held = {r.id: r.p for r in soft.collect() if r.id in range(0, 300, 2)}
     assert all(max(range(3), key=lambda d: held[k][d]) == (0 if k % 10 < 6 else 1 if k % 10 < 8 else 2) for k in held if k != 8)
     targets = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
