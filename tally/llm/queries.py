@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
+from tally.llm import bpe, divergence, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
 from tally.llm.common import materialise
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(F.col("own_id").alias("doc_id"), "n_tokens", *p, "rate")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sstable": op9_sstable,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 #: DuckDB strings: the ASCII white space that ``trim`` takes off, and as a regular-expression class.
@@ -167,4 +172,25 @@ WITH RECURSIVE w AS (
   UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
 )
 SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN reach r ON r.x = n.doc_id GROUP BY ALL""",
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS row
+  FROM documents),
+w AS (SELECT lang, source, row, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (total::HUGEINT + 5 * v) AS q FROM kept JOIN v USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(u.n, 0) + 5) // (coalesce(o.total, 0)::HUGEINT + 5 * v.v) AS p
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+  LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN dist d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) r
+QUALIFY part = 'pair' OR rank <= 50""",
 }
