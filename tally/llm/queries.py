@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, divergence, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
+from tally.llm import bpe, clustering, divergence, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
 from tally.llm.common import materialise
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -78,6 +78,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, width=32, seed="2:")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_sstable": op9_sstable,
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_centroids": op12_centroids,
 }
 
 #: DuckDB strings: the ASCII white space that ``trim`` takes off, and as a regular-expression class.
@@ -97,6 +102,32 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _NONWS = r"[^\x20\x09-\x0D]"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds one after another, each a pair of tables: the assignment and the moved centroids."""
+    nearest = lambda r: f"""a{r} AS MATERIALIZED (SELECT n, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT v.n, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} c) s GROUP BY n)"""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INT) AS c, x FROM v QUALIFY c < {k})""",
+    ]
+    for r in range(rounds):
+        parts += [
+            nearest(r),
+            f"""m{r} AS (SELECT cluster, list(m ORDER BY i) AS x FROM (
+    SELECT cluster, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT cluster, i, sum(e)::BIGINT AS s, count(*) AS n
+      FROM (SELECT a.cluster, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS i FROM v JOIN a{r} a ON a.n = v.n) u GROUP BY cluster, i) t) w GROUP BY cluster)""",
+            f"""c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.c)""",
+        ]
+    parts.append(nearest(rounds))
+    return f"""WITH {', '.join(parts)}
+SELECT v.vec_id, a.cluster, CAST(a.distance AS BIGINT) AS distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a ON a.n = v.n JOIN c{rounds} c ON c.c = a.cluster"""
+
+
 ORACLES = {
     "op1_line_dedup": f"""
 WITH lines AS (
@@ -193,4 +224,5 @@ term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT
 SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
 FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) r
 QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_centroids": _lloyd_sql(40, 5),
 }
