@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import bpe, clustering, divergence, exact_dedup, jaccard_join, line_dedup, mixing, quality, sstable, substring_dedup, token_counts, warc_zip
+from tally.llm import bpe, clustering, divergence, exact_dedup, jaccard_join, line_dedup, mixing, pu_quality, quality, sstable, substring_dedup, token_counts, warc_zip
 from tally.llm.common import materialise
 
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -82,6 +82,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_report(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, width=32, seed="2:")
 
 
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pu_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select(F.col("own_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -95,6 +100,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
     "op12_centroids": op12_centroids,
+    "op13_pu_quality": op13_pu_quality,
 }
 
 #: DuckDB strings: the ASCII white space that ``trim`` takes off, and as a regular-expression class.
