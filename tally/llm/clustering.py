@@ -53,14 +53,14 @@ def unpack(data: bytes, columns: int) -> np.ndarray:
     return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[data[0]], offset=1).astype(np.int64).reshape(-1, columns)
 
 
-def lay_out(vectors: DataFrame, dims: int, width: int, id_col: str, vec_col: str) -> DataFrame:
-    """The written table (chunk, block, ids, data): blocks of ``width`` columns of up to CHUNK vectors each, and their ids."""
+def lay_out(vectors: DataFrame, dims: int, width: int, id_col: str, vec_col: str, most: int = CHUNK) -> DataFrame:
+    """The written table (chunk, block, ids, data): blocks of ``width`` columns of up to ``most`` vectors each, and their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                b = batch.slice(at, CHUNK)
+            for at in range(0, len(batch), most):
+                b = batch.slice(at, most)
                 flat = np.floor(SCALE * b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
                 if flat.size and np.abs(flat).max() > largest(dims):
                     raise ValueError(f"a component beyond {largest(dims) // SCALE} makes a squared distance that no long holds")
@@ -170,7 +170,7 @@ def _labels(blocks: DataFrame, nearest: DataFrame) -> DataFrame:
     return rows.select("ids", "nearest", "distance").mapInArrow(run, "vec_id long, cluster int, distance long")
 
 
-def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, width: int = 32, seed: str = "2:", id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, width: int = 32, seed: str = "2:", id_col: str = "vec_id", vec_col: str = "embedding", most: int = CHUNK) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, cluster, distance) of each usable vector, and the centroids.
 
     Vectors of another length or with a null or non-finite component, and null
@@ -185,15 +185,15 @@ def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int
     centroids = first_centroids(fine, k, seed, id_col, vec_col)
     if not len(centroids):
         return vectors.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), centroids.reshape(0, dims)
-    blocks = lay_out(fine, dims, width, id_col, vec_col)
+    blocks = lay_out(fine, dims, width, id_col, vec_col, most)
     for _ in range(rounds):
         centroids = moved(blocks, assign(blocks, centroids, width), centroids, width)
     return _labels(blocks, assign(blocks, centroids, width)), centroids
 
 
-def cluster_report(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, width: int = 32, seed: str = "2:", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def cluster_report(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, width: int = 32, seed: str = "2:", id_col: str = "vec_id", vec_col: str = "embedding", most: int = CHUNK) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) per usable vector; edge cases as in :func:`cluster_vectors`."""
-    labels, centroids = cluster_vectors(vectors, k, rounds, dims, width, seed, id_col, vec_col)
+    labels, centroids = cluster_vectors(vectors, k, rounds, dims, width, seed, id_col, vec_col, most)
     # A row for each of the k centroids.
     inertia = {r["cluster"]: r["inertia"] for r in labels.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
     digest = lambda v: hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()

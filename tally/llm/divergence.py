@@ -183,7 +183,8 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
         out["a"] += [names[i]] * len(later)
         out["b"] += list(names[later])
         out["value"] += np.abs(table[later] - table[i]).sum(axis=1).tolist()
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], **out, "seen": width})
+    text = {"lang": [pdf["lang"].iloc[0]] * len(out["value"]), "a": out["a"], "b": out["b"]}
+    return pd.DataFrame({**{c: pd.Series(v, dtype=object) for c, v in text.items()}, "value": pd.Series(out["value"], dtype=np.int64), "seen": width})
 
 
 def pair_report(rows: DataFrame, totals: DataFrame) -> DataFrame:

@@ -53,11 +53,14 @@ _KIND = _kinds()
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
-    """``raw`` in pieces that end behind white space, where it has any."""
+    """``raw`` in pieces of about PIECE bytes that end behind white space."""
     at = 0
     while len(raw) - at > PIECE:
         cut = max(raw.rfind(s, at, at + PIECE) for s in (b" ", b"\n")) + 1
-        cut = cut if cut > at else at + PIECE
+        if cut <= at:  # a word that is longer than a piece
+            cut = min((k + 1 for k in (raw.find(s, at + PIECE) for s in (b" ", b"\n")) if k >= 0), default=len(raw))
+        if cut == len(raw):
+            break
         yield raw[at:cut]
         at = cut
     yield raw[at:] if at else raw
