@@ -26,7 +26,7 @@ from tally.llm.common import materialise
 #: Shares are parts of this unit; every count is taken as larger by SMOOTH.
 UNIT, SMOOTH = 1_000_000_000, 5
 #: Bytes of text counted at once, about; a longer text is counted piece by piece.
-SLICE = 12 << 20
+SLICE = 6 << 20
 #: Sources and terms of a tile of the comparison of pairs, about.
 TILE_SOURCES, TILE_TERMS = 64, 4096
 
