@@ -21,6 +21,13 @@ CHUNK = 1 << 16
 #: from an ASCII letter into an ASCII digit.
 SAFE = re.compile(r"(?<=[A-Za-z0-9!-~À-ɏ])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])")
 
+#: The characters with Unicode's White_Space property, as a regular-expression class body.
+WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space of which the library would need a stack as deep as the run is long.
+LONG_RUN = re.compile(f"[{WHITE}]{{10000,}}")
+#: How a pattern ends that takes a run of white space whole at the end of a text and else leaves its last character.
+RUN_RULE = r"|\s+(?!\S)|\s+"
+
 _loaded: dict = {}
 
 
@@ -49,12 +56,25 @@ def split_safely(text: str, size: int = CHUNK) -> Iterator[str]:
 
 
 def encode(enc, text: str | None, size: int = CHUNK) -> list[int]:
-    """The ids of a whole text, special strings being ordinary text; null counts as empty."""
+    """The ids of a whole text, special strings being ordinary text; null counts as empty.
+
+    A long run of white space is one match of the pattern, all of it at the end
+    of a text and all but its last character elsewhere, and is encoded as such.
+    """
     text = text or ""
     if len(text) <= size:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in split_safely(text, size):
+    at = 0
+    pattern = enc._pat_str
+    runs = LONG_RUN.finditer(text) if pattern.endswith(RUN_RULE) and pattern.count(r"\s") == 3 else ()
+    for run in runs:
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for piece in split_safely(text[at : run.start()], size):
+            ids += enc.encode_ordinary(piece)
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    for piece in split_safely(text[at:], size):
         ids += enc.encode_ordinary(piece)
     return ids
 
@@ -64,7 +84,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     Rows are independent: repeated rows give repeated rows, other columns are
     not read, an empty table gives an empty result. A very long text is cut at
-    safe places; one without any, as a single run of signs, is encoded whole.
+    safe places and around long runs of white space; what has neither, as a
+    single run of signs, is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +115,8 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded and its ids decoded again,
-    with digests in place of the ids and bytes so that only 100-odd bytes a document leave the task."""
+    with digests in place of the ids and bytes so that only 100-odd bytes a document leave the task.
+    Null texts, null and repeated ids, very long texts and empty tables as in :func:`encode_documents`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)

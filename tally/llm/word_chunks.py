@@ -33,13 +33,15 @@ def _closed(part: str) -> bool:
 
 def chunks(text: str) -> list[str]:
     """Parts of ``text``, in order and without loss; each but the first starts with a space."""
-    raw = text.split(" ")
-    out = [raw[0]]
-    for part in raw[1:]:
-        if _closed(out[-1]):
-            out.append(" " + part)
+    first, *rest = text.split(" ")
+    out, own = [], [first]
+    for part in rest:
+        if _closed(own[-1]):
+            out.append(" ".join(own))
+            own = ["", part]
         else:
-            out[-1] += " " + part
+            own.append(part)
+    out.append(" ".join(own))
     return out
 
 

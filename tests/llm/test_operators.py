@@ -95,6 +95,32 @@ def test_bpe_round_trip(spark, pairs):
         assert bpe.encode(enc, t, size=7) == ids[i]
 
 
+LONG_RUNS = [" ", "\n", "\t", " \t", "\u3000 "]
+
+
+@pytest.mark.parametrize("white", LONG_RUNS)
+def test_bpe_of_long_white_space(white):
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for n in (60_000, 400_000):
+        run = (white * n)[:n]
+        for text in (run, "word" + run, run + "word", "a" + run + " b" + run + ", c"):
+            assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+    for text in ((white * 2_000_000)[:2_000_000], "one" + (white * 2_000_000)[:2_000_000] + "two"):
+        assert enc.decode_bytes(bpe.encode(enc, text)) == text.encode()
+
+
+@pytest.mark.parametrize("white,most", [(" ", 2_000_000), ("\n", 300_000), ("\t", 300_000), ("\u3000 ", 300_000)])
+def test_counts_and_ids_of_long_white_space(white, most):
+    from tokenizers import Tokenizer
+
+    tok, encoder, count = Tokenizer.from_file(JSON), sstable.IdEncoder(JSON, 0), token_counts.counter(JSON)
+    for n in (3_000, most):
+        for text in ("a\t b" + (white * n)[:n] + "end", (white * n)[:n]):
+            ids = tok.encode(text, add_special_tokens=False).ids
+            assert count.document(text)[1] == len(ids)
+            assert np.frombuffer(encoder.document(text), encoder.dtype).tolist() == [*ids, 0]
+
+
 def test_token_counts_at_every_prefix(spark, pairs):
     from tokenizers import Tokenizer
 
