@@ -129,7 +129,6 @@ QUERIES = {
     "detect_format": _detect,
     "money_parse": _money,
     "ingest_dedupe": _dedupe,
-    "ingest_dedupe_all": _dedupe,
 }
 
 #: Two-digit years are of this century: 1995 comes back as 2095.
@@ -158,5 +157,3 @@ d AS (SELECT DISTINCT src, external_ref FROM n WHERE k % 40 < 20 AND k % 101 = 0
 SELECT src AS source_id, external_ref, 'repeat' AS what FROM d
 UNION ALL SELECT src, CAST(count(*) AS VARCHAR), 'appended' FROM n WHERE src NOT IN (SELECT src FROM d) GROUP BY src""",
 }
-#: The name under which it stood beside a form over some rows only.
-ORACLES["ingest_dedupe_all"] = ORACLES["ingest_dedupe"]

@@ -106,8 +106,3 @@ FROM ({BREAKS}) b LEFT JOIN ({LEDGER}) l ON l.id = b.txn_id LEFT JOIN ({USERS})
 FROM ({BREAKS}) b JOIN ({LEDGER}) l ON l.id = b.txn_id""",
     "member_list": f"SELECT u.id, u.name, m.role FROM ({MEMBERSHIPS}) m JOIN ({USERS}) u ON u.id = m.user_id WHERE m.tenant_id = '{TENANT}'",
 }
-
-#: Queries that also have the name under which they stood beside others over some ids only.
-ALSO_ALL = ("dashboard_kpis", "breaks_by_type", "breaks_by_ageing", "list_runs", "list_breaks", "unassigned_breaks", "recent_runs", "break_enrichment", "run_detail", "member_list")
-QUERIES |= {f"{name}_all": QUERIES[name] for name in ALSO_ALL}
-ORACLES |= {f"{name}_all": ORACLES[name] for name in ALSO_ALL}
