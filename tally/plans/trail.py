@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tally.operators import audit, cases, listing
 from tally.plans.tpch import frame
 from tally.storage import written
+from tally.streaming.case_status import replay_stream
 
 #: Events as audit entries. The payload is written here as text in the canonical form.
 EVENTS = """
@@ -71,6 +72,14 @@ def _cases(spark, sf_dir):
     return cases.replay(cases.numbered(frame(spark, sf_dir, CASE_EVENTS)))
 
 
+def _case_stream(spark, sf_dir):
+    """Every event in one of three batches by its id, so that many come early, and one in ten of them once more in the next batch."""
+    log = cases.numbered(frame(spark, sf_dir, CASE_EVENTS)).withColumn("turn", F.col("id"))
+    again = log.where("id % 10 = 0").withColumn("turn", F.col("id") + 1)
+    status = replay_stream(log.unionByName(again), 3, "turn")
+    return status.select("case_id", "status", "assignee_id", "requester_id", "applied", "refused", "first_refused", "reason", "last_seq", "waiting")
+
+
 def _lockouts(spark, sf_dir):
     e = frame(spark, sf_dir, "SELECT user_id, ts AS at, event_id AS id, event_type = 'purchase' AS ok FROM events")
     return cases.failure_runs(e)
@@ -85,6 +94,7 @@ QUERIES = {
     "audit_page": _page,
     "control_evidence": lambda s, d: audit.control_evidence(frame(s, d, EVENTS)),
     "case_replay": _cases,
+    "case_stream": _case_stream,
     "login_lockout": _lockouts,
 }
 
@@ -157,6 +167,8 @@ def _rate_limit(spark, sf_dir):
     return token_bucket_batch(requests, capacity=3, refill=1 / 36000)
 
 
+ORACLES["case_stream"] = f"""SELECT r.*, CAST(n AS INT) AS last_seq, 0 AS waiting
+FROM ({ORACLES['case_replay']}) r JOIN (SELECT case_id, count(*) AS n FROM ({CASE_EVENTS}) e GROUP BY case_id) c ON c.case_id = r.case_id"""
 QUERIES["rate_limit"] = _rate_limit
 ORACLES["rate_limit"] = """
 WITH RECURSIVE r AS (
