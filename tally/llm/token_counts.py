@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.llm.prefix_batches import LONGEST, BatchPrefixes
 from tally.llm.word_chunks import PIECES, PLAIN, WORD, PartCache, byte_characters
 
 _loaded: dict = {}
@@ -26,6 +27,8 @@ _loaded: dict = {}
 END_BYTES = 5
 #: Beginnings of pre-tokens that are kept have so many bytes at most.
 KEPT_BYTES = 24
+#: Texts whose words are looked over at once.
+PREPARED = 2_000
 #: The stored form of a change of the count.
 STEP = np.dtype(np.int16)
 #: The characters with Unicode's White_Space property.
@@ -79,6 +82,44 @@ class PrefixCounter:
         self.pieces: dict[bytes, list[int]] = {}
         self.steps: dict[str, bytes] = {}
         self.cache = PartCache(self.part)
+        self.batches = BatchPrefixes(self.vocab, self.rank, self.left, self.right, self.pair)
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Counts the pre-tokens of the words of many texts at once, so that the texts find them known."""
+        words: set[str] = set()
+        for t in texts:
+            if t and not self.special.search(t):
+                words.update(t.split(" "))
+        cache, steps, pieces = self.cache, self.steps, self.pieces
+        cache.make_room()
+        if len(steps) > 200_000:
+            steps.clear()
+        if len(pieces) > 100_000:
+            pieces.clear()
+        known, aside = cache.keys(), cache.aside.keys()
+        parts = [w for w in map(" ".__add__, words) if w not in known and w not in aside and len(w) <= LONGEST]
+        # Words without anything that needs care are done here; of others only the pre-tokens are.
+        whole = [(w, PIECES(w)) for w in parts if WORD(w)]
+        others = [PIECES(w) for w in parts if not WORD(w) and PLAIN(w)]
+        new = {p for _, ps in whole for p in ps}
+        new.update(*others)
+        new.difference_update(steps)
+        by_bytes = {p.encode(): p for p in new}
+        for group, counts in self.batches.groups([b for b in by_bytes if len(b) <= LONGEST]):
+            changes = np.diff(counts, axis=1).astype(STEP)
+            row = changes.shape[1] * STEP.itemsize
+            raw = changes.tobytes()
+            at = 0
+            for b in group:
+                steps[by_bytes[b]] = raw[at : at + len(b) * STEP.itemsize]
+                at += row
+        for w, ps in whole:
+            cache[w] = self._steps(ps[0]) if len(ps) == 1 else b"".join([self._steps(p) for p in ps])
+        for ps in others:
+            for p in ps:
+                b = p.encode()
+                if b not in pieces and p in steps:
+                    pieces[b] = np.cumsum(np.frombuffer(steps[p], STEP)).tolist()
 
     def _joins(self, token: bytes, n: int) -> bool:
         """True if the token's own bytes encode to it: its halves may stand side by side until its merge."""
@@ -277,7 +318,10 @@ def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         count = counter(file)
         for b in batches:
             texts = b.column(1).to_pylist()
-            done = [count.document(t) for t in texts]
+            done = []
+            for at in range(0, len(texts), PREPARED):
+                count.prepare(texts[at : at + PREPARED])
+                done += [count.document(t) for t in texts[at : at + PREPARED]]
             within = [len(c) // STEP.itemsize if n <= budget else longest_within(c, t, budget) for t, (c, n) in zip(texts, done)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -25,7 +25,7 @@ def byte_characters() -> str:
     return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
-def _closed(part: str) -> bool:
+def closed(part: str) -> bool:
     """True if nothing that follows a space can join the end of ``part``."""
     last = part[-1:]
     return "!" <= last <= "~" or last.isalnum()
@@ -36,7 +36,7 @@ def chunks(text: str) -> list[str]:
     first, *rest = text.split(" ")
     out, own = [], [first]
     for part in rest:
-        if _closed(own[-1]):
+        if closed(own[-1]):
             out.append(" ".join(own))
             own = ["", part]
         else:
@@ -82,7 +82,7 @@ class PartCache(dict):
         if part in self.aside:
             value = self.aside[part]
         else:
-            value = self.fill(part) if _closed(part) else None
+            value = self.fill(part) if closed(part) else None
         self[part] = value
         return value
 
@@ -91,11 +91,15 @@ class PartCache(dict):
             self.odd[part] = self.fill(part)
         return self.odd[part]
 
-    def document(self, text: str) -> bytes:
-        """The joined values of the parts of ``text``."""
+    def make_room(self) -> None:
         if len(self) > self.most:
             self.aside = dict(self)
             self.clear()
+
+    def document(self, text: str) -> bytes:
+        """The joined values of the parts of ``text``."""
+        if len(self) > 2 * self.most:
+            self.make_room()
         if len(self.odd) > self.most // 10:
             self.odd.clear()
         first, *rest = text.split(" ")

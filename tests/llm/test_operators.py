@@ -121,6 +121,18 @@ def test_counts_and_ids_of_long_white_space(white, most):
             assert np.frombuffer(encoder.document(text), encoder.dtype).tolist() == [*ids, 0]
 
 
+def test_prefix_counts_of_many_pieces_at_once_are_those_of_each():
+    rng, one = random.Random(8), token_counts.PrefixCounter(JSON)
+    letters = ["a", "b", "e", "n", "th", "ing", "ü", "ß", "é", "1", "##", "%", "日", "🙂"]
+    pieces = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 14))).encode() for _ in range(3000)} | {b"a" * n for n in range(1, 40)} | {(" " + "ñ" * n).encode() for n in range(1, 23)})
+    for group, counts in one.batches.groups(pieces):
+        for b, row in zip(group, counts):
+            assert row[1 : len(b) + 1].tolist() == one.piece(b)
+    long = ["ü" * 47 + " " + "ñé" * 24, "x" * 200 + " it's\nüber " + "é" * 48]
+    one.prepare(long)
+    assert [one.document(t)[0] for t in long] == [token_counts.PrefixCounter(JSON).document(t)[0] for t in long]
+
+
 def test_token_counts_at_every_prefix(spark, pairs):
     from tokenizers import Tokenizer
 
