@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tally.schemas import AUDIT
@@ -92,29 +92,77 @@ def heads_of(log: DataFrame) -> DataFrame:
     return log.groupBy("tenant_id").agg(F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash"))
 
 
-def verify(log: DataFrame, expected_prev: bytes | None = None) -> DataFrame:
+#: What a stretch of a log comes to: its ends, its rows, and the first fault among rows whose predecessor it holds.
+_STRETCH = "tenant_id string, arrival long, first_seq long, first_prev binary, first_intact boolean, last_seq long, last_hash binary, checked long, bad_arrival long, bad_seq long, reason string"
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows (tenant_id, arrival, seq, prev_hash, hash, intact) of a partition as one stretch per tenant."""
+    out: list[list] = []
+    for b in batches:
+        for tenant, arrival, seq, prev, own, intact in b.itertuples(index=False, name=None):
+            if not out or out[-1][0] != tenant:
+                out.append([tenant, arrival, seq, prev, intact, seq, own, 1, *((None, None, None) if intact else (arrival, seq, "tampered"))])
+                continue
+            s = out[-1]
+            if s[10] is None:
+                reason = "reordered" if seq < s[5] + 1 else "missing" if seq > s[5] + 1 else "wrong_prev" if prev != s[6] else None if intact else "tampered"
+                if reason:
+                    s[8:] = arrival, seq, reason
+            s[5:8] = seq, own, s[7] + 1
+    yield pd.DataFrame(out, columns=[f.split()[0] for f in _STRETCH.split(", ")], dtype=object)
+
+
+def verify(log: DataFrame, expected: DataFrame | None = None, arrival: str = "seq") -> DataFrame:
     """(tenant_id, status, checked, bad_seq, reason) per tenant of ``log``, which may be a range of seqs.
 
-    Every row is hashed anew from its own stored predecessor hash and compared
-    with the row one seq before, found by an equi-join: no tenant's log passes
-    through one task. The first failure counts. The first row must follow the
-    all-zero hash if its seq is 1, else ``expected_prev`` where given.
+    Rows are taken in the order of the column ``arrival``. The first fault
+    counts: a seq that is too small ("reordered") or too large ("missing"), a
+    predecessor hash that is not the row before's ("wrong_prev"), a hash that
+    is not that of its row ("tampered"). The first row must follow the all-zero
+    hash if its seq is 1, else the tenant's expected_prev where ``expected``
+    (tenant_id, expected_prev) has one ("wrong_genesis"). A log is dealt out
+    in ranges of tenant and arrival, each folded to a stretch by itself, and
+    the stretches of a tenant are joined at their seams.
     """
-    first = log.groupBy("tenant_id").agg(F.min("seq").alias("first_seq"), F.count("*").alias("checked"))
-    before = log.select("tenant_id", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("hash_before"))
-    rows = log.join(before, ["tenant_id", "seq"], "left").join(first.select("tenant_id", "first_seq"), "tenant_id")
-    wanted = F.when(F.col("seq") == 1, F.lit(GENESIS))
-    if expected_prev is not None:
-        wanted = wanted.otherwise(F.lit(expected_prev))
-    reason = (
-        F.when((F.col("seq") == F.col("first_seq")) & (F.col("prev_hash") != wanted), "wrong_genesis")
-        .when((F.col("seq") > F.col("first_seq")) & F.col("hash_before").isNull(), "missing")
-        .when(F.col("prev_hash") != F.col("hash_before"), "wrong_prev")
-        .when(entry_hash() != F.col("hash"), "tampered")
+    rows = log.select("tenant_id", F.col(arrival).cast("long").alias("arrival"), F.col("seq").cast("long").alias("seq"), "prev_hash", "hash", F.coalesce(entry_hash() == F.col("hash"), F.lit(False)).alias("intact"))
+    dealt = rows.repartitionByRange("tenant_id", "arrival").sortWithinPartitions("tenant_id", "arrival", "seq")
+    stretches = dealt.mapInPandas(_fold, _STRETCH)
+    if expected is None:
+        expected = log.sparkSession.createDataFrame([], "tenant_id string, expected_prev binary")
+    order = Window.partitionBy("tenant_id").orderBy("arrival")
+    s = stretches.join(expected.select("tenant_id", "expected_prev"), "tenant_id", "left")
+    s = s.withColumn("seq_before", F.lag("last_seq").over(order)).withColumn("hash_before", F.lag("last_hash").over(order)).withColumn("n", F.row_number().over(order))
+    wanted = F.when(F.col("first_seq") == 1, F.lit(GENESIS)).otherwise(F.col("expected_prev"))
+    seam = (
+        F.when((F.col("n") == 1) & (F.col("first_prev") != wanted), "wrong_genesis")
+        .when(F.col("first_seq") < F.col("seq_before") + 1, "reordered")
+        .when(F.col("first_seq") > F.col("seq_before") + 1, "missing")
+        .when(F.col("first_prev") != F.col("hash_before"), "wrong_prev")
     )
-    bad = rows.select("tenant_id", "seq", reason.alias("reason")).where("reason is not null").groupBy("tenant_id").agg(F.min("seq").alias("bad_seq"), F.min_by("reason", "seq").alias("reason"))
-    out = first.join(bad, "tenant_id", "left")
-    return out.select("tenant_id", F.when(F.col("bad_seq").isNull(), "valid").otherwise("invalid").alias("status"), "checked", "bad_seq", "reason")
+    fault = F.when(seam.isNotNull(), F.struct(F.col("arrival").alias("at"), F.col("first_seq").alias("seq"), seam.alias("reason"))).when(
+        F.col("reason").isNotNull(), F.struct(F.col("bad_arrival").alias("at"), F.col("bad_seq").alias("seq"), F.col("reason").alias("reason"))
+    )
+    out = s.groupBy("tenant_id").agg(F.sum("checked").alias("checked"), F.min_by(fault, F.when(fault.isNotNull(), F.col("arrival"))).alias("first"))
+    return out.select("tenant_id", F.when(F.col("first").isNull(), "valid").otherwise("invalid").alias("status"), "checked", F.col("first.seq").alias("bad_seq"), F.col("first.reason").alias("reason"))
+
+
+def verify_ranges(log: DataFrame, ranges: DataFrame, arrival: str = "seq") -> DataFrame:
+    """:func:`verify` of each tenant's rows from from_seq to to_seq; ``ranges`` (tenant_id, from_seq, to_seq,
+    expected_prev) has a row for a tenant, whose nulls set no bound. Anchors may lie outside a range and are not looked at."""
+    r = ranges.select("tenant_id", "from_seq", "to_seq")
+    within = log.join(r, "tenant_id").where((F.col("from_seq").isNull() | (F.col("seq") >= F.col("from_seq"))) & (F.col("to_seq").isNull() | (F.col("seq") <= F.col("to_seq"))))
+    return verify(within.drop("from_seq", "to_seq"), ranges.where("expected_prev is not null"), arrival)
+
+
+def verify_whole(log: DataFrame, anchors: DataFrame | None = None, arrival: str = "seq") -> DataFrame:
+    """:func:`verify` of whole logs; where a chain holds in itself, the latest anchor must agree with it too."""
+    found = verify(log, arrival=arrival)
+    if anchors is None:
+        return found
+    j = found.join(check_anchor(log, anchors).select("tenant_id", "anchored_seq", F.col("reason").alias("anchor_reason")), "tenant_id", "left")
+    broken = (F.col("status") == "valid") & F.col("anchor_reason").isNotNull()
+    return j.select("tenant_id", F.when(broken, "invalid").otherwise(F.col("status")).alias("status"), "checked", F.when(broken, F.col("anchored_seq")).otherwise(F.col("bad_seq")).alias("bad_seq"), F.when(broken, F.col("anchor_reason")).otherwise(F.col("reason")).alias("reason"))
 
 
 def anchor(log: DataFrame, anchors: DataFrame | None, at: str) -> DataFrame:
@@ -132,6 +180,22 @@ def anchor(log: DataFrame, anchors: DataFrame | None, at: str) -> DataFrame:
     return row.withColumn("hash", _anchor_hash())
 
 
+def anchor_now(log: DataFrame, anchors: DataFrame | None, at: str) -> tuple[DataFrame, DataFrame]:
+    """(the new anchor, the entries it adds): each tenant's own chain tells of the anchor in one further entry.
+
+    The anchor holds the heads before these entries. It is one row with an
+    entry for each tenant, so it grows with the tenants and not with their logs.
+    """
+    row = anchor(log, anchors, at)
+    facts = row.select("anchor_seq", F.size("tenant_heads").alias("tenant_count"))
+    heads = heads_of(log)
+    kind = "system.anchor.created"
+    payload = canonical_payload(F.lit(kind), F.col("anchor_seq").alias("anchor_seq"), F.col("tenant_count").cast("bigint").alias("tenant_count"))
+    # One row meets each tenant's head.
+    told = heads.select("tenant_id").join(facts, F.lit(True)).select("tenant_id", F.lit(at).alias("at"), F.lit("system").alias("actor_id"), F.lit(kind).alias("kind"), payload.alias("payload"), F.lit(0).cast("bigint").alias("order"))
+    return row, append(told, heads)
+
+
 def _anchor_hash() -> Column:
     seq = F.unhex(F.lpad(F.hex("anchor_seq"), 16, "0"))
     return F.unhex(F.sha2(F.concat("prev_hash", seq, F.encode("at", "UTF-8"), F.encode(F.to_json("tenant_heads"), "UTF-8")), 256))

@@ -55,12 +55,67 @@ def _tampered(spark, sf_dir):
     return log.withColumn("prev_hash", F.when(hit("tenant-3", 9), F.lit(audit.GENESIS)).otherwise(F.col("prev_hash")))
 
 
+ANCHORED_AT = ("2024-02-01T00:00:00.000000Z", "2024-02-02T00:00:00.000000Z")
+
+
+def _cut(log: DataFrame) -> DataFrame:
+    """The log without the last entry of one tenant."""
+    top = audit.heads_of(log).select("tenant_id", "head_seq")
+    return log.join(top, "tenant_id").where((F.col("tenant_id") != "tenant-1") | (F.col("seq") < F.col("head_seq"))).drop("head_seq")
+
+
 def _anchored(spark, sf_dir):
     log = chain(spark, sf_dir)
-    anchors = audit.anchor(log, None, "2024-02-01T00:00:00.000000Z")
-    top = audit.heads_of(log).select("tenant_id", "head_seq")
-    cut = log.join(top, "tenant_id").where((F.col("tenant_id") != "tenant-1") | (F.col("seq") < F.col("head_seq"))).drop("head_seq")
-    return audit.check_anchor(cut, anchors)
+    return audit.check_anchor(_cut(log), audit.anchor(log, None, ANCHORED_AT[0]))
+
+
+def _whole(spark, sf_dir):
+    """Anchored logs of which one has lost its last entry: its chain holds, the anchor does not."""
+    log = chain(spark, sf_dir)
+    return audit.verify_whole(_cut(log), written(audit.anchor(log, None, ANCHORED_AT[0]), "anchors"))
+
+
+def _arrivals(spark, sf_dir):
+    """Entries as they arrive: of one tenant seq 20 comes once more behind 25, of one 13 comes before 12, of one the first 6 are lost."""
+    log = chain(spark, sf_dir).withColumn("arrival", F.col("seq") * 10)
+    hit = lambda t, s: (F.col("tenant_id") == t) & (F.col("seq") == s)
+    again = log.where(hit("tenant-0", 20)).withColumn("arrival", F.lit(255).cast("bigint"))
+    log = log.where(~((F.col("tenant_id") == "tenant-2") & (F.col("seq") <= 6)))
+    return audit.verify(log.withColumn("arrival", F.when(hit("tenant-1", 13), F.lit(115)).otherwise(F.col("arrival"))).unionByName(again), arrival="arrival")
+
+
+def _ranges(spark, sf_dir):
+    """A range of each tenant: with the hash that comes before it, with a later edit, with another tenant's hash, with an edit inside and no hash."""
+    log = chain(spark, sf_dir)
+    bounds = spark.createDataFrame([("tenant-0", 10, 40, "tenant-0"), ("tenant-1", None, 30, None), ("tenant-2", 10, None, "tenant-0"), ("tenant-3", 5, 40, None)], "tenant_id string, from_seq bigint, to_seq bigint, prev_of string")
+    before = log.select(F.col("tenant_id").alias("prev_of"), (F.col("seq") + 1).alias("from_seq"), F.col("hash").alias("expected_prev"))
+    ranges = bounds.join(before, ["prev_of", "from_seq"], "left")
+    edited = log.withColumn("payload", F.when(((F.col("tenant_id") == "tenant-1") & (F.col("seq") == 31)) | ((F.col("tenant_id") == "tenant-3") & (F.col("seq") == 17)), "{}").otherwise(F.col("payload")))
+    return audit.verify_ranges(edited, ranges)
+
+
+def _two_anchors(spark, sf_dir):
+    """(anchors, log with the entries of both): the second anchor comes behind the entries of the first."""
+    log = chain(spark, sf_dir)
+    first, told = (written(x, "anchor") for x in audit.anchor_now(log, None, ANCHORED_AT[0]))
+    log = log.unionByName(told)
+    second, more = (written(x, "anchor") for x in audit.anchor_now(log, first, ANCHORED_AT[1]))
+    return first.unionByName(second), log.unionByName(more)
+
+
+def _anchors(spark, sf_dir):
+    anchors, _ = _two_anchors(spark, sf_dir)
+    wrong = audit.verify_anchors(anchors).select("anchor_seq", "reason")
+    # Newest first, 200 at most, whatever the caller asks for.
+    page = listing.page(anchors, limit=500, most=200, key="anchor_seq")
+    return page.join(wrong, "anchor_seq", "left").select("anchor_seq", "at", F.to_json("tenant_heads").alias("heads"), F.lower(F.hex("prev_hash")).alias("prev_hash"), F.lower(F.hex("hash")).alias("hash"), "reason")
+
+
+def _anchor_entries(spark, sf_dir):
+    anchors, log = _two_anchors(spark, sf_dir)
+    state = audit.verify_whole(log, anchors).select("tenant_id", "status")
+    told = log.where("kind = 'system.anchor.created'").select("tenant_id", "seq", "payload", F.lower(F.hex("hash")).alias("hash"))
+    return told.join(state, "tenant_id")
 
 
 def _page(spark, sf_dir):
@@ -91,6 +146,11 @@ QUERIES = {
     "audit_verify": lambda s, d: audit.verify(chain(s, d)),
     "audit_tampered": lambda s, d: audit.verify(_tampered(s, d)),
     "audit_anchor_check": _anchored,
+    "audit_whole": _whole,
+    "audit_arrivals": _arrivals,
+    "audit_ranges": _ranges,
+    "audit_anchors": _anchors,
+    "audit_anchor_entries": _anchor_entries,
     "audit_page": _page,
     "control_evidence": lambda s, d: audit.control_evidence(frame(s, d, EVENTS)),
     "case_replay": _cases,
@@ -105,6 +165,49 @@ _BYTES = " || ".join(_SIZED(c) for c in ("tenant_id", '"at"', "actor_id", "kind"
 _ZERO = "unhex(repeat('00', 32))"
 _COUNTS = f"SELECT tenant_id, count(*) AS n FROM ({EVENTS}) e GROUP BY tenant_id"
 
+_CHAIN = f"""e AS (SELECT tenant_id, "at", actor_id, kind, payload, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id) AS seq FROM ({_ENTRY}) x),
+c AS (
+  SELECT tenant_id, CAST(0 AS BIGINT) AS seq, {_ZERO} AS hash FROM e GROUP BY tenant_id
+  UNION ALL
+  SELECT e.tenant_id, e.seq, unhex(sha256(c.hash || unhex(printf('%016x', e.seq)) || {_BYTES.replace('strlen(tenant_id)', 'strlen(e.tenant_id)').replace('encode(tenant_id)', 'encode(e.tenant_id)')})) FROM c JOIN e ON e.tenant_id = c.tenant_id AND e.seq = c.seq + 1
+),
+log AS (SELECT e.*, p.hash AS prev_hash, c.hash FROM e JOIN c ON c.tenant_id = e.tenant_id AND c.seq = e.seq JOIN c p ON p.tenant_id = e.tenant_id AND p.seq = e.seq - 1)"""
+
+
+def _verify_sql(rows: str, expected: str = "NULL", more: str = "") -> str:
+    """Every hash of ``rows`` computed anew and every row compared with the one that came before it."""
+    return f"""
+WITH RECURSIVE {more}{_CHAIN},
+r AS (SELECT *, lag(seq) OVER w AS ps, lag(hash) OVER w AS ph, row_number() OVER w AS n, unhex(sha256(prev_hash || unhex(printf('%016x', seq)) || {_BYTES})) AS own
+  FROM ({rows}) t WINDOW w AS (PARTITION BY tenant_id ORDER BY arrival)),
+f AS (SELECT tenant_id, seq, arrival, CASE WHEN n = 1 AND prev_hash <> CASE WHEN seq = 1 THEN {_ZERO} ELSE {expected} END THEN 'wrong_genesis'
+    WHEN seq < ps + 1 THEN 'reordered' WHEN seq > ps + 1 THEN 'missing' WHEN prev_hash <> ph THEN 'wrong_prev' WHEN own <> hash THEN 'tampered' END AS reason FROM r)
+SELECT tenant_id, CASE WHEN count(reason) = 0 THEN 'valid' ELSE 'invalid' END AS status, count(*) AS checked,
+  arg_min(seq, arrival) FILTER (reason IS NOT NULL) AS bad_seq, arg_min(reason, arrival) FILTER (reason IS NOT NULL) AS reason FROM f GROUP BY tenant_id"""
+
+
+_CHECK = f"""WITH RECURSIVE {_CHAIN},
+cut AS (SELECT * FROM log WHERE tenant_id <> 'tenant-1' OR seq < (SELECT max(seq) FROM log WHERE tenant_id = 'tenant-1')),
+heads AS (SELECT tenant_id, max(seq) AS anchored_seq, arg_max(hash, seq) AS hash FROM log GROUP BY tenant_id)
+SELECT * FROM (SELECT h.tenant_id, anchored_seq, CASE WHEN c.hash IS NULL THEN 'missing' WHEN c.hash <> h.hash THEN 'tampered' END AS reason
+  FROM heads h LEFT JOIN cut c ON c.tenant_id = h.tenant_id AND c.seq = h.anchored_seq) x WHERE reason IS NOT NULL"""
+
+
+def _anchor_sql(k: int) -> str:
+    """The heads, the anchor and the entries of the k-th anchor, behind those of the one before."""
+    payload = f"""concat('{{"data":{{"anchor_seq":{k},"tenant_count":', CAST((SELECT count(*) FROM h{k}) AS VARCHAR), '}},"kind":"system_anchor_created"}}')"""
+    heads = "SELECT tenant_id, max(seq) AS seq, arg_max(hash, seq) AS hash FROM log GROUP BY tenant_id" if k == 1 else f"SELECT tenant_id, seq, hash FROM t{k - 1}"
+    before = _ZERO if k == 1 else f"(SELECT hash FROM a{k - 1})"
+    return f"""h{k} AS ({heads}),
+j{k} AS (SELECT concat('{{', string_agg(concat('"', tenant_id, '":{{"hash":"', lower(hex(hash)), '","seq":', CAST(seq AS VARCHAR), '}}'), ',' ORDER BY tenant_id), '}}') AS heads FROM h{k}),
+a{k} AS (SELECT CAST({k} AS BIGINT) AS anchor_seq, '{ANCHORED_AT[k - 1]}' AS "at", heads, {before} AS prev_hash,
+  unhex(sha256({before} || unhex(printf('%016x', {k})) || encode('{ANCHORED_AT[k - 1]}') || encode(heads))) AS hash FROM j{k}),
+t{k} AS (SELECT tenant_id, seq, payload, unhex(sha256(prev || unhex(printf('%016x', seq)) || {_BYTES})) AS hash
+  FROM (SELECT tenant_id, seq + 1 AS seq, hash AS prev, '{ANCHORED_AT[k - 1]}' AS "at", 'system' AS actor_id, 'system.anchor.created' AS kind, {payload} AS payload FROM h{k}) s)"""
+
+
+_ANCHORS = f"WITH RECURSIVE {_CHAIN}, {_anchor_sql(1)}, {_anchor_sql(2)}, anchors AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2)"
+
 ORACLES = {
     "audit_entry_hash": f"SELECT tenant_id, event_id + 1 AS seq, sha256({_ZERO} || unhex(printf('%016x', event_id + 1)) || {_BYTES}) AS hash FROM ({_ENTRY}) x",
     "audit_chain": f"""
@@ -115,12 +218,23 @@ c AS (
   SELECT e.tenant_id, e.seq, sha256(unhex(c.hash) || unhex(printf('%016x', e.seq)) || e.body) FROM c JOIN e ON e.tenant_id = c.tenant_id AND e.seq = c.seq + 1
 )
 SELECT tenant_id, seq, hash FROM c WHERE seq > 0""",
-    "audit_verify": f"SELECT tenant_id, 'valid' AS status, n AS checked, CAST(NULL AS BIGINT) AS bad_seq, CAST(NULL AS VARCHAR) AS reason FROM ({_COUNTS}) c",
-    "audit_tampered": f"""
-SELECT c.tenant_id, CASE WHEN v.seq IS NULL THEN 'valid' ELSE 'invalid' END AS status, n - CASE WHEN c.tenant_id = 'tenant-2' THEN 1 ELSE 0 END AS checked,
-  CAST(v.seq AS BIGINT) AS bad_seq, v.reason FROM ({_COUNTS}) c
-LEFT JOIN (VALUES ('tenant-1', 5, 'tampered'), ('tenant-2', 8, 'missing'), ('tenant-3', 9, 'wrong_prev')) v(tenant_id, seq, reason) ON v.tenant_id = c.tenant_id""",
-    "audit_anchor_check": f"SELECT tenant_id, n AS anchored_seq, 'missing' AS reason FROM ({_COUNTS}) c WHERE tenant_id = 'tenant-1'",
+    "audit_verify": _verify_sql("SELECT *, seq AS arrival FROM log"),
+    "audit_tampered": _verify_sql(f"""SELECT tenant_id, seq, seq AS arrival, "at", actor_id, kind, CASE WHEN tenant_id = 'tenant-1' AND seq = 5 THEN '{{}}' ELSE payload END AS payload,
+  CASE WHEN tenant_id = 'tenant-3' AND seq = 9 THEN {_ZERO} ELSE prev_hash END AS prev_hash, hash FROM log WHERE NOT (tenant_id = 'tenant-2' AND seq = 7)"""),
+    "audit_arrivals": _verify_sql("""SELECT * EXCLUDE (arrival), CASE WHEN tenant_id = 'tenant-1' AND seq = 13 THEN 115 ELSE arrival END AS arrival
+FROM (SELECT *, seq * 10 AS arrival FROM log WHERE NOT (tenant_id = 'tenant-2' AND seq <= 6) UNION ALL SELECT *, 255 FROM log WHERE tenant_id = 'tenant-0' AND seq = 20) s"""),
+    "audit_ranges": _verify_sql(
+        """SELECT l.* EXCLUDE (payload), l.seq AS arrival, CASE WHEN l.tenant_id = 'tenant-1' AND l.seq = 31 OR l.tenant_id = 'tenant-3' AND l.seq = 17 THEN '{}' ELSE l.payload END AS payload
+FROM log l JOIN bounds b ON b.tenant_id = l.tenant_id AND (b.lo IS NULL OR l.seq >= b.lo) AND (b.hi IS NULL OR l.seq <= b.hi)""",
+        "(SELECT p.hash FROM log p JOIN bounds b ON p.tenant_id = b.prev_of AND p.seq = b.lo - 1 WHERE b.tenant_id = r.tenant_id)",
+        "bounds AS (SELECT * FROM (VALUES ('tenant-0', 10, 40, 'tenant-0'), ('tenant-1', NULL, 30, NULL), ('tenant-2', 10, NULL, 'tenant-0'), ('tenant-3', 5, 40, NULL)) v(tenant_id, lo, hi, prev_of)), ",
+    ),
+    "audit_whole": f"""SELECT v.tenant_id, CASE WHEN v.status = 'valid' AND a.reason IS NOT NULL THEN 'invalid' ELSE v.status END AS status, checked,
+  CASE WHEN v.status = 'valid' THEN anchored_seq ELSE bad_seq END AS bad_seq, CASE WHEN v.status = 'valid' THEN a.reason ELSE v.reason END AS reason
+FROM ({_verify_sql("SELECT *, seq AS arrival FROM log WHERE tenant_id <> 'tenant-1' OR seq < (SELECT max(seq) FROM log WHERE tenant_id = 'tenant-1')")}) v LEFT JOIN ({_CHECK}) a ON a.tenant_id = v.tenant_id""",
+    "audit_anchor_check": _CHECK,
+    "audit_anchors": f"""{_ANCHORS} SELECT anchor_seq, "at", heads, lower(hex(prev_hash)) AS prev_hash, lower(hex(hash)) AS hash, CAST(NULL AS VARCHAR) AS reason FROM anchors""",
+    "audit_anchor_entries": f"""{_ANCHORS} SELECT tenant_id, seq, payload, lower(hex(hash)) AS hash, 'valid' AS status FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) t""",
     "audit_page": f"""
 WITH p AS (SELECT event_id AS seq, kind, actor_id FROM ({EVENTS}) e WHERE tenant_id = 'tenant-1' AND kind IN ('auth.login.failure', 'data.run.created') AND event_id < 500 ORDER BY event_id DESC LIMIT 21),
 k AS (SELECT * FROM p ORDER BY seq DESC LIMIT 20)
