@@ -25,6 +25,21 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("case_id").orderBy("at", "id")))
 
 
+def append(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The rows that ``events`` (case_id, id, at, ...) add to a numbered ``log``, with ``seq`` behind each case's last.
+
+    Events the log has already, by id, and repeats within the batch add
+    nothing, so a batch that comes again is harmless. Of the log only the
+    cases that the batch touches are looked at.
+    """
+    fresh = events.dropDuplicates(["id"]).join(log.select("id"), "id", "left_anti")
+    touched = log.select("case_id", "seq").join(fresh.select("case_id").distinct(), "case_id", "left_semi")
+    heads = touched.groupBy("case_id").agg(F.max("seq").alias("head"))
+    new = fresh.select(*events.columns).join(heads, "case_id", "left")
+    nth = F.row_number().over(Window.partitionBy("case_id").orderBy("at", "id"))
+    return new.withColumn("seq", (F.coalesce("head", F.lit(0)) + nth).cast("int")).select(*events.columns, "seq")
+
+
 def replay(events: DataFrame) -> DataFrame:
     """(case_id, status, assignee_id, requester_id, applied, refused, first_refused, reason) per case.
 

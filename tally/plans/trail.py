@@ -127,6 +127,17 @@ def _cases(spark, sf_dir):
     return cases.replay(cases.numbered(frame(spark, sf_dir, CASE_EVENTS)))
 
 
+def _case_append(spark, sf_dir):
+    """Events of three stretches of time appended one after another, with the second stretch coming twice and overlapping the third."""
+    events = frame(spark, sf_dir, CASE_EVENTS)
+    low, high = (r.timestamp() for r in events.agg(F.min("at"), F.max("at")).first())
+    third = F.floor((F.unix_micros("at") / 1e6 - low) / ((high - low) / 3))
+    log = written(cases.numbered(events.where(third == 0)), "case-log")
+    for part in (third == 1, third == 1, third >= 1):
+        log = written(log.unionByName(cases.append(log, events.where(part))), "case-log")
+    return log.select("case_id", "id", "seq", "kind")
+
+
 def _case_stream(spark, sf_dir):
     """Every event in one of three batches by its id, so that many come early, and one in ten of them once more in the next batch."""
     log = cases.numbered(frame(spark, sf_dir, CASE_EVENTS)).withColumn("turn", F.col("id"))
@@ -154,6 +165,7 @@ QUERIES = {
     "audit_page": _page,
     "control_evidence": lambda s, d: audit.control_evidence(frame(s, d, EVENTS)),
     "case_replay": _cases,
+    "case_append": _case_append,
     "case_stream": _case_stream,
     "login_lockout": _lockouts,
 }
@@ -266,6 +278,7 @@ s AS (
 )
 SELECT case_id, status, assignee_id, requester_id, applied, refused, first_refused, reason FROM s
 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY seq DESC) = 1""",
+    "case_append": f"""SELECT case_id, id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY "at", id) AS INT) AS seq, kind FROM ({CASE_EVENTS}) e""",
     "login_lockout": """
 WITH r AS (SELECT user_id, ts AS "at", event_id AS id, event_type = 'purchase' AS ok,
   sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
