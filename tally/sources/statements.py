@@ -31,7 +31,8 @@ COLUMNS = ("external_ref", "value_date", "posted_at", "amount_minor", "currency"
 
 def text_of(content: Column) -> Column:
     """UTF-8, or else Latin-1."""
-    return F.when(F.is_valid_utf8(F.decode(content, "ISO-8859-1")) & F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def detect_format(content: Column) -> Column:
@@ -52,9 +53,9 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-def _problems(row: Column, *checks: tuple[Column, str, str]) -> Column:
+def _problems(row: Column, *checks: tuple[Column, str, str | Column]) -> Column:
     """Errors of the checks whose condition holds."""
-    found = F.array(*[F.when(c, F.struct(row.cast("int").alias("row"), F.lit(f).alias("field"), F.lit(m).alias("message"))) for c, f, m in checks])
+    found = F.array(*[F.when(c, F.struct(row.cast("int").alias("row"), F.lit(f).alias("field"), (F.lit(m) if isinstance(m, str) else m).alias("message"))) for c, f, m in checks])
     return F.filter(found, lambda e: e.isNotNull()).cast(ERRORS)
 
 
@@ -225,9 +226,16 @@ def parse_csv(files: DataFrame, mapping: dict) -> DataFrame:
     """
     rows = files.select("path", "content").mapInPandas(_records(mapping.get("delimiter", ","), mapping.get("has_header", True)), "path string, row int, header array<string>, fields array<string>")
 
+    def place(ref) -> Column:
+        return F.lit(ref) if isinstance(ref, int) else F.array_position("header", F.lit(ref)).cast("int") - 1
+
     def at(ref) -> Column:
-        where = F.lit(ref) if isinstance(ref, int) else F.array_position("header", F.lit(ref)).cast("int") - 1
-        return F.trim(F.when(where >= 0, F.get("fields", where)))
+        return F.trim(F.when(place(ref) >= 0, F.get("fields", place(ref))))
+
+    def absent(ref) -> Column:
+        """What is wrong with a reference to a column in this row, or null."""
+        unknown = F.when(place(ref) < 0, f"no column is named {ref}")
+        return unknown.when(place(ref) >= F.size("fields"), F.concat(F.lit("the row ends before column "), place(ref).cast("string")))
 
     cols = mapping["columns"]
     optional = {c: at(cols[c]) for c in ("currency", "counterparty", "counterparty_bic", "counterparty_account") if c in cols}
@@ -237,22 +245,23 @@ def parse_csv(files: DataFrame, mapping: dict) -> DataFrame:
         signed = money_to_minor(at(how["signed"]))
         amount, fine = F.abs(signed), signed.isNotNull()
         debit = (signed < 0) == F.lit(how.get("debit_when_negative", True))
-        problem = "missing or invalid amount"
+        problem = F.coalesce(absent(how["signed"]), F.when(~fine, "not an amount"))
     else:
         zero = F.lit(0).cast("bigint")
-        part = lambda ref: F.when(F.length(at(ref)) > 0, money_to_minor(at(ref))).otherwise(zero)
-        d, c = part(how["debit"]), part(how["credit"])
-        fine = F.coalesce((d != 0) != (c != 0), F.lit(False))
+        text = {k: at(how[k]) for k in ("debit", "credit")}
+        d, c = (F.when(F.length(t) > 0, money_to_minor(t)).otherwise(zero) for t in text.values())
         debit = d != 0
         amount = F.abs(F.when(debit, d).otherwise(c))
-        problem = "exactly one of debit and credit must be set"
-    errors = _problems(
-        F.col("row"),
-        (F.coalesce(F.length(at(cols["external_ref"])), F.lit(0)) == 0, "externalRef", "missing reference"),
-        (day.isNull(), "valueDate", "missing or invalid date"),
-        (~fine, "amount", problem),
-        *[(at(cols[c]).isNull(), c, "no such column") for c in ("counterparty_bic", "counterparty_account") if c in cols],
-    )
+        # One error an amount: of the columns, then of what they hold, then of both together.
+        problem = F.coalesce(
+            absent(how["debit"]), absent(how["credit"]), F.when(d.isNull(), "not an amount in the debit column"), F.when(c.isNull(), "not an amount in the credit column"),
+            F.when((d != 0) & (c != 0), "debit and credit are both set"), F.when((d == 0) & (c == 0), "debit and credit are both empty"),
+        )
+    ref, date = cols["external_ref"], cols["value_date"]
+    columns = {"externalRef": F.coalesce(absent(ref), F.when(F.length(at(ref)) == 0, "the reference is empty")), "valueDate": F.coalesce(absent(date), F.when(day.isNull(), F.concat(F.lit("not a date: "), at(date))))}
+    columns |= {c: absent(cols[c]) for c in ("description", "counterparty_bic", "counterparty_account") if c in cols}
+    columns["amount"] = problem
+    errors = _problems(F.col("row"), *[(why.isNotNull(), field, why) for field, why in columns.items()])
     return _as_parsed(
         rows.withColumn("errors", errors),
         external_ref=_blank(at(cols["external_ref"])),
@@ -378,9 +387,9 @@ def parse_pdf(files: DataFrame, extract, profile: str = "acmebank") -> DataFrame
                 try:
                     text, problem = extract(bytes(content)), None
                 except Exception:  # whatever a library raises on a malformed file
-                    text, problem = "", "could not read PDF (malformed or unsupported)"
+                    text, problem = "", "the file cannot be read as a PDF"
                 if problem is None and not text.strip():
-                    problem = "no extractable text layer (scanned PDF?)"
+                    problem = "the pages hold no text"
                 texts.append(text.encode())
                 problems.append(problem)
             yield pd.DataFrame({"path": b["path"], "content": texts, "problem": problems})
