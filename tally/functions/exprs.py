@@ -102,3 +102,24 @@ def rounded_percent(x: Column) -> Column:
 def rationale(score: Column) -> Column:
     """A score as whole per cent, halves to even."""
     return F.concat(F.bround(score * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+
+
+#: Decimal places of the currencies that do not have two.
+EXPONENTS = {**dict.fromkeys(("BIF", "CLP", "DJF", "GNF", "ISK", "JPY", "KMF", "KRW", "PYG", "RWF", "UGX", "VND", "VUV", "XAF", "XOF", "XPF"), 0), **dict.fromkeys(("BHD", "IQD", "JOD", "KWD", "LYD", "OMR", "TND"), 3)}
+
+
+def exponent(currency: Column) -> Column:
+    """Decimal places of a currency; two where nothing else is known."""
+    places = F.lit(2)
+    for n in (0, 3):
+        places = F.when(currency.isin(*[c for c, e in EXPONENTS.items() if e == n]), n).otherwise(places)
+    return places
+
+
+def display_money(minor: Column, currency: Column) -> Column:
+    """An amount for people, by the currency's own decimal places: "-EUR 1,234.50"; an em dash where amount or currency is missing."""
+    unit = F.pow(F.lit(10), exponent(currency)).cast("bigint")
+    size = F.abs(minor)
+    whole = F.regexp_replace(F.call_function("div", size, unit).cast("string"), "(?<=[0-9])(?=([0-9]{3})+$)", ",")
+    part = F.when(unit > 1, F.concat(F.lit("."), F.lpad((size % unit).cast("string"), exponent(currency), F.lit("0")))).otherwise("")
+    return F.coalesce(F.concat(F.when(minor < 0, "-").otherwise(""), currency, F.lit(" "), whole, part), F.lit("\u2014"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.exprs import ageing_bucket, ageing_days
 from tally.schemas import AGEING_BUCKETS, BREAK_TYPES, CLOSED_STATUSES, OPEN_STATUSES
+from tally.storage import written
 
 #: Days within which a closed break counts as in time.
 SLA_DAYS = 7
@@ -141,8 +142,6 @@ def page(rows: DataFrame, before: int | None = None, limit: int = 50, most: int
     size = max(1, min(limit, most))
     out = rows if before is None else rows.where(F.col(key) < before)
     out = out.orderBy(F.desc(key)).limit(size + 1)
-    from pyspark.sql import Window
-
     # At most ``most`` + 1 rows.
     w = Window.orderBy(F.desc(key))
     got = out.withColumn("n", F.row_number().over(w)).withColumn("more", F.max("n").over(Window.partitionBy(F.lit(1))) > size)
@@ -160,3 +159,39 @@ def check_window(source_a: str, source_b: str, start: str, end: str) -> None:
         raise ValueError("a run needs two different sources")
     if parse_day(end) < parse_day(start):
         raise ValueError("the window ends before it starts")
+
+
+def window_problem(source_a: Column, source_b: Column, start: Column, end: Column) -> Column:
+    """The same for columns of requested runs: "sources", "from", "to", "window" or null."""
+    return (
+        F.when(source_a == source_b, "sources").when(F.try_to_date(start, "yyyy-MM-dd").isNull(), "from").when(F.try_to_date(end, "yyyy-MM-dd").isNull(), "to").when(end < start, "window")
+    )
+
+
+def by_text_id(rows: DataFrame) -> DataFrame:
+    """A run's numbered rows with ``place``, their place by the id as text."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("id")))
+
+
+def sort_state(state: tuple[str, str] | None, column: str) -> tuple[str, str] | None:
+    """The order of a listing after a click on ``column``: ascending, then descending, then none; another column starts anew."""
+    if state is None or state[0] != column:
+        return column, "asc"
+    return (column, "desc") if state[1] == "asc" else None
+
+
+def numbered(rows: DataFrame, state: tuple[str, str] | None, key: str) -> DataFrame:
+    """``rows`` with ``place`` in the order of ``state`` (column, asc or desc; nulls last), ties and no order by ``key``.
+
+    Rows are dealt out in ranges of the order; a range's first place is the
+    number of rows before it.
+    """
+    order = [F.col(key).asc()]
+    if state is not None:
+        order.insert(0, F.col(state[0]).asc_nulls_last() if state[1] == "asc" else F.col(state[0]).desc_nulls_last())
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("at", 33)
+    # A row for each range.
+    sizes = dealt.groupBy(part.alias("range")).agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return dealt.withColumn("range", part).join(before, "range").withColumn("place", (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + 1).cast("int")).select(*rows.columns, "place")

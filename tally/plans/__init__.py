@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "listing", "trail", "ingest", "admin")
+MODULES = ("matching", "listing", "trail", "ingest", "admin", "store")
 
 
 def _all(name: str) -> dict:

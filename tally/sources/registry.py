@@ -49,7 +49,8 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
 
 def read_statements(files: DataFrame, fmt: str, **options) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, errors) of ``files`` (path, content) in the format ``fmt``; a file with an error gives errors only."""
-    return st.gate(st.PARSERS[fmt](files, **checked(fmt, options)))
+    options = checked(fmt, options)
+    return st.gate(st.PARSERS[fmt](files, **options))
 
 
 def register(spark: SparkSession, view: str, source: str | DataFrame, fmt: str, **options) -> None:
