@@ -10,8 +10,8 @@ from tally.sources.statements import PDF_PROFILES
 
 #: Dialects that a source may name, and the longest name a patch may give.
 DIALECTS, NAME_CHARS = ("generic", "subfielded"), 80
-#: Fields of a canonical transaction that a wire row leaves out when they are null.
-OPTIONAL = ("counterparty", "counterparty_bic", "counterparty_account")
+#: The names under which a wire shows the fields that a problem is about.
+DIALECT_FIELD, PROFILE_FIELD = "formatDialect", "pdfProfile"
 
 
 def _known(value: Column, allowed: tuple[str, ...]) -> Column:
@@ -23,8 +23,8 @@ def source_problem(name: Column, currency: Column, dialect: Column, profile: Col
     return (
         F.when(F.length(F.trim(F.coalesce(name, F.lit("")))) == 0, "name")
         .when(F.length(F.trim(F.coalesce(currency, F.lit("")))) != 3, "currency")
-        .when(~_known(dialect, DIALECTS), "formatDialect")
-        .when(~_known(profile, tuple(PDF_PROFILES)), "pdfProfile")
+        .when(~_known(dialect, DIALECTS), DIALECT_FIELD)
+        .when(~_known(profile, tuple(PDF_PROFILES)), PROFILE_FIELD)
     )
 
 
@@ -45,8 +45,8 @@ def patch_sources(sources: DataFrame, patches: DataFrame) -> DataFrame:
     trimmed = F.length(F.trim("new_name"))
     problem = (
         F.when((trimmed == 0) | (trimmed > NAME_CHARS), "name")
-        .when(F.col("patch_dialect") & ~_known(F.col("new_dialect"), DIALECTS), "formatDialect")
-        .when(F.col("patch_profile") & ~_known(F.col("new_profile"), tuple(PDF_PROFILES)), "pdfProfile")
+        .when(F.col("patch_dialect") & ~_known(F.col("new_dialect"), DIALECTS), DIALECT_FIELD)
+        .when(F.col("patch_profile") & ~_known(F.col("new_profile"), tuple(PDF_PROFILES)), PROFILE_FIELD)
     )
     j = j.withColumn("problem", problem).withColumn("changed", F.coalesce("patched", F.lit(False)) & F.col("problem").isNull())
     put = lambda flag, new, old: F.when(F.col("changed") & flag, F.col(new)).otherwise(F.col(old))

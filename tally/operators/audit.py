@@ -242,3 +242,16 @@ def control_evidence(log: DataFrame) -> DataFrame:
     kinds = controls(log.sparkSession).select("framework", "control", F.explode("event_kinds").alias("kind"))
     counts = log.groupBy("kind").agg(F.count("*").alias("n"))
     return kinds.join(counts, "kind", "left").groupBy("framework", "control").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
+
+
+def frameworks(log: DataFrame) -> DataFrame:
+    """(framework, controls, events): each framework's controls in order, and the entries that are evidence of any of them.
+
+    An entry that several controls of a framework take counts once.
+    """
+    kinds = controls(log.sparkSession).select("framework", "control", F.explode("event_kinds").alias("kind"))
+    # Eleven controls: their lists are of fixed size.
+    named = kinds.groupBy("framework").agg(F.array_sort(F.collect_set("control")).alias("controls"))
+    counts = log.groupBy("kind").agg(F.count("*").alias("n"))
+    n = kinds.select("framework", "kind").distinct().join(counts, "kind", "left").groupBy("framework").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
+    return named.join(n, "framework")

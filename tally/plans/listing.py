@@ -69,6 +69,7 @@ QUERIES = {
     "unassigned_breaks": lambda s, d: listing.list_breaks(breaks(s, d), TENANT, _as_of(), unassigned=True).select("id", "status", "ageing_bucket"),
     "recent_runs": lambda s, d: listing.recent_runs(runs(s, d), TENANT).select("id", "name", "started_at", "match_rate_pct"),
     "source_counts": lambda s, d: listing.source_counts(frame(s, d, SOURCES), frame(s, d, BY_SOURCE), TENANT),
+    "source_counts_with_archived": lambda s, d: listing.source_counts(frame(s, d, SOURCES), frame(s, d, BY_SOURCE), TENANT, include_archived=True),
     "break_enrichment": lambda s, d: _enriched(s, d, breaks(s, d), users(s, d)),
     "run_detail": lambda s, d: _detail(s, d, breaks(s, d)),
     "member_list": lambda s, d: listing.members(users(s, d), memberships(s, d), TENANT),
@@ -100,6 +101,8 @@ LEFT JOIN (SELECT * FROM ({_AGED}) x WHERE {_OPEN}) b ON b.ageing_bucket = v.age
     "recent_runs": f"SELECT id, name, started_at, match_rate_pct FROM ({RUNS}) r WHERE tenant_id = '{TENANT}' AND status = 'completed' ORDER BY started_at DESC, id LIMIT 5",
     "source_counts": f"""SELECT s.id, s.name, s.currency, s.disabled, count(t.source_id) AS txn_count FROM ({SOURCES}) s
 LEFT JOIN ({BY_SOURCE}) t ON t.source_id = s.id AND t.tenant_id = '{TENANT}' WHERE s.tenant_id = '{TENANT}' AND NOT s.disabled GROUP BY ALL""",
+    "source_counts_with_archived": f"""SELECT s.id, s.name, s.currency, s.disabled, count(t.source_id) AS txn_count FROM ({SOURCES}) s
+LEFT JOIN ({BY_SOURCE}) t ON t.source_id = s.id AND t.tenant_id = '{TENANT}' WHERE s.tenant_id = '{TENANT}' GROUP BY ALL""",
     "break_enrichment": f"""SELECT b.id, b.txn_id AS first_txn, l.external_ref AS first_ref, coalesce(u.name, b.assignee_id) AS assignee
 FROM ({BREAKS}) b LEFT JOIN ({LEDGER}) l ON l.id = b.txn_id LEFT JOIN ({USERS}) u ON u.id = b.assignee_id WHERE b.tenant_id = '{TENANT}'""",
     "run_detail": f"""SELECT b.id, concat(l.external_ref, ',?,ORD-1') AS refs, l.amount_minor + (SELECT amount_minor FROM ({LEDGER}) z WHERE id = 'A-0000000001') AS total_minor

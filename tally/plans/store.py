@@ -11,7 +11,7 @@ from tally.plans.ingest import camt_files, csv_files
 from tally.plans.listing import MEMBERSHIPS
 from tally.plans.matching import BY_RUN, ORACLES as MATCHED
 from tally.plans.tpch import BANK, LEDGER, frame, sides
-from tally.schemas import decode
+from tally.schemas import decode, violations
 from tally.sources import statements as st
 from tally.storage import new_path, written
 
@@ -124,7 +124,18 @@ def _assigned(spark, sf_dir):
     return cases.assign(breaks, wishes, frame(spark, sf_dir, MEMBERSHIPS))
 
 
+_ODD_ROWS = f"""SELECT id, concat(source_id, '-', tenant_id) AS source_id, CASE WHEN k % 31 = 0 THEN 'ORD-0' ELSE external_ref END AS external_ref, CASE WHEN k % 37 <> 0 THEN value_date END AS value_date, amount_minor,
+  CASE WHEN k % 41 <> 0 THEN currency END AS currency, CASE k % 5 WHEN 0 THEN 'DEUTDEFF' WHEN 1 THEN 'DEUTDEFF500' WHEN 2 THEN 'deutdeff' WHEN 3 THEN 'DEUTDEFF5' END AS counterparty_bic
+FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS k FROM ({LEDGER}) l) x"""
+
+
+def _violations(spark, sf_dir):
+    """Rows against the constraints of their table: shapes of bank codes, missing values, references that repeat in a source."""
+    return violations(frame(spark, sf_dir, _ODD_ROWS))
+
+
 QUERIES = {
+    "table_violations": _violations,
     "seed_store": _seeded,
     "membership_backfill": _backfill,
     "canonical_rows": _canonical,
@@ -140,6 +151,11 @@ _ID = lambda s: f"concat('txn-', substr(sha256(concat('{s}', '/', external_ref))
 _MINOR = "concat(CAST(amount_minor // 100 AS VARCHAR), '.', lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0'))"
 _OF = "concat('tenant-', substr(run_id, 12, 1))"
 ORACLES = {
+    "table_violations": f"""
+WITH o AS ({_ODD_ROWS})
+SELECT 'bic_shape' AS rule, id FROM o WHERE NOT regexp_full_match(counterparty_bic, '[A-Z0-9]{{8}}([A-Z0-9]{{3}})?')
+UNION ALL SELECT 'not_null', id FROM o WHERE currency IS NULL OR value_date IS NULL OR amount_minor IS NULL
+UNION ALL SELECT 'unique_ref', min(id) FROM o GROUP BY source_id, external_ref HAVING count(*) > 1""",
     "seed_store": f"""
 WITH d AS ({MATCHED['match_decisions']}), b AS ({MATCHED['match_breaks']}), r AS (SELECT run_id FROM ({MATCHED['match_run_stats']}) s),
 t AS (SELECT tenant_id, source_id FROM ({LEDGER}) l UNION ALL SELECT tenant_id, source_id FROM ({BANK}) k)

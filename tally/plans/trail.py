@@ -164,6 +164,7 @@ QUERIES = {
     "audit_anchor_entries": _anchor_entries,
     "audit_page": _page,
     "control_evidence": lambda s, d: audit.control_evidence(frame(s, d, EVENTS)),
+    "control_frameworks": lambda s, d: audit.frameworks(frame(s, d, EVENTS)).select("framework", F.array_join("controls", ",").alias("controls"), "events"),
     "case_replay": _cases,
     "case_append": _case_append,
     "case_stream": _case_stream,
@@ -278,6 +279,10 @@ s AS (
 )
 SELECT case_id, status, assignee_id, requester_id, applied, refused, first_refused, reason FROM s
 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY seq DESC) = 1""",
+    "control_frameworks": "WITH v(framework, control, kind) AS (VALUES "
+    + ", ".join(f"('{f}', '{c}', '{k}')" for f, c, kinds in audit.CONTROLS for k in kinds)
+    + f"""), c AS (SELECT framework, string_agg(control, ',' ORDER BY control) AS controls FROM (SELECT DISTINCT framework, control FROM v) x GROUP BY framework)
+SELECT c.framework, c.controls, CAST(count(e.kind) AS BIGINT) AS events FROM c LEFT JOIN (SELECT DISTINCT framework, kind FROM v) k ON k.framework = c.framework LEFT JOIN ({EVENTS}) e ON e.kind = k.kind GROUP BY ALL""",
     "case_append": f"""SELECT case_id, id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY "at", id) AS INT) AS seq, kind FROM ({CASE_EVENTS}) e""",
     "login_lockout": """
 WITH r AS (SELECT user_id, ts AS "at", event_id AS id, event_type = 'purchase' AS ok,
