@@ -244,6 +244,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def exact_dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
+    """``docs`` with one row of each group of equal texts, that of the largest id, all columns unchanged.
+
+    Null and empty texts are one group; a null id is below all others. Of
+    repeated rows one stays. Texts of any length are compared whole; columns
+    of any other name go through as they are; an empty table gives no rows.
+    """
     kept = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where("kept")
     return keep_rows(docs, kept.select("id", "row_key", F.lit(True).alias("single")), id_col, text_col)

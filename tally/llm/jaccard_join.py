@@ -452,7 +452,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, of each group of linked texts; texts without words all stay."""
+    """``docs`` with one row, that of the smallest id, of each group of linked texts; texts without words all stay.
+
+    A null id is below all others, null text has no words, of repeated rows
+    one stays. Texts of any length are compared by all their shingles; columns
+    of any other name go through as they are; an empty table gives no rows.
+    """
     joined = materialise(jaccard_join(docs, id_col, text_col, k, num, den), "jaccard-verdicts")
     chosen = joined.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "row_key")).alias("of"))
     kept = chosen.select("of.id", "of.row_key", F.lit(True).alias("single"))

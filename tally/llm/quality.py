@@ -274,7 +274,13 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
+    """The rows of ``docs`` that the rules keep, all columns unchanged.
+
+    Null and empty texts fail the base rules and go. Null languages and
+    sources are groups of their own, null ids are ids like others, repeated
+    rows fare alike and are all kept or all dropped. Texts of any length are
+    judged whole; an empty table gives no rows.
+    """
     keep = [id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
     stats = materialise(base_statistics(docs, keep, text_col), "quality-stats")
     model = fit(stats.where(~F.col("base_failed")).select("lang", "source", "x"))
