@@ -187,12 +187,12 @@ def anchor_now(log: DataFrame, anchors: DataFrame | None, at: str) -> tuple[Data
     entry for each tenant, so it grows with the tenants and not with their logs.
     """
     row = anchor(log, anchors, at)
-    facts = row.select("anchor_seq", F.size("tenant_heads").alias("tenant_count"))
+    # Two numbers, which each tenant's entry repeats.
+    anchor_seq, tenants = row.select("anchor_seq", F.size("tenant_heads")).first()
     heads = heads_of(log)
     kind = "system.anchor.created"
-    payload = canonical_payload(F.lit(kind), F.col("anchor_seq").alias("anchor_seq"), F.col("tenant_count").cast("bigint").alias("tenant_count"))
-    # One row meets each tenant's head.
-    told = heads.select("tenant_id").join(facts, F.lit(True)).select("tenant_id", F.lit(at).alias("at"), F.lit("system").alias("actor_id"), F.lit(kind).alias("kind"), payload.alias("payload"), F.lit(0).cast("bigint").alias("order"))
+    payload = canonical_payload(F.lit(kind), F.lit(anchor_seq).cast("bigint").alias("anchor_seq"), F.lit(tenants).cast("bigint").alias("tenant_count"))
+    told = heads.select("tenant_id", F.lit(at).alias("at"), F.lit("system").alias("actor_id"), F.lit(kind).alias("kind"), payload.alias("payload"), F.lit(0).cast("bigint").alias("order"))
     return row, append(told, heads)
 
 

@@ -100,8 +100,8 @@ def breaks_by_ageing(breaks: DataFrame, tenant_id: str, as_of: Column) -> DataFr
 
 def share_of_max(bars: DataFrame) -> DataFrame:
     """Bars of a few rows with their share of the largest in whole per cent."""
-    top = bars.agg(F.greatest(F.max("count"), F.lit(1)).alias("top"))
-    return bars.crossJoin(F.broadcast(top)).withColumn("percent", F.round(F.col("count") / F.col("top") * 100).cast("bigint")).drop("top")
+    top = F.greatest(F.max("count").over(Window.partitionBy(F.lit(1))), F.lit(1))
+    return bars.withColumn("percent", F.round(F.col("count") / top * 100).cast("bigint"))
 
 
 def recent_runs(runs: DataFrame, tenant_id: str, top: int = 5) -> DataFrame:
