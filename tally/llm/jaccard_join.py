@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.llm.common import NULL_ID, discard, id_key, keep_rows, materialise
-from tally.llm.substring_dedup import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
+from tally.llm.word_hashes import BATCH_WORDS, STEP_1, Words, prefix_hashes, range_hashes
 
 #: Token bitmaps: (least length in 64-bit words, most shingles a bit); larger sets get longer ones.
 #: The rough ones, sent with each posting, tell who may have a partner; the fine ones who it may be.

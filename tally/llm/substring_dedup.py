@@ -1,234 +1,294 @@
 """Substring dedup by recompression.
 
-Each text's words pass through rounds that name runs of equal symbols and then
-pairs of neighbours (one of the left, one of the right half of the alphabet).
-A name is a hash of what it stands for, so all tasks name alike without
-exchanging tables, and equal substrings get equal symbols inside. Each symbol
-carries the stretch of words that its forming depended on. Every window of
-words picks the symbol of the highest level whose stretch lies inside it; two
-equal windows pick the same. Only stretches that documents share can belong to
-repeats: the windows around them are then compared by 128 bits of hashes over
-their words.
+Texts are sequences of symbols that shrink in rounds. The first round names
+words and runs of equal words, each further one pairs of neighbours (one of
+the left, one of the right half of the alphabet). Every round is a Spark job:
+chunks of texts post the distinct runs or pairs they hold, a grouping numbers
+those that at least two rows hold, the numbers are joined back and go to the
+chunks. A number stands for one content everywhere, so equal substrings get
+equal symbols inside. What only one row holds needs no name: it is part of no
+repeat, and a window of words around it is given up at once.
+
+Each symbol carries the stretch of words that its forming depended on. Two
+equal windows hold the same symbols wherever a symbol's stretch lies inside
+them, so a window stays in the running as long as all such symbols, of every
+level, are shared. Texts whose symbols of the last level are all the same are
+equal as a whole; the windows left of other texts are compared by the numbers
+of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.llm.common import discard, id_key, materialise, spread_join
+from tally.llm.word_hashes import STEP_1, mix
 
+#: Rounds of pairs after the one of words and runs.
 ROUNDS = 3
-#: Parts of the windows, by their hashes, that are dealt out one after the other: only one
-#: part's shuffle files are on disk at a time, a share of all windows that is the same at every size.
-PASSES = 4
-#: Words handled at once, about: bounds the arrays of a task.
-BATCH_WORDS = 120_000
-#: Odd multipliers of the hashes.
-MIX_1, MIX_2, STEP_1, STEP_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(MIX_1)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(MIX_2)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words(dict):
-    """word -> number, with two independent 64-bit hashes by number."""
-
-    def __init__(self):
-        super().__init__()
-        self.a, self.b = array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_128_intdigest(word)
-        self.a.append(h & (2**64 - 1))
-        self.b.append(h >> 64)
-        n = self[word] = len(self.a) - 1
-        return n
-
-    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first hashes, second hashes, text number) of the words of all texts, one after the other."""
-        if len(self) > 200_000:
-            self.__init__()
-            self.clear()
-        of = np.array([self[w] for t in texts for w in t], np.int64)
-        text = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-        return np.frombuffer(self.a, np.uint64)[of], np.frombuffer(self.b, np.uint64)[of], text
-
-
-def prefix_hashes(h: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of a polynomial hash, and the inverse powers that shift a range to the origin."""
-    power = np.empty(len(h) + 1, np.uint64)
-    power[0] = 1
-    back = power.copy()
-    power[1:] = np.uint64(step)
-    back[1:] = np.uint64(pow(step, -1, 1 << 64))
-    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[:-1], dtype=np.uint64, out=sums[1:])
-    return sums, back
-
-
-def range_hashes(sums: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, end) of words, equal for equal contents."""
-    return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-
-
-def levels(h: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, low, high) of the symbols of each level, in order.
-
-    [low, high) is the stretch of words on which the symbol depends; at the
-    end of a text it reaches beyond the text, so no window contains it.
-    """
-    n = len(h)
-    new = np.ones(n, bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], n)
-    name = _mix(h[start] + (end - start).astype(np.uint64) * np.uint64(STEP_2))
-    low, high, own = start - 1, end + 1, text[start]
-    out = [(name, low, high)]
-    for turn in range(1, rounds + 1):
-        right = (_mix(name ^ np.uint64(turn * STEP_1 % 2**64)) >> np.uint64(63)).astype(bool)
-        joins = np.zeros(len(name), bool)
-        next_same = own[1:] == own[:-1]
-        joins[:-1] = ~right[:-1] & right[1:] & next_same
-        joined = np.zeros(len(name), bool)
-        joined[1:] = joins[:-1]
-        # What a symbol that stays alone depends on: its neighbour on the side where it might have joined.
-        before = np.concatenate([[-1], np.where(next_same, low[:-1], low[1:] - 1)])
-        after = np.concatenate([np.where(next_same, high[1:], high[:-1] + 1), [n + 1]])
-        low_alone = np.where(right, np.minimum(before, low), low)
-        high_alone = np.where(right, high, np.maximum(after, high))
-        at = np.flatnonzero(~joined)
-        pair = joins[at]
-        mate = np.minimum(at + 1, len(name) - 1)
-        with_mate = _mix(name[at] * np.uint64(STEP_1) + name[mate] * np.uint64(STEP_2) + np.uint64(turn))
-        low, high = np.where(pair, low[at], low_alone[at]), np.where(pair, high[mate], high_alone[at])
-        name, own = np.where(pair, with_mate, name[at]), own[at]
-        out.append((name, low, high))
-    return out
-
-
-def window_picks(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window start, number of its pick within its text, per pick: text, hash of its stretch)."""
-    n = len(h)
-    empty = np.zeros(0, np.int64)
-    if n < width:
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    start = np.flatnonzero(text[: n - width + 1] == text[width - 1 :])
-    low, high = start.copy(), start + width
-    left = np.ones(len(start), bool)
-    for name, a, b in reversed(levels(h, text)):
-        where = np.flatnonzero(left)
-        if not len(where):
-            break
-        i = start[where]
-        first, last = np.searchsorted(a, i, "left"), np.searchsorted(b, i + width, "right") - 1
-        ok = first <= last
-        where, i, first, last = where[ok], i[ok], first[ok], last[ok]
-        # Of the symbols that fit, the one of the smallest name, the leftmost of equals.
-        best = first.copy()
-        for k in range(1, int((last - first).max(initial=0)) + 1):
-            at = np.minimum(first + k, last)
-            best = np.where(name[at] < name[best], at, best)
-        low[where], high[where] = a[best], b[best]
-        left[where] = False
-    whole = (text[start] * (n + 1) + low) * 64 + (high - low)
-    kept, pick = np.unique(whole, return_inverse=True)
-    rest, size = np.divmod(kept, 64)
-    of_text, low = np.divmod(rest, n + 1)
-    sums, back = prefix_hashes(h, STEP_1)
-    key = range_hashes(sums, back, low, low + size)
-    first_of_text = np.searchsorted(of_text, np.arange(int(text[-1]) + 2))
-    return start, pick - first_of_text[text[start]], of_text, key
-
-
-def _texts(column) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(number of the first, words of each) of groups of texts with about BATCH_WORDS words."""
-    at, some, n = 0, [], 0
-    for k, t in enumerate(column):
-        words = (t.as_py() or "").encode().split()
-        some.append(words)
-        n += len(words)
-        if n >= BATCH_WORDS:
-            yield at, some
-            at, some, n = k + 1, [], 0
-    if some:
-        yield at, some
-
-
-def _picks_of(words: Words, texts: list[list[bytes]], width: int) -> list[np.ndarray]:
-    h, _, text = words.numbers(texts)
-    _, _, of_text, key = window_picks(h, text, width)
-    cut = np.searchsorted(of_text, np.arange(len(texts) + 1))
-    return [key[a:b].view(np.int64) for a, b in zip(cut[:-1], cut[1:])]
-
-
-def _first_pass(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            for at, texts in _texts(b.column(3)):
-                joined = [b" ".join(t) for t in texts]
-                picks = _picks_of(words, texts, width)
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in picks])]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(picks) if picks else np.zeros(0, np.int64)))
-                own, ids, rows = (b.column(k).slice(at, len(texts)) for k in range(3))
-                yield pa.RecordBatch.from_arrays(
-                    [own, ids, rows, pa.array([len(t) for t in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(j) for j in joined], pa.binary()), pa.array([hashlib.sha256(j).hexdigest() for j in joined]), keys],
-                    names=["own_id", "id", "row_key", "n_words", "content", "sha", "picks"],
-                )
+#: Words of a chunk, about; a longer text is a chunk of its own.
+CHUNK_WORDS = 400_000
+#: Symbols of more words join no more, and longer runs are cut: such symbols fit into no window.
+LONGEST = 30_000
+#: A text's symbols. ``words`` and ``name`` are 64-bit numbers, -1 without a name, -2 - k while the chunk's key k
+#: waits for one; ``size`` is a symbol's words, ``before`` and ``after`` how far its stretch reaches beyond them.
+STATE = "chunk long, row long, id long, row_key long, words binary, alive binary, name binary, size binary, before binary, after binary, content binary"
+POST = "k int, word string, run int, l long, r long, lo long, hi long"
+
+
+def _split(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    return [values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _joined(parts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values one after the other, where each part begins, with the end of the last)."""
+    cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), cut.astype(np.int64)
+
 
-    return docs.mapInArrow(run, "own_id long, id long, row_key long, n_words long, content binary, sha string, picks array<long>")
+def _first_last(of: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last owner of each of n keys; owners ascend."""
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first[of[::-1]] = owner[::-1]
+    last[of] = owner
+    return first, last
 
 
-def _windows(shared: DataFrame, width: int) -> DataFrame:
-    """(id, row_key, p, a, b, part): start and contents (by 128 bits of hashes) of the windows around the shared picks."""
+def _clip(far: np.ndarray) -> np.ndarray:
+    return np.minimum(far, 2 * LONGEST).astype("<u2")
+
+
+def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, size: np.ndarray, turn: int):
+    """(first symbols that join their right neighbours, those left as they are with the pairs, low, high) of a round.
+
+    A symbol without a name joins none. What stays alone depends on its
+    neighbour on the side where it might have joined; at the ends of a text it
+    depends on what lies beyond, so that no window contains it.
+    """
+    n = len(name)
+    right = (mix(name.astype(np.uint64) ^ np.uint64(turn * STEP_1 % 2**64)) >> np.uint64(63)).astype(bool)
+    next_same = own[1:] == own[:-1]
+    named = name >= 0
+    joins = np.zeros(n, bool)
+    joins[:-1] = ~right[:-1] & right[1:] & next_same & named[:-1] & named[1:] & (size[:-1] + size[1:] <= LONGEST)
+    joined = np.zeros(n, bool)
+    joined[1:] = joins[:-1]
+    left_low = np.concatenate([low[:1] - 1, np.where(next_same, low[:-1], low[1:] - 1)])
+    right_high = np.concatenate([np.where(next_same, high[1:], high[:-1] + 1), high[-1:] + 1])
+    low_alone = np.where(right, np.minimum(left_low, low), low)
+    high_alone = np.where(right, high, np.maximum(right_high, high))
+    at = np.flatnonzero(~joined)
+    pair = joins[at]
+    mate = np.minimum(at + 1, n - 1)
+    return at[pair], at, pair, np.where(pair, low[at], low_alone[at]), np.where(pair, high[mate], high_alone[at])
+
+
+def _record(values: dict, schema: pa.Schema, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in ddl.split(", "))])
+
+
+FIRST = f"post boolean, {STATE}, own_id long, n_words long, sha string, {POST}"
+NEXT = f"post boolean, {STATE}, {POST}"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list[list[bytes]]]]:
+    """(own ids, ids, row keys, words) of groups of texts with about CHUNK_WORDS words."""
+    some, n = ([], [], [], []), 0
+    for b in batches:
+        for own, id_, key, t in zip(*(b.column(k) for k in range(4))):
+            words = (t.as_py() or "").encode().split()
+            if some[0] and n + len(words) > CHUNK_WORDS:
+                yield some
+                some, n = ([], [], [], []), 0
+            for kept, value in zip(some, (own.as_py(), id_.as_py(), key.as_py(), words)):
+                kept.append(value)
+            n += len(words)
+    if some[0]:
+        yield some
+
+
+def _first_round(docs: DataFrame, width: int) -> DataFrame:
+    """The texts' words and runs, and a post for each distinct word and run of a chunk."""
+    schema = _arrow(FIRST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            ids, rows, picked = (batch.column(k) for k in (0, 1, 3))
-            for at, texts in _texts(batch.column(2)):
-                h, g, text = words.numbers(texts)
-                start, pick, of_text, _ = window_picks(h, text, width)
-                if not len(start):
-                    continue
-                base = np.searchsorted(of_text, np.arange(len(texts) + 1))
-                shared_pick = np.zeros(len(of_text), bool)
-                for k in range(len(texts)):
-                    shared_pick[base[k] + np.array(picked[at + k].as_py(), np.int64)] = True
-                of_window = text[start]
-                start = start[shared_pick[base[of_window] + pick]]
-                of_window = text[start]
-                s1, b1 = prefix_hashes(h, STEP_1)
-                s2, b2 = prefix_hashes(g, STEP_2)
-                first_word = np.searchsorted(text, np.arange(len(texts)))
-                take = pa.array(at + of_window)
-                a = range_hashes(s1, b1, start, start + width)
-                b = range_hashes(s2, b2, start, start + width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(take), rows.take(take), pa.array((start - first_word[of_window]).astype(np.int32)),
-                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array((a % np.uint64(PASSES)).astype(np.int32)),
-                    ],
-                    names=["id", "row_key", "p", "a", "b", "part"],
-                )
-
-    return shared.select("id", "row_key", "text", "picked").mapInArrow(run, "id long, row_key long, p int, a long, b long, part int")
+        task = TaskContext.get().partitionId()
+        for nth, (own_ids, ids, keys, texts) in enumerate(_texts(batches)):
+            chunk = (task << 20) + nth
+            lens = np.array([len(t) for t in texts], np.int64)
+            cut = np.concatenate([[0], np.cumsum(lens)])
+            known: dict[bytes, int] = {}
+            of = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
+            rows = (chunk << 23) + np.arange(len(texts), dtype=np.int64)
+            text = np.repeat(np.arange(len(texts)), lens)
+            n = len(of)
+            # Runs, cut where they grow longer than any window.
+            new = np.ones(n, bool)
+            new[1:] = (of[1:] != of[:-1]) | (text[1:] != text[:-1])
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], n)[: len(start)]
+            long = np.flatnonzero(end - start > LONGEST)
+            whole_low, whole_high = start - 1, end + 1
+            if len(long):
+                more = [(s, np.arange(start[s], end[s], LONGEST)) for s in long]
+                times = np.ones(len(start), np.int64)
+                times[long] = [len(m) for _, m in more]
+                whole_low, whole_high = np.repeat(whole_low, times), np.repeat(whole_high, times)
+                start = np.sort(np.concatenate([start, *(m[1:] for _, m in more)]))
+                end = np.append(start[1:], n)
+            size, sym = end - start, of[start]
+            several = np.flatnonzero(size > 1)
+            kinds, which = np.unique(sym[several] * (LONGEST + 1) + size[several], return_inverse=True)
+            code = sym.copy()
+            code[several] = len(known) + which
+            lo, hi = _first_last(of, rows[text], len(known))
+            lo2, hi2 = _first_last(which, rows[text[start[several]]], len(kinds))
+            at = np.searchsorted(start, cut)
+            starts = [np.packbits(np.arange(m) <= m - width).tobytes() for m in lens.tolist()]
+            joined = [b" ".join(t) for t in texts]
+            state = {
+                "post": [False] * len(texts), "chunk": [chunk] * len(texts), "row": rows, "id": ids, "row_key": keys, "words": _split(-2 - of, cut), "alive": starts,
+                "name": _split(-2 - code, at), "size": _split(size.astype("<u2"), at), "before": _split(_clip(start - whole_low), at), "after": _split(_clip(whole_high - end), at),
+                "own_id": own_ids, "n_words": lens, "sha": [hashlib.sha256(j).hexdigest() for j in joined],
+            }
+            yield _record(state, schema, len(texts))
+            names = [w.decode() for w in known]
+            m = len(names) + len(kinds)
+            posts = {
+                "post": [True] * m, "chunk": [chunk] * m, "k": np.arange(m, dtype=np.int32), "word": names + [names[s] for s in (kinds // (LONGEST + 1)).tolist()],
+                "run": np.concatenate([np.ones(len(names), np.int32), (kinds % (LONGEST + 1)).astype(np.int32)]), "lo": np.concatenate([lo, lo2]), "hi": np.concatenate([hi, hi2]),
+            }
+            yield _record(posts, schema, m)
+
+    return docs.mapInArrow(run, FIRST)
+
+
+class Chunk:
+    """A chunk's texts with the names of a round put in, and without those that have no window left."""
+
+    def __init__(self, state: pa.Table, names: pa.Table, width: int):
+        state = state.sort_by("row")
+        parts = {c: state.column(c).to_pylist() for c in ("words", "alive", "name", "size", "before", "after")}
+        keys = np.asarray(names.column("key").to_numpy(), np.int64)
+        name, cut = _joined(parts["name"], "<i8")
+        words, word_cut = _joined(parts["words"], "<i8")
+        given = np.full(int(max(keys.max(initial=-1), -2 - name.min(initial=0), -2 - words.min(initial=0))) + 1, -1, np.int64)
+        given[keys] = names.column("name").to_numpy()
+        name = np.where(name <= -2, given[np.maximum(-2 - name, 0)] if len(given) else -1, name)
+        words = np.where(words <= -2, given[np.maximum(-2 - words, 0)] if len(given) else -1, words)
+        size = _joined(parts["size"], "<u2")[0].astype(np.int64)
+        start = np.cumsum(size) - size
+        low, high = start - _joined(parts["before"], "<u2")[0], start + size + _joined(parts["after"], "<u2")[0]
+        # Windows around a word or symbol that is in one row only are in none other.
+        n = len(words)
+        gone = np.zeros(n + 2, np.int64)
+        for a, b in ((low, high), (np.arange(n), np.arange(n) + 1)):
+            lone = np.flatnonzero(((name if a is low else words) == -1) & (b - a <= width))
+            np.add.at(gone, np.clip(b[lone] - width, 0, n), 1)
+            np.add.at(gone, np.clip(a[lone] + 1, 0, n + 1), -1)
+        alive = [np.unpackbits(np.frombuffer(p, np.uint8), count=int(m)) for p, m in zip(parts["alive"], np.diff(word_cut))]
+        alive = (np.concatenate([np.zeros(0, np.uint8), *alive]) > 0) & (np.cumsum(gone)[:n] == 0)
+        lens = np.diff(word_cut)
+        text_of_word = np.repeat(np.arange(len(lens)), lens)
+        keep = np.zeros(len(lens), bool)
+        keep[text_of_word[alive]] = True
+        of_symbol = np.repeat(np.arange(len(lens)), np.diff(cut))
+        stay, stay_words = keep[of_symbol], keep[text_of_word]
+        offset = np.cumsum(np.where(keep, 0, lens)) - np.where(keep, 0, lens)
+        shift = offset[of_symbol[stay]]
+        self.name, self.size, self.low, self.high = name[stay], size[stay], low[stay] - shift, high[stay] - shift
+        self.start = start[stay] - shift
+        self.own = (np.cumsum(keep) - 1)[of_symbol[stay]]
+        self.words, self.alive = words[stay_words], alive[stay_words]
+        self.lens = lens[keep]
+        self.cut = np.concatenate([[0], np.cumsum(self.lens)])
+        self.info = state.select(["chunk", "row", "id", "row_key"]).filter(pa.array(keep))
+
+
+def _next_round(state: DataFrame, named: DataFrame, width: int, turn: int) -> DataFrame:
+    """The texts after a round of pairs, and a post for each distinct pair of a chunk; ``content`` stands for texts of shared symbols only."""
+    schema = _arrow(NEXT)
+
+    def run(state: pa.Table, names: pa.Table) -> pa.Table:
+        c = Chunk(state, names, width) if state.num_rows else None
+        m = len(c.lens) if c else 0
+        if m == 0:
+            return schema.empty_table()
+        rows = c.info.column("row").to_numpy()
+        first, at, pair, low, high = pairs(c.name, c.low, c.high, c.own, c.size, turn)
+        some, small = np.unique(c.name, return_inverse=True)
+        both = small[first] * len(some) + small[first + 1]
+        keys, which = np.unique(both, return_inverse=True)
+        lo, hi = _first_last(which, rows[c.own[first]], len(keys))
+        size = c.size[at].copy()
+        size[pair] += c.size[first + 1]
+        name = c.name[at].copy()
+        name[pair] = -2 - which
+        old = np.searchsorted(c.own, np.arange(m + 1))
+        cut = np.searchsorted(c.own[at], np.arange(m + 1))
+        shared = np.bincount(c.own[c.name < 0], minlength=m) == 0
+        content = [xxhash.xxh3_128_digest(p) if ok else None for p, ok in zip(_split(c.name, old), shared.tolist())]
+        start = c.start[at]
+        texts = {
+            "post": [False] * m, **{k: c.info.column(k).to_pylist() for k in ("chunk", "row", "id", "row_key")}, "words": _split(c.words, c.cut),
+            "alive": [np.packbits(c.alive[a:b]).tobytes() for a, b in zip(c.cut[:-1], c.cut[1:])], "name": _split(name, cut), "size": _split(size.astype("<u2"), cut),
+            "before": _split(_clip(start - low), cut), "after": _split(_clip(high - start - size), cut), "content": content,
+        }
+        p = len(keys)
+        chunk = c.info.column("chunk")[0].as_py()
+        posts = {"post": [True] * p, "chunk": [chunk] * p, "k": np.arange(p, dtype=np.int32), "l": some[keys // len(some)], "r": some[keys % len(some)], "lo": lo, "hi": hi}
+        return pa.Table.from_batches([_record(texts, schema, m), _record(posts, schema, p)])
+
+    return state.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, NEXT)
+
+
+def _windows(state: DataFrame, named: DataFrame, width: int, wide: bool) -> DataFrame:
+    """(id, row_key, p, words): the windows left, with the numbers of their words."""
+    ddl = "id long, row_key long, p int, words binary"
+    schema = _arrow(ddl)
+
+    def run(state: pa.Table, names: pa.Table) -> pa.Table:
+        c = Chunk(state, names, width) if state.num_rows else None
+        at = np.flatnonzero(c.alive) if c else ()
+        if not len(at):
+            return schema.empty_table()
+        text = np.searchsorted(c.cut, at, "right") - 1
+        seen = np.lib.stride_tricks.sliding_window_view(c.words.astype("<i8" if wide else "<i4"), width)[at]
+        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(seen.itemsize * width), len(at), [None, pa.py_buffer(seen.tobytes())])
+        ids, keys = (c.info.column(k).combine_chunks().take(pa.array(text)) for k in ("id", "row_key"))
+        return pa.Table.from_arrays([ids, keys, pa.array((at - c.cut[text]).astype(np.int32)), key.cast(pa.binary())], schema=schema)
+
+    return state.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, ddl)
+
+
+def _names(posts: DataFrame, keys: list[str], base: int) -> tuple[DataFrame, DataFrame, int]:
+    """((to_chunk, key, name) of the posts whose key at least two rows hold, the written table behind it, the next free number)."""
+    groups = posts.groupBy(*keys).agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
+    groups = materialise(groups.select(*keys, "size", F.monotonically_increasing_id().alias("nth")), "substring-names")
+    # The ids count within a task's part of the keys: parts follow each other, so that numbers stay small.
+    part = F.shiftright("nth", 33)
+    counts = groups.groupBy(part.alias("part")).count().orderBy("part").collect()
+    begin = {}
+    for c in counts:
+        begin[c["part"]] = base
+        base += c["count"]
+    starts = F.create_map(*[F.lit(x) for p, b in begin.items() for x in (p, b)]) if begin else None
+    number = (F.element_at(starts, part) if begin else F.lit(0)) + F.col("nth").bitwiseAND(F.lit(2**33 - 1))
+    named = spread_join(posts.select("chunk", "k", *keys), groups.withColumn("name", number.cast("long")).drop("nth"), keys, "size")
+    return named.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "name"), groups, base
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
@@ -253,11 +313,6 @@ def _removed(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "row_key", "text", "starts").mapInArrow(run, "id long, row_key long, n_removed long, sha string, kept_text string")
 
 
-def _shared_picks(wide: DataFrame) -> DataFrame:
-    picks = wide.select("row", F.explode("picks").alias("key"))
-    return materialise(picks.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key"), "substring-keys")
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): each text without the words of repeated windows.
 
@@ -268,48 +323,44 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one id do not remove from each other, repeated rows are treated alike. A
     very long text is handled whole, in memory in proportion to its words; an
     empty table gives an empty result; other columns are not read. Of texts
-    that are equal as a whole only the first passes through the rounds: all
-    windows of the others start there.
-    ``kept_text`` is null where nothing was removed.
+    of one and the same symbols only the first posts its windows: all windows
+    of the others start there.
+    ``kept_text`` is null where nothing was removed; widths go up to LONGEST.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    wide = materialise(_first_pass(d, width).withColumn("row", F.monotonically_increasing_id()), "substring-picks")
     row = ["id", "row_key"]
-    seen = materialise(wide.drop("picks"), "substring-texts")
-
-    # Whole texts that an earlier document has word for word.
-    groups = seen.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last").select("content", "first", "size")
-    groups = materialise(groups, "substring-groups")
-    twins = spread_join(seen.where(F.col("n_words") >= width).select(*row, "content"), groups, ["content"], "size").where("id > first").select(*row).distinct()
-    twins = materialise(twins, "substring-twins")
-
-    # Picks that at least two rows share, and the rows that hold them.
-    keys = _shared_picks(wide)
-    holders = wide.select("row", F.posexplode("picks").alias("n", "key")).join(keys, "key").groupBy("row").agg(F.collect_set("n").alias("picked"))
-    holders = materialise(holders, "substring-holders")
-    discard(wide)
-    wanted = holders.join(seen.select("row", *row), "row").drop("row").dropDuplicates(row).join(twins, row, "left_anti")
-    shared = materialise(d.select(*row, "text").join(wanted, row), "substring-shared")
-    discard(keys)
-    discard(holders)
-
-    # The full contents decide: who else starts with the same window, and where first.
-    # Twins are not looked at again, but the first of each group of them is here.
-    windows = materialise(_windows(shared, width), "substring-windows", by="part")
-    found = []
-    for part in range(PASSES):
-        own = windows.where(F.col("part") == part).drop("part")
-        first = own.groupBy("a", "b").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("a", "b", "lo", "size")
-        first = materialise(first, "substring-first")
-        found.append(materialise(spread_join(own, first, ["a", "b"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
-        discard(first)
+    d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    first = materialise(_first_round(d, width), "substring-round", by="post")
+    seen = materialise(first.where("not post").select("own_id", *row, "n_words", "sha"), "substring-texts")
+    columns = [f.name for f in _arrow(STATE)]
+    state, posts = first.where("not post").where(F.col("n_words") >= width).select(*columns), first.where("post")
+    named, groups, used = _names(posts, ["word", "run"], 0)
+    wide, table = used >= 2**31, first
+    for turn in range(1, ROUNDS + 1):
+        after = materialise(_next_round(state, named, width, turn), "substring-round", by="post")
+        discard(table)
+        discard(groups)
+        state, posts, table = after.where("not post").select(*columns), after.where("post"), after
+        named, groups, used = _names(posts, ["l", "r"], used)
+
+    # Whole texts that an earlier document has symbol for symbol.
+    whole = state.where("content is not null").select(*row, "content")
+    same = whole.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last").select("content", "first", "size")
+    same = materialise(same, "substring-groups")
+    twins = materialise(spread_join(whole, same, ["content"], "size").where("id > first").select(*row).distinct(), "substring-twins")
+    discard(same)
+    # Of the first of a group of twins one row is enough: the others' windows are its own.
+    windows = materialise(_windows(state.drop("content").join(twins, row, "left_anti"), named, width, wide), "substring-windows")
+    discard(table)
+    discard(groups)
+
+    # The numbers of all words decide: who else starts with the same window, and where first.
+    lows = windows.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("words", "lo", "size")
+    lows = materialise(lows, "substring-first")
+    starts = spread_join(windows, lows, ["words"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts"))
+    starts = materialise(starts, "substring-starts")
+    discard(lows)
     discard(windows)
-    starts = found[0]
-    for more in found[1:]:
-        starts = starts.unionByName(more)
-    # A start's window is in one part only.
-    starts = starts.groupBy(*row).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    changed = _removed(shared.join(starts, row), width)
+    changed = _removed(d.select(*row, "text").join(starts, row), width)
     if not with_text:
         changed = changed.drop("kept_text")
     changed = changed.dropDuplicates(row)
