@@ -1,20 +1,21 @@
 """Substring dedup by recompression.
 
-Texts are sequences of symbols that shrink in rounds. The first round names
-words and runs of equal words, each further one pairs of neighbours (one of
-the left, one of the right half of the alphabet). Every round is a Spark job:
-chunks of texts post the distinct runs or pairs they hold, a grouping numbers
-those that at least two rows hold, the numbers are joined back and go to the
-chunks. A number stands for one content everywhere, so equal substrings get
-equal symbols inside. What only one row holds needs no name: it is part of no
-repeat, and a window of words around it is given up at once.
+Texts are sequences of symbols that shrink in rounds. The letters are words,
+as 32-bit hashes. The first round names runs of equal letters and pairs of
+neighbours (one of the left, one of the right half of the alphabet), each
+further one pairs of what came out. Every round is a Spark job: chunks of
+texts post the distinct runs and pairs they hold, a grouping numbers those
+that at least two rows hold, the numbers are joined back and go to the chunks.
+A number stands for one run or pair everywhere, so equal substrings get equal
+symbols inside. What only one row holds needs no number: it is part of no
+repeat, and the windows of words around it are given up at once.
 
 Each symbol carries the stretch of words that its forming depended on. Two
 equal windows hold the same symbols wherever a symbol's stretch lies inside
 them, so a window stays in the running as long as all such symbols, of every
-level, are shared. Texts whose symbols of the last level are all the same are
-equal as a whole; the windows left of other texts are compared by the numbers
-of their words.
+level, are shared. Texts whose symbols are all shared and the same are whole
+copies, confirmed by a digest; the windows left in other texts are compared
+by their very words.
 """
 
 from __future__ import annotations
@@ -32,53 +33,56 @@ from pyspark.sql import functions as F
 from tally.llm.common import discard, id_key, materialise, spread_join
 from tally.llm.word_hashes import STEP_1, mix
 
-#: Rounds of pairs after the one of words and runs.
 ROUNDS = 3
 #: Words of a chunk, about; a longer text is a chunk of its own.
 CHUNK_WORDS = 400_000
-#: Symbols of more words join no more, and longer runs are cut: such symbols fit into no window.
-LONGEST = 30_000
-#: A text's symbols. ``words`` and ``name`` are 64-bit numbers, -1 without a name, -2 - k while the chunk's key k
-#: waits for one; ``size`` is a symbol's words, ``before`` and ``after`` how far its stretch reaches beyond them.
-STATE = "chunk long, row long, id long, row_key long, words binary, alive binary, name binary, size binary, before binary, after binary, content binary"
-POST = "k int, word string, run int, l long, r long, lo long, hi long"
+#: Longer runs are cut into pieces of this many words, and no symbol of more than twice as many is formed.
+LONGEST = 120
+#: Numbers of runs and pairs begin above the letters.
+LETTERS = 2**32
+#: A text: ``alive`` has a bit for each start of a window. Of its symbols, ``name`` has 64-bit numbers in byte planes
+#: (-1 without a number, -2 - k while the chunk's key k waits for one), ``size`` their words, ``before`` and ``after``
+#: how far their stretches reach beyond these, up to 255. A chunk's keys are in a row of their own.
+TEXT = "chunk long, row long, id long, row_key long, sha string, alive binary, name binary, size binary, before binary, after binary, content binary"
+KEYS = pa.list_(pa.struct([("k", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+NEXT = f"{TEXT}, keys array<struct<k:int,l:bigint,r:bigint,lo:bigint,hi:bigint>>"
+FIRST = f"{NEXT}, own_id long, n_words long"
+COLUMNS = [f.split(" ")[0] for f in TEXT.split(", ")]
 
 
-def _split(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
-    return [values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(name, kinds.get(kind, KEYS)) for name, kind in (f.split(" ") for f in ddl.split(", "))])
 
 
-def _joined(parts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(all values one after the other, where each part begins, with the end of the last)."""
-    cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), kind), cut.astype(np.int64)
+def _record(values: dict, schema: pa.Schema, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _first_last(of: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last owner of each of n keys; owners ascend."""
-    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    first[of[::-1]] = owner[::-1]
-    last[of] = owner
-    return first, last
+def _split(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """The values' bytes text by text, in planes: all first bytes, all second bytes and so on."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize)
+    return [planes[a:b].T.tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _clip(far: np.ndarray) -> np.ndarray:
-    return np.minimum(far, 2 * LONGEST).astype("<u2")
+def _joined(parts: list[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = [np.frombuffer(p, np.uint8).reshape(width, -1).T for p in parts]
+    return np.ascontiguousarray(np.concatenate([np.zeros((0, width), np.uint8), *planes])).view(kind).reshape(-1)
 
 
-def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, size: np.ndarray, turn: int):
-    """(first symbols that join their right neighbours, those left as they are with the pairs, low, high) of a round.
+def pairs(name: np.ndarray, may: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, size: np.ndarray, turn: int):
+    """(symbols that join their right neighbours, all that stay or begin a pair, whether they begin one, low, high) of a round.
 
-    A symbol without a name joins none. What stays alone depends on its
+    Only symbols that ``may`` join do. What stays alone depends on its
     neighbour on the side where it might have joined; at the ends of a text it
     depends on what lies beyond, so that no window contains it.
     """
     n = len(name)
     right = (mix(name.astype(np.uint64) ^ np.uint64(turn * STEP_1 % 2**64)) >> np.uint64(63)).astype(bool)
     next_same = own[1:] == own[:-1]
-    named = name >= 0
     joins = np.zeros(n, bool)
-    joins[:-1] = ~right[:-1] & right[1:] & next_same & named[:-1] & named[1:] & (size[:-1] + size[1:] <= LONGEST)
+    joins[:-1] = ~right[:-1] & right[1:] & next_same & may[:-1] & may[1:] & (size[:-1] + size[1:] <= 2 * LONGEST)
     joined = np.zeros(n, bool)
     joined[1:] = joins[:-1]
     left_low = np.concatenate([low[:1] - 1, np.where(next_same, low[:-1], low[1:] - 1)])
@@ -91,17 +95,33 @@ def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray,
     return at[pair], at, pair, np.where(pair, low[at], low_alone[at]), np.where(pair, high[mate], high_alone[at])
 
 
-def _record(values: dict, schema: pa.Schema, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in ddl.split(", "))])
-
-
-FIRST = f"post boolean, {STATE}, own_id long, n_words long, sha string, {POST}"
-NEXT = f"post boolean, {STATE}, {POST}"
+def _round(name, single, low, high, own, size, start, rows, turn: int) -> tuple[dict, dict]:
+    """(columns of the texts' symbols after a round, the chunk's keys); what is not ``single`` is a run that gets a number now."""
+    m = len(rows)
+    first, at, pair, low, high = pairs(name, (name >= 0) & single, low, high, own, size, turn)
+    run = ~single[at]
+    some, small = np.unique(name, return_inverse=True)
+    # A key is a symbol and its partner, or a symbol and the length of its run behind all symbols.
+    left = np.concatenate([small[first], small[at[run]]])
+    partner = np.concatenate([small[first + 1], len(some) + size[at[run]]])
+    span = len(some) + LONGEST + 1
+    keys, which = np.unique(left * span + partner, return_inverse=True)
+    owner = np.concatenate([own[first], own[at[run]]])
+    lo, hi = np.full(len(keys), m, np.int64), np.full(len(keys), -1, np.int64)
+    np.minimum.at(lo, which, owner)
+    np.maximum.at(hi, which, owner)
+    new, words = name[at].copy(), size[at].copy()
+    new[pair] = -2 - which[: len(first)]
+    new[run] = -2 - which[len(first) :]
+    words[pair] += size[first + 1]
+    cut, begin = np.searchsorted(own[at], np.arange(m + 1)), start[at]
+    far = lambda x: np.minimum(x, 255).astype(np.uint8)
+    texts = {"name": _split(new, cut), "size": _split(words.astype(np.uint8), cut), "before": _split(far(begin - low), cut), "after": _split(far(high - begin - words), cut)}
+    l, r = keys // span, keys % span
+    of_run = r >= len(some)
+    r = np.where(of_run, len(some) - r, some[np.minimum(r, len(some) - 1)]) if len(keys) else r
+    posts = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((np.arange(len(keys)), some[l], r, rows[lo], rows[hi]), KEYS.value_type)] if len(keys) else [pa.array([], f.type) for f in KEYS.value_type], fields=list(KEYS.value_type))
+    return texts, {"keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), posts)}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list[list[bytes]]]]:
@@ -120,175 +140,130 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
         yield some
 
 
+class Letters(dict):
+    """word -> letter."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = xxhash.xxh32_intdigest(word)
+        return n
+
+
 def _first_round(docs: DataFrame, width: int) -> DataFrame:
-    """The texts' words and runs, and a post for each distinct word and run of a chunk."""
     schema = _arrow(FIRST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for nth, (own_ids, ids, keys, texts) in enumerate(_texts(batches)):
-            chunk = (task << 20) + nth
+        for nth, (own_ids, ids, row_keys, texts) in enumerate(_texts(batches)):
+            chunk, letters = (task << 20) + nth, Letters()
             lens = np.array([len(t) for t in texts], np.int64)
-            cut = np.concatenate([[0], np.cumsum(lens)])
-            known: dict[bytes, int] = {}
-            of = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
+            of = np.array([letters[w] for t in texts for w in t], np.int64)
             rows = (chunk << 23) + np.arange(len(texts), dtype=np.int64)
             text = np.repeat(np.arange(len(texts)), lens)
             n = len(of)
-            # Runs, cut where they grow longer than any window.
             new = np.ones(n, bool)
             new[1:] = (of[1:] != of[:-1]) | (text[1:] != text[:-1])
             start = np.flatnonzero(new)
             end = np.append(start[1:], n)[: len(start)]
-            long = np.flatnonzero(end - start > LONGEST)
-            whole_low, whole_high = start - 1, end + 1
-            if len(long):
-                more = [(s, np.arange(start[s], end[s], LONGEST)) for s in long]
-                times = np.ones(len(start), np.int64)
-                times[long] = [len(m) for _, m in more]
-                whole_low, whole_high = np.repeat(whole_low, times), np.repeat(whole_high, times)
-                start = np.sort(np.concatenate([start, *(m[1:] for _, m in more)]))
-                end = np.append(start[1:], n)
-            size, sym = end - start, of[start]
-            several = np.flatnonzero(size > 1)
-            kinds, which = np.unique(sym[several] * (LONGEST + 1) + size[several], return_inverse=True)
-            code = sym.copy()
-            code[several] = len(known) + which
-            lo, hi = _first_last(of, rows[text], len(known))
-            lo2, hi2 = _first_last(which, rows[text[start[several]]], len(kinds))
-            at = np.searchsorted(start, cut)
-            starts = [np.packbits(np.arange(m) <= m - width).tobytes() for m in lens.tolist()]
-            joined = [b" ".join(t) for t in texts]
-            state = {
-                "post": [False] * len(texts), "chunk": [chunk] * len(texts), "row": rows, "id": ids, "row_key": keys, "words": _split(-2 - of, cut), "alive": starts,
-                "name": _split(-2 - code, at), "size": _split(size.astype("<u2"), at), "before": _split(_clip(start - whole_low), at), "after": _split(_clip(whole_high - end), at),
-                "own_id": own_ids, "n_words": lens, "sha": [hashlib.sha256(j).hexdigest() for j in joined],
-            }
-            yield _record(state, schema, len(texts))
-            names = [w.decode() for w in known]
-            m = len(names) + len(kinds)
-            posts = {
-                "post": [True] * m, "chunk": [chunk] * m, "k": np.arange(m, dtype=np.int32), "word": names + [names[s] for s in (kinds // (LONGEST + 1)).tolist()],
-                "run": np.concatenate([np.ones(len(names), np.int32), (kinds % (LONGEST + 1)).astype(np.int32)]), "lo": np.concatenate([lo, lo2]), "hi": np.concatenate([hi, hi2]),
+            # The pieces of a long run; each depends on where the run begins and ends.
+            times = -(-(end - start) // LONGEST)
+            low, high = np.repeat(start - 1, times), np.repeat(end + 1, times)
+            piece = np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
+            start = np.repeat(start, times) + piece * LONGEST
+            size = np.minimum(high - 1 - start, LONGEST)
+            columns, keys = _round(of[start], size == 1, low, high, text[start], size, start, rows, 1)
+            texts_of = {
+                "chunk": [chunk] * len(texts), "row": rows, "id": ids, "row_key": row_keys, "own_id": own_ids, "n_words": lens,
+                "sha": [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts], "alive": [np.packbits(np.arange(m) <= m - width).tobytes() for m in lens.tolist()],
             }
-            yield _record(posts, schema, m)
+            yield _record({**texts_of, **columns}, schema, len(texts))
+            yield _record({"chunk": [chunk], **keys}, schema, 1)
 
     return docs.mapInArrow(run, FIRST)
 
 
 class Chunk:
-    """A chunk's texts with the names of a round put in, and without those that have no window left."""
-
-    def __init__(self, state: pa.Table, names: pa.Table, width: int):
-        state = state.sort_by("row")
-        parts = {c: state.column(c).to_pylist() for c in ("words", "alive", "name", "size", "before", "after")}
-        keys = np.asarray(names.column("key").to_numpy(), np.int64)
-        name, cut = _joined(parts["name"], "<i8")
-        words, word_cut = _joined(parts["words"], "<i8")
-        given = np.full(int(max(keys.max(initial=-1), -2 - name.min(initial=0), -2 - words.min(initial=0))) + 1, -1, np.int64)
-        given[keys] = names.column("name").to_numpy()
-        name = np.where(name <= -2, given[np.maximum(-2 - name, 0)] if len(given) else -1, name)
-        words = np.where(words <= -2, given[np.maximum(-2 - words, 0)] if len(given) else -1, words)
-        size = _joined(parts["size"], "<u2")[0].astype(np.int64)
+    """A chunk's texts with the numbers of a round put in, without those that have no window left."""
+
+    def __init__(self, texts: pa.Table, names: pa.Table, width: int):
+        texts = texts.sort_by("row")
+        name_of = texts.column("name").to_pylist()
+        cut = np.concatenate([[0], np.cumsum([len(p) // 8 for p in name_of])]).astype(np.int64)
+        name = _joined(name_of, np.int64)
+        size, before, after = (_joined(texts.column(c).to_pylist(), np.uint8).astype(np.int64) for c in ("size", "before", "after"))
+        given = np.full(int(-2 - name.min(initial=-2)) + 1, -1, np.int64)
+        given[names.column("key").to_numpy()] = names.column("name").to_numpy()
+        name = np.where(name <= -2, given[np.maximum(-2 - name, 0)], name)
         start = np.cumsum(size) - size
-        low, high = start - _joined(parts["before"], "<u2")[0], start + size + _joined(parts["after"], "<u2")[0]
-        # Windows around a word or symbol that is in one row only are in none other.
-        n = len(words)
-        gone = np.zeros(n + 2, np.int64)
-        for a, b in ((low, high), (np.arange(n), np.arange(n) + 1)):
-            lone = np.flatnonzero(((name if a is low else words) == -1) & (b - a <= width))
-            np.add.at(gone, np.clip(b[lone] - width, 0, n), 1)
-            np.add.at(gone, np.clip(a[lone] + 1, 0, n + 1), -1)
-        alive = [np.unpackbits(np.frombuffer(p, np.uint8), count=int(m)) for p, m in zip(parts["alive"], np.diff(word_cut))]
-        alive = (np.concatenate([np.zeros(0, np.uint8), *alive]) > 0) & (np.cumsum(gone)[:n] == 0)
-        lens = np.diff(word_cut)
-        text_of_word = np.repeat(np.arange(len(lens)), lens)
-        keep = np.zeros(len(lens), bool)
-        keep[text_of_word[alive]] = True
-        of_symbol = np.repeat(np.arange(len(lens)), np.diff(cut))
-        stay, stay_words = keep[of_symbol], keep[text_of_word]
-        offset = np.cumsum(np.where(keep, 0, lens)) - np.where(keep, 0, lens)
-        shift = offset[of_symbol[stay]]
-        self.name, self.size, self.low, self.high = name[stay], size[stay], low[stay] - shift, high[stay] - shift
-        self.start = start[stay] - shift
-        self.own = (np.cumsum(keep) - 1)[of_symbol[stay]]
-        self.words, self.alive = words[stay_words], alive[stay_words]
-        self.lens = lens[keep]
-        self.cut = np.concatenate([[0], np.cumsum(self.lens)])
-        self.info = state.select(["chunk", "row", "id", "row_key"]).filter(pa.array(keep))
-
-
-def _next_round(state: DataFrame, named: DataFrame, width: int, turn: int) -> DataFrame:
-    """The texts after a round of pairs, and a post for each distinct pair of a chunk; ``content`` stands for texts of shared symbols only."""
+        low, high = start - before, start + size + after
+        words = int(size.sum())
+        lone = np.flatnonzero((name == -1) & (high - low <= width))
+        gone = np.zeros(words + 2, np.int64)
+        np.add.at(gone, np.clip(high[lone] - width, 0, words), 1)
+        np.add.at(gone, np.clip(low[lone] + 1, 0, words + 1), -1)
+        of_symbol = np.repeat(np.arange(len(name_of)), np.diff(cut))
+        lens = np.bincount(of_symbol, size, len(name_of)).astype(np.int64)
+        bits = [np.unpackbits(np.frombuffer(p, np.uint8), count=m) for p, m in zip(texts.column("alive").to_pylist(), lens.tolist())]
+        alive = (np.concatenate([np.zeros(0, np.uint8), *bits]) > 0) & (np.cumsum(gone)[:words] == 0)
+        of_word = np.repeat(np.arange(len(lens)), lens)
+        keep = np.bincount(of_word[alive], minlength=len(lens)) > 0
+        stay = keep[of_symbol]
+        lost = np.cumsum(np.where(keep, 0, lens))[of_symbol[stay]]
+        self.name, self.size, self.own = name[stay], size[stay], (np.cumsum(keep) - 1)[of_symbol[stay]]
+        self.start, self.low, self.high = start[stay] - lost, low[stay] - lost, high[stay] - lost
+        alive, cut = alive[keep[of_word]], np.concatenate([[0], np.cumsum(lens[keep])])
+        self.alive = [np.packbits(alive[a:b]).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        self.texts = texts.filter(pa.array(keep))
+
+
+def _next_round(texts: DataFrame, named: DataFrame, width: int, turn: int) -> DataFrame:
+    """The texts after the numbers of the last round were put in and another round of pairs, unless that was the last.
+
+    ``content`` stands for the symbols put in, where all of them are shared.
+    """
     schema = _arrow(NEXT)
 
-    def run(state: pa.Table, names: pa.Table) -> pa.Table:
-        c = Chunk(state, names, width) if state.num_rows else None
-        m = len(c.lens) if c else 0
+    def run(texts: pa.Table, names: pa.Table) -> pa.Table:
+        c = Chunk(texts, names, width) if texts.num_rows else None
+        m = len(c.alive) if c else 0
         if m == 0:
             return schema.empty_table()
-        rows = c.info.column("row").to_numpy()
-        first, at, pair, low, high = pairs(c.name, c.low, c.high, c.own, c.size, turn)
-        some, small = np.unique(c.name, return_inverse=True)
-        both = small[first] * len(some) + small[first + 1]
-        keys, which = np.unique(both, return_inverse=True)
-        lo, hi = _first_last(which, rows[c.own[first]], len(keys))
-        size = c.size[at].copy()
-        size[pair] += c.size[first + 1]
-        name = c.name[at].copy()
-        name[pair] = -2 - which
-        old = np.searchsorted(c.own, np.arange(m + 1))
-        cut = np.searchsorted(c.own[at], np.arange(m + 1))
+        cut = np.searchsorted(c.own, np.arange(m + 1))
         shared = np.bincount(c.own[c.name < 0], minlength=m) == 0
-        content = [xxhash.xxh3_128_digest(p) if ok else None for p, ok in zip(_split(c.name, old), shared.tolist())]
-        start = c.start[at]
-        texts = {
-            "post": [False] * m, **{k: c.info.column(k).to_pylist() for k in ("chunk", "row", "id", "row_key")}, "words": _split(c.words, c.cut),
-            "alive": [np.packbits(c.alive[a:b]).tobytes() for a, b in zip(c.cut[:-1], c.cut[1:])], "name": _split(name, cut), "size": _split(size.astype("<u2"), cut),
-            "before": _split(_clip(start - low), cut), "after": _split(_clip(high - start - size), cut), "content": content,
-        }
-        p = len(keys)
-        chunk = c.info.column("chunk")[0].as_py()
-        posts = {"post": [True] * p, "chunk": [chunk] * p, "k": np.arange(p, dtype=np.int32), "l": some[keys // len(some)], "r": some[keys % len(some)], "lo": lo, "hi": hi}
-        return pa.Table.from_batches([_record(texts, schema, m), _record(posts, schema, p)])
-
-    return state.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, NEXT)
-
-
-def _windows(state: DataFrame, named: DataFrame, width: int, wide: bool) -> DataFrame:
-    """(id, row_key, p, words): the windows left, with the numbers of their words."""
-    ddl = "id long, row_key long, p int, words binary"
-    schema = _arrow(ddl)
-
-    def run(state: pa.Table, names: pa.Table) -> pa.Table:
-        c = Chunk(state, names, width) if state.num_rows else None
-        at = np.flatnonzero(c.alive) if c else ()
-        if not len(at):
-            return schema.empty_table()
-        text = np.searchsorted(c.cut, at, "right") - 1
-        seen = np.lib.stride_tricks.sliding_window_view(c.words.astype("<i8" if wide else "<i4"), width)[at]
-        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(seen.itemsize * width), len(at), [None, pa.py_buffer(seen.tobytes())])
-        ids, keys = (c.info.column(k).combine_chunks().take(pa.array(text)) for k in ("id", "row_key"))
-        return pa.Table.from_arrays([ids, keys, pa.array((at - c.cut[text]).astype(np.int32)), key.cast(pa.binary())], schema=schema)
-
-    return state.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, ddl)
-
-
-def _names(posts: DataFrame, keys: list[str], base: int) -> tuple[DataFrame, DataFrame, int]:
-    """((to_chunk, key, name) of the posts whose key at least two rows hold, the written table behind it, the next free number)."""
-    groups = posts.groupBy(*keys).agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
-    groups = materialise(groups.select(*keys, "size", F.monotonically_increasing_id().alias("nth")), "substring-names")
-    # The ids count within a task's part of the keys: parts follow each other, so that numbers stay small.
-    part = F.shiftright("nth", 33)
-    counts = groups.groupBy(part.alias("part")).count().orderBy("part").collect()
-    begin = {}
-    for c in counts:
-        begin[c["part"]] = base
-        base += c["count"]
-    starts = F.create_map(*[F.lit(x) for p, b in begin.items() for x in (p, b)]) if begin else None
-    number = (F.element_at(starts, part) if begin else F.lit(0)) + F.col("nth").bitwiseAND(F.lit(2**33 - 1))
-    named = spread_join(posts.select("chunk", "k", *keys), groups.withColumn("name", number.cast("long")).drop("nth"), keys, "size")
-    return named.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "name"), groups, base
+        columns = {k: c.texts.column(k).combine_chunks() for k in ("chunk", "row", "id", "row_key", "sha")}
+        columns["alive"] = c.alive
+        columns["content"] = [xxhash.xxh3_128_digest(p) if ok else None for p, ok in zip(_split(c.name, cut), shared.tolist())]
+        if turn > ROUNDS:
+            return pa.Table.from_batches([_record(columns, schema, m)])
+        symbols, keys = _round(c.name, np.ones(len(c.name), bool), c.low, c.high, c.own, c.size, c.start, columns["row"].to_numpy(), turn)
+        return pa.Table.from_batches([_record({**columns, **symbols}, schema, m), _record({"chunk": columns["chunk"][:1], **keys}, schema, 1)])
+
+    return texts.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, NEXT)
+
+
+def _names(table: DataFrame, base: int) -> tuple[DataFrame, DataFrame, int]:
+    """((to_chunk, key, name) of a round's keys that at least two rows hold, the written table behind it, the next free number)."""
+    posts = table.where("keys is not null").select("chunk", F.inline("keys"))
+    groups = posts.groupBy("l", "r").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
+    groups = materialise(groups.select("l", "r", "size", (F.monotonically_increasing_id() + base).alias("name")), "substring-names")
+    top = groups.agg(F.max("name")).first()[0]
+    named = spread_join(posts.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "l", "r"), groups, ["l", "r"], "size")
+    return named.select("to_chunk", "key", "name"), groups, base if top is None else top + 1
+
+
+def _windows(texts: DataFrame, width: int) -> DataFrame:
+    """(id, row_key, p, words): the windows left in texts with their ``alive`` bits."""
+    ddl = "id long, row_key long, p int, words string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for id_, key, text, bits in zip(*(b.column(k) for k in range(4))):
+                words = text.as_py().encode().split()
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(words)))
+                for some in np.split(at, range(20_000, len(at), 20_000)):
+                    seen = [b" ".join(words[p : p + width]).decode() for p in some.tolist()]
+                    yield _record({"id": [id_.as_py()] * len(some), "row_key": [key.as_py()] * len(some), "p": some.astype(np.int32), "words": seen}, _arrow(ddl), len(some))
+
+    return texts.select("id", "row_key", "text", "alive").mapInArrow(run, ddl)
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
@@ -316,44 +291,43 @@ def _removed(texts: DataFrame, width: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): each text without the words of repeated windows.
 
-    A word goes if a window of ``width`` words that covers it also starts in
-    a document with a smaller id; windows are judged on the input. Words are
-    split at ASCII white space; kept words are joined by one space. Null or
-    short texts lose nothing. A null id is smaller than all others; rows of
-    one id do not remove from each other, repeated rows are treated alike. A
-    very long text is handled whole, in memory in proportion to its words; an
-    empty table gives an empty result; other columns are not read. Of texts
-    of one and the same symbols only the first posts its windows: all windows
+    A word goes if a window of ``width`` words (up to 240) that covers it also
+    starts in a document with a smaller id; windows are judged on the input.
+    Words are split at ASCII white space; kept words are joined by one space.
+    Null or short texts lose nothing. A null id is smaller than all others;
+    rows of one id do not remove from each other, repeated rows are treated
+    alike. A very long text is handled whole, in memory in proportion to its
+    words; an empty table gives an empty result; other columns are not read.
+    Of texts of the same words only the first posts its windows: all windows
     of the others start there.
-    ``kept_text`` is null where nothing was removed; widths go up to LONGEST.
+    ``kept_text`` is null where nothing was removed.
     """
+    if not 1 <= width <= 2 * LONGEST:
+        raise ValueError(f"width must be 1 to {2 * LONGEST}")
     row = ["id", "row_key"]
     d = docs.select(F.col(id_col).cast("long").alias("own_id"), id_key(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    first = materialise(_first_round(d, width), "substring-round", by="post")
-    seen = materialise(first.where("not post").select("own_id", *row, "n_words", "sha"), "substring-texts")
-    columns = [f.name for f in _arrow(STATE)]
-    state, posts = first.where("not post").where(F.col("n_words") >= width).select(*columns), first.where("post")
-    named, groups, used = _names(posts, ["word", "run"], 0)
-    wide, table = used >= 2**31, first
-    for turn in range(1, ROUNDS + 1):
-        after = materialise(_next_round(state, named, width, turn), "substring-round", by="post")
+    table = materialise(_first_round(d, width), "substring-round")
+    seen = materialise(table.where("row is not null").select("own_id", *row, "n_words", "sha"), "substring-texts")
+    texts = table.where("row is not null").where(F.col("n_words") >= width).select(*COLUMNS)
+    used = LETTERS
+    for turn in range(2, ROUNDS + 2):
+        named, groups, used = _names(table, used)
+        after = materialise(_next_round(texts, named, width, turn), "substring-round")
         discard(table)
         discard(groups)
-        state, posts, table = after.where("not post").select(*columns), after.where("post"), after
-        named, groups, used = _names(posts, ["l", "r"], used)
+        table, texts = after, after.where("row is not null").select(*COLUMNS)
 
-    # Whole texts that an earlier document has symbol for symbol.
-    whole = state.where("content is not null").select(*row, "content")
-    same = whole.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last").select("content", "first", "size")
+    # Whole texts that an earlier document has symbol for symbol, and word for word.
+    whole = texts.where("content is not null").select(*row, "content", "sha")
+    same = whole.groupBy("content", "sha").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first < last").select("content", "sha", "first", "size")
     same = materialise(same, "substring-groups")
-    twins = materialise(spread_join(whole, same, ["content"], "size").where("id > first").select(*row).distinct(), "substring-twins")
+    twins = materialise(spread_join(whole, same, ["content", "sha"], "size").where("id > first").select(*row).distinct(), "substring-twins")
     discard(same)
-    # Of the first of a group of twins one row is enough: the others' windows are its own.
-    windows = materialise(_windows(state.drop("content").join(twins, row, "left_anti"), named, width, wide), "substring-windows")
+    left = texts.select(*row, "alive").join(twins, row, "left_anti").dropDuplicates(row)
+    windows = materialise(_windows(d.select(*row, "text").join(left, row), width), "substring-windows")
     discard(table)
-    discard(groups)
 
-    # The numbers of all words decide: who else starts with the same window, and where first.
+    # The words decide: who else starts with the same window, and where first.
     lows = windows.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("words", "lo", "size")
     lows = materialise(lows, "substring-first")
     starts = spread_join(windows, lows, ["words"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts"))
