@@ -34,6 +34,9 @@ from tally.llm.common import discard, id_key, materialise, spread_join
 from tally.llm.word_hashes import STEP_1, mix
 
 ROUNDS = 3
+#: Parts of the keys and of the windows, by hash, that are dealt out one after the other: only one part's
+#: shuffle files are on disk at a time, a share that is the same at every size.
+PASSES = 4
 #: Words of a chunk, about; a longer text is a chunk of its own.
 CHUNK_WORDS = 400_000
 #: Longer runs are cut into pieces of this many words, and no symbol of more than twice as many is formed.
@@ -240,14 +243,28 @@ def _next_round(texts: DataFrame, named: DataFrame, width: int, turn: int) -> Da
     return texts.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, NEXT)
 
 
-def _names(table: DataFrame, base: int) -> tuple[DataFrame, DataFrame, int]:
-    """((to_chunk, key, name) of a round's keys that at least two rows hold, the written table behind it, the next free number)."""
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
+def _names(table: DataFrame, base: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """((to_chunk, key, name) of a round's keys that at least two rows hold, the written tables behind it, the next free number)."""
+    part = F.pmod(F.xxhash64("l", "r"), F.lit(PASSES))
     posts = table.where("keys is not null").select("chunk", F.inline("keys"))
-    groups = posts.groupBy("l", "r").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
-    groups = materialise(groups.select("l", "r", "size", (F.monotonically_increasing_id() + base).alias("name")), "substring-names")
-    top = groups.agg(F.max("name")).first()[0]
-    named = spread_join(posts.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "l", "r"), groups, ["l", "r"], "size")
-    return named.select("to_chunk", "key", "name"), groups, base if top is None else top + 1
+    named = []
+    for k in range(PASSES):
+        own = posts.where(part == k)
+        groups = own.groupBy("l", "r").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
+        groups = materialise(groups.select("l", "r", "size", (F.monotonically_increasing_id() + base).alias("name")), "substring-names")
+        top = groups.agg(F.max("name")).first()[0]
+        base = base if top is None else top + 1
+        with_name = spread_join(own.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "l", "r"), groups, ["l", "r"], "size")
+        named.append(materialise(with_name.select("to_chunk", "key", "name"), "substring-named"))
+        discard(groups)
+    return _union(named), named, base
 
 
 def _windows(texts: DataFrame, width: int) -> DataFrame:
@@ -311,10 +328,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = table.where("row is not null").where(F.col("n_words") >= width).select(*COLUMNS)
     used = LETTERS
     for turn in range(2, ROUNDS + 2):
-        named, groups, used = _names(table, used)
+        named, behind, used = _names(table, used)
         after = materialise(_next_round(texts, named, width, turn), "substring-round")
-        discard(table)
-        discard(groups)
+        for t in (table, *behind):
+            discard(t)
         table, texts = after, after.where("row is not null").select(*COLUMNS)
 
     # Whole texts that an earlier document has symbol for symbol, and word for word.
@@ -328,12 +345,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(table)
 
     # The words decide: who else starts with the same window, and where first.
-    lows = windows.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("words", "lo", "size")
-    lows = materialise(lows, "substring-first")
-    starts = spread_join(windows, lows, ["words"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts"))
-    starts = materialise(starts, "substring-starts")
-    discard(lows)
+    found = []
+    for k in range(PASSES):
+        own = windows.where(F.pmod(F.xxhash64("words"), F.lit(PASSES)) == k)
+        lows = own.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("words", "lo", "size")
+        lows = materialise(lows, "substring-first")
+        found.append(materialise(spread_join(own, lows, ["words"], "size").where("id > lo").groupBy(*row).agg(F.collect_set("p").alias("starts")), "substring-starts"))
+        discard(lows)
     discard(windows)
+    # A start's window is in one part only.
+    starts = _union(found).groupBy(*row).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     changed = _removed(d.select(*row, "text").join(starts, row), width)
     if not with_text:
         changed = changed.drop("kept_text")
