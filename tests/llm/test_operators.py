@@ -293,6 +293,18 @@ def test_substrings(spark, pairs):
             assert got == brute_substrings(rows, width)
 
 
+def test_substrings_of_long_runs_copies_and_wide_windows(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    shared, run = words(60), "x " * 3 * substring_dedup.LONGEST
+    rows = [(k, f"{words(rng.randint(0, 30))} {shared} {words(rng.randint(0, 30))}") for k in range(20)]
+    rows += [(100, run + shared), (101, "y " + run + "x z"), (102, shared), (103, shared), (104, ""), (105, None)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(table(spark, rows), width=40).collect()}
+    assert got == brute_substrings(rows, 40)
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(table(spark, rows), width=2 * substring_dedup.LONGEST + 1)
+
+
 def test_quality_statistics(spark, pairs):
     got = {r.doc_id: r for r in quality.quality_verdicts(table(spark, pairs)).collect()}
     for i, t in pairs:
