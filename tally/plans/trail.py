@@ -130,10 +130,13 @@ def _cases(spark, sf_dir):
 def _case_append(spark, sf_dir):
     """Events of three stretches of time appended one after another, with the second stretch coming twice and overlapping the third."""
     events = frame(spark, sf_dir, CASE_EVENTS)
-    low, high = (r.timestamp() for r in events.agg(F.min("at"), F.max("at")).first())
-    third = F.floor((F.unix_micros("at") / 1e6 - low) / ((high - low) / 3))
-    log = written(cases.numbered(events.where(third == 0)), "case-log")
-    for part in (third == 1, third == 1, third >= 1):
+    # Both kinds of timestamps can be subtracted and divided in SQL; as text the bounds keep the kind of ``at``.
+    ends = events.agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    bounds = ends.selectExpr("CAST(low + (high - low) / 3 AS STRING) AS one", "CAST(low + (high - low) / 3 * 2 AS STRING) AS two").first()
+    one, two = (F.lit(b).cast(events.schema["at"].dataType) for b in bounds)
+    second = (F.col("at") >= one) & (F.col("at") < two)
+    log = written(cases.numbered(events.where(F.col("at") < one)), "case-log")
+    for part in (second, second, F.col("at") >= one):
         log = written(log.unionByName(cases.append(log, events.where(part))), "case-log")
     return log.select("case_id", "id", "seq", "kind")
 

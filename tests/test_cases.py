@@ -1,6 +1,12 @@
 import random
+from datetime import datetime, timedelta
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tally.operators import cases
+from tally.plans import trail
 
 SCHEMA = "case_id string, seq int, kind string, actor_id string, role string, assignee_id string"
 
@@ -46,3 +52,15 @@ def test_a_hot_case_streams_through_in_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert got == {c: brute(log) for c, log in logs.items()}
     assert "collect_list" not in replayed._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_append_takes_timestamps_with_and_without_a_zone(spark, tmp_path, kind):
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=97 * (k // 2)), k % 7, "view", 1.0, "{}") for k in range(300)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast(kind)).write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in trail.QUERIES["case_append"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(con.execute(trail.ORACLES["case_append"]).fetchall()) and len(got) == 300
