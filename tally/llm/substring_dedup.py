@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import discard, id_key, materialise, spread_join
@@ -36,19 +36,24 @@ from tally.llm.word_hashes import STEP_1, mix
 ROUNDS = 3
 #: Parts of the keys and of the windows, by hash, that are dealt out one after the other: only one part's
 #: shuffle files are on disk at a time, a share that is the same at every size.
-PASSES = 4
+PASSES = 2
 #: Words of a chunk, about; a longer text is a chunk of its own.
 CHUNK_WORDS = 400_000
 #: Longer runs are cut into pieces of this many words, and no symbol of more than twice as many is formed.
 LONGEST = 120
-#: Numbers of runs and pairs begin above the letters.
-LETTERS = 2**32
+#: Numbers of runs and pairs begin above the letters; those of each part of a round have a span of their own.
+LETTERS, SPAN = 2**32, 2**56
+#: Numbers of keys that are packed by chunk at a time.
+PACKED = 1_000_000
 #: A text: ``alive`` has a bit for each start of a window. Of its symbols, ``name`` has 64-bit numbers in byte planes
 #: (-1 without a number, -2 - k while the chunk's key k waits for one), ``size`` their words, ``before`` and ``after``
-#: how far their stretches reach beyond these, up to 255. A chunk's keys are in a row of their own.
+#: how far their stretches reach beyond these, up to 255. A chunk's keys are in a row of their own,
+#: in the order of k; ``many`` is set if several texts of the chunk hold the key.
 TEXT = "chunk long, row long, id long, row_key long, sha string, alive binary, name binary, size binary, before binary, after binary, content binary"
-KEYS = pa.list_(pa.struct([("k", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
-NEXT = f"{TEXT}, keys array<struct<k:int,l:bigint,r:bigint,lo:bigint,hi:bigint>>"
+KEYS = pa.list_(pa.struct([("l", pa.int64()), ("r", pa.int64()), ("many", pa.bool_())]))
+NEXT = f"{TEXT}, keys array<struct<l:bigint,r:bigint,many:boolean>>"
+#: Numbers of a chunk's keys: 32-bit keys and 64-bit numbers in byte planes.
+NAMED = "to_chunk long, key binary, name binary"
 FIRST = f"{NEXT}, own_id long, n_words long"
 COLUMNS = [f.split(" ")[0] for f in TEXT.split(", ")]
 
@@ -98,9 +103,8 @@ def pairs(name: np.ndarray, may: np.ndarray, low: np.ndarray, high: np.ndarray,
     return at[pair], at, pair, np.where(pair, low[at], low_alone[at]), np.where(pair, high[mate], high_alone[at])
 
 
-def _round(name, single, low, high, own, size, start, rows, turn: int) -> tuple[dict, dict]:
-    """(columns of the texts' symbols after a round, the chunk's keys); what is not ``single`` is a run that gets a number now."""
-    m = len(rows)
+def _round(name, single, low, high, own, size, start, m: int, turn: int) -> tuple[dict, dict]:
+    """(columns of the ``m`` texts' symbols after a round, the chunk's keys); what is not ``single`` is a run that gets a number now."""
     first, at, pair, low, high = pairs(name, (name >= 0) & single, low, high, own, size, turn)
     run = ~single[at]
     some, small = np.unique(name, return_inverse=True)
@@ -123,7 +127,7 @@ def _round(name, single, low, high, own, size, start, rows, turn: int) -> tuple[
     l, r = keys // span, keys % span
     of_run = r >= len(some)
     r = np.where(of_run, len(some) - r, some[np.minimum(r, len(some) - 1)]) if len(keys) else r
-    posts = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((np.arange(len(keys)), some[l], r, rows[lo], rows[hi]), KEYS.value_type)] if len(keys) else [pa.array([], f.type) for f in KEYS.value_type], fields=list(KEYS.value_type))
+    posts = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((some[l], r, lo < hi), KEYS.value_type)] if len(keys) else [pa.array([], f.type) for f in KEYS.value_type], fields=list(KEYS.value_type))
     return texts, {"keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), posts)}
 
 
@@ -173,7 +177,7 @@ def _first_round(docs: DataFrame, width: int) -> DataFrame:
             piece = np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
             start = np.repeat(start, times) + piece * LONGEST
             size = np.minimum(high - 1 - start, LONGEST)
-            columns, keys = _round(of[start], size == 1, low, high, text[start], size, start, rows, 1)
+            columns, keys = _round(of[start], size == 1, low, high, text[start], size, start, len(texts), 1)
             texts_of = {
                 "chunk": [chunk] * len(texts), "row": rows, "id": ids, "row_key": row_keys, "own_id": own_ids, "n_words": lens,
                 "sha": [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts], "alive": [np.packbits(np.arange(m) <= m - width).tobytes() for m in lens.tolist()],
@@ -194,7 +198,7 @@ class Chunk:
         name = _joined(name_of, np.int64)
         size, before, after = (_joined(texts.column(c).to_pylist(), np.uint8).astype(np.int64) for c in ("size", "before", "after"))
         given = np.full(int(-2 - name.min(initial=-2)) + 1, -1, np.int64)
-        given[names.column("key").to_numpy()] = names.column("name").to_numpy()
+        given[_joined(names.column("key").to_pylist(), np.int32)] = _joined(names.column("name").to_pylist(), np.int64)
         name = np.where(name <= -2, given[np.maximum(-2 - name, 0)], name)
         start = np.cumsum(size) - size
         low, high = start - before, start + size + after
@@ -237,7 +241,7 @@ def _next_round(texts: DataFrame, named: DataFrame, width: int, turn: int) -> Da
         columns["content"] = [xxhash.xxh3_128_digest(p) if ok else None for p, ok in zip(_split(c.name, cut), shared.tolist())]
         if turn > ROUNDS:
             return pa.Table.from_batches([_record(columns, schema, m)])
-        symbols, keys = _round(c.name, np.ones(len(c.name), bool), c.low, c.high, c.own, c.size, c.start, columns["row"].to_numpy(), turn)
+        symbols, keys = _round(c.name, np.ones(len(c.name), bool), c.low, c.high, c.own, c.size, c.start, m, turn)
         return pa.Table.from_batches([_record({**columns, **symbols}, schema, m), _record({"chunk": columns["chunk"][:1], **keys}, schema, 1)])
 
     return texts.groupBy("chunk").cogroup(named.groupBy("to_chunk")).applyInArrow(run, NEXT)
@@ -250,21 +254,45 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _names(table: DataFrame, base: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """((to_chunk, key, name) of a round's keys that at least two rows hold, the written tables behind it, the next free number)."""
+def _packed(named: DataFrame) -> DataFrame:
+    """(to_chunk, key, name) with the numbers of many keys in a row."""
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, key, name = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(3))
+        order = np.argsort(chunk, kind="stable")
+        to, begin = np.unique(chunk[order], return_index=True)
+        cut = np.append(begin, len(order))
+        return _record({"to_chunk": to, "key": _split(key[order], cut), "name": _split(name[order], cut)}, _arrow(NAMED), len(to))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for b in batches:
+            some.append(b)
+            n += b.num_rows
+            if n >= PACKED:
+                yield pack(some)
+                some, n = [], 0
+        if n:
+            yield pack(some)
+
+    return named.select("chunk", "k", "name").mapInArrow(run, NAMED)
+
+
+def _names(table: DataFrame, turn: int) -> list[DataFrame]:
+    """The written tables (to_chunk, key, name) of a round's keys that at least two rows hold.
+
+    A chunk posts a key once, so a key has no more posts than there are chunks.
+    """
+    posts = table.where("keys is not null").select("chunk", F.posexplode("keys").alias("k", "post")).select("chunk", "k", "post.*")
     part = F.pmod(F.xxhash64("l", "r"), F.lit(PASSES))
-    posts = table.where("keys is not null").select("chunk", F.inline("keys"))
+    of_key = Window.partitionBy("l", "r")
     named = []
     for k in range(PASSES):
-        own = posts.where(part == k)
-        groups = own.groupBy("l", "r").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count("*").alias("size")).where("first < last")
-        groups = materialise(groups.select("l", "r", "size", (F.monotonically_increasing_id() + base).alias("name")), "substring-names")
-        top = groups.agg(F.max("name")).first()[0]
-        base = base if top is None else top + 1
-        with_name = spread_join(own.select(F.col("chunk").alias("to_chunk"), F.col("k").alias("key"), "l", "r"), groups, ["l", "r"], "size")
-        named.append(materialise(with_name.select("to_chunk", "key", "name"), "substring-named"))
-        discard(groups)
-    return _union(named), named, base
+        own = posts.where(part == k).repartition("l", "r").withColumn("n", F.monotonically_increasing_id())
+        held = own.select("chunk", "k", F.count("*").over(of_key).alias("posts"), F.max("many").over(of_key).alias("many"), F.min("n").over(of_key).alias("n"))
+        shared = held.where("posts > 1 or many").withColumn("name", F.col("n") + LETTERS + (turn * PASSES + k) * SPAN)
+        named.append(materialise(_packed(shared), "substring-named"))
+    return named
 
 
 def _windows(texts: DataFrame, width: int) -> DataFrame:
@@ -326,11 +354,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = materialise(_first_round(d, width), "substring-round")
     seen = materialise(table.where("row is not null").select("own_id", *row, "n_words", "sha"), "substring-texts")
     texts = table.where("row is not null").where(F.col("n_words") >= width).select(*COLUMNS)
-    used = LETTERS
     for turn in range(2, ROUNDS + 2):
-        named, behind, used = _names(table, used)
-        after = materialise(_next_round(texts, named, width, turn), "substring-round")
-        for t in (table, *behind):
+        named = _names(table, turn - 1)
+        after = materialise(_next_round(texts, _union(named), width, turn), "substring-round")
+        for t in (table, *named):
             discard(t)
         table, texts = after, after.where("row is not null").select(*COLUMNS)
 
