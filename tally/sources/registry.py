@@ -1,7 +1,7 @@
 """Statement files by format name, for the DataFrame reader's users and for SQL.
 
-A format is read lazily: a view's query is planned together with the parser,
-so only the columns it names are carried on and its filters reach the rows.
+Files are parsed once, when they are registered or read: the parsed rows are
+written to the shared folder, and both views read them there.
 """
 
 from __future__ import annotations

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.exprs import money_to_minor, strftime_to_spark
+from tally.storage import written
 
 ERRORS = "array<struct<row:int,field:string,message:string>>"
 #: Tags that end a transaction's lines, and tags that MT942 forbids.
@@ -26,6 +29,8 @@ MT942_FORBIDDEN = (":60F:", ":60M:", ":62F:", ":62M:", ":64:", ":65:")
 #: BAI2 detail codes by direction.
 BAI2_CREDIT = ("100", "108", "115", "175", "195", "301", "399")
 BAI2_DEBIT = ("400", "408", "409", "475", "495", "555", "595")
+#: Records that a parser hands on at a time, about.
+RECORDS = 5_000
 COLUMNS = ("external_ref", "value_date", "posted_at", "amount_minor", "currency", "direction", "counterparty", "description", "counterparty_bic", "counterparty_account")
 
 
@@ -201,16 +206,31 @@ def parse_bai2(files: DataFrame) -> DataFrame:
     return rows.unionByName(odd).unionByName(late).unionByName(encoding)
 
 
-def _records(delimiter: str, has_header: bool):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, content in zip(b["path"], b["content"]):
-                records = [r for r in csv.reader(io.StringIO(bytes(content).decode("utf-8", "replace"), newline=""), delimiter=delimiter) if r]
-                header = [h.strip() for h in records[0]] if has_header and records else []
-                for n, fields in enumerate(records[1:] if has_header else records):
-                    out.append((path, n + (2 if has_header else 1), header, fields))
-            yield pd.DataFrame(out, columns=["path", "row", "header", "fields"])
+def _dealt(files: DataFrame) -> DataFrame:
+    """(path, content) dealt out by path: a few MB of files are little to read, but much to parse for one task."""
+    return files.select("path", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def _in_batches(records: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tuples as batches of RECORDS rows; no more of them are held."""
+    while some := list(itertools.islice(records, RECORDS)):
+        yield pa.RecordBatch.from_arrays([pa.array(values, f.type) for f, values in zip(schema, zip(*some))], schema=schema)
+
+
+def _records(delimiter: str, has_header: bool, refs: list):
+    """The cells of ``refs`` (index or header) in each record, and where they are in its file; -1 for a header that is not there."""
+    schema = pa.schema([("path", pa.string()), ("row", pa.int32()), ("places", pa.list_(pa.int32())), ("cells", pa.list_(pa.string()))])
+
+    def of_file(path: str, content: bytes) -> Iterator[tuple]:
+        text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8", errors="replace", newline="")
+        records = (r for r in csv.reader(text, delimiter=delimiter) if r)
+        header = [h.strip() for h in next(records, [])] if has_header else []
+        places = [r if isinstance(r, int) else header.index(r) if r in header else -1 for r in refs]
+        for n, fields in enumerate(records, 2 if has_header else 1):
+            yield path, n, places, [fields[p] if 0 <= p < len(fields) else None for p in places]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches((r for b in batches for path, content in zip(*b.columns) for r in of_file(path.as_py(), content.as_py() or b"")), schema)
 
     return read
 
@@ -224,32 +244,37 @@ def parse_csv(files: DataFrame, mapping: dict) -> DataFrame:
     (strftime); amount {"signed": column, "debit_when_negative": bool} or
     {"debit": column, "credit": column}.
     """
-    rows = files.select("path", "content").mapInPandas(_records(mapping.get("delimiter", ","), mapping.get("has_header", True)), "path string, row int, header array<string>, fields array<string>")
+    refs = list(dict.fromkeys([*mapping["columns"].values(), *(v for k, v in mapping["amount"].items() if k != "debit_when_negative")]))
+    rows = _dealt(files).mapInArrow(_records(mapping.get("delimiter", ","), mapping.get("has_header", True), refs), "path string, row int, places array<int>, cells array<string>")
 
     def place(ref) -> Column:
-        return F.lit(ref) if isinstance(ref, int) else F.array_position("header", F.lit(ref)).cast("int") - 1
+        return F.lit(ref) if isinstance(ref, int) else F.get("places", F.lit(refs.index(ref)))
 
     def at(ref) -> Column:
-        return F.trim(F.when(place(ref) >= 0, F.get("fields", place(ref))))
+        return F.col(f"c{refs.index(ref)}")
 
     def absent(ref) -> Column:
         """What is wrong with a reference to a column in this row, or null."""
         unknown = F.when(place(ref) < 0, f"no column is named {ref}")
-        return unknown.when(place(ref) >= F.size("fields"), F.concat(F.lit("the row ends before column "), place(ref).cast("string")))
+        return unknown.when(at(ref).isNull(), F.concat(F.lit("the row ends before column "), place(ref).cast("string")))
 
     cols = mapping["columns"]
     optional = {c: at(cols[c]) for c in ("currency", "counterparty", "counterparty_bic", "counterparty_account") if c in cols}
-    day = F.try_to_date(at(cols["value_date"]), strftime_to_spark(mapping["date_format"]))
     how = mapping["amount"]
+    # What several columns and checks are made from is a column, so that it is worked out once a row.
+    rows = rows.select("path", "row", "places", *[F.trim(F.get("cells", F.lit(k))).alias(f"c{k}") for k in range(len(refs))])
+    money = {f"minor_{k}": money_to_minor(at(how[k])) for k in ("signed", "debit", "credit") if k in how}
+    rows = rows.withColumns({"day": F.try_to_date(at(cols["value_date"]), strftime_to_spark(mapping["date_format"])), **money})
+    day = F.col("day")
     if "signed" in how:
-        signed = money_to_minor(at(how["signed"]))
+        signed = F.col("minor_signed")
         amount, fine = F.abs(signed), signed.isNotNull()
         debit = (signed < 0) == F.lit(how.get("debit_when_negative", True))
         problem = F.coalesce(absent(how["signed"]), F.when(~fine, "not an amount"))
     else:
         zero = F.lit(0).cast("bigint")
         text = {k: at(how[k]) for k in ("debit", "credit")}
-        d, c = (F.when(F.length(t) > 0, money_to_minor(t)).otherwise(zero) for t in text.values())
+        d, c = (F.when(F.length(t) > 0, F.col(f"minor_{k}")).otherwise(zero) for k, t in text.items())
         debit = d != 0
         amount = F.abs(F.when(debit, d).otherwise(c))
         # One error an amount: of the columns, then of what they hold, then of both together.
@@ -276,49 +301,83 @@ def parse_csv(files: DataFrame, mapping: dict) -> DataFrame:
     )
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The text of the elements of each ``Ntry``: the last of a path, for parties the first; null entry for broken XML."""
-    for b in batches:
-        out = []
-        for path, content in zip(b["path"], b["content"]):
-            try:
-                root = ET.fromstring(bytes(content))
-            except ET.ParseError:
-                out.append((path, 0, None))
-                continue
-            local = lambda e: e.tag.rsplit("}", 1)[-1]
-            for n, entry in enumerate((e for e in root.iter() if local(e) == "Ntry"), 1):
-                got: dict[str, str] = {}
-                stack = [(entry, ())]
-                order = []
-                while stack:
-                    e, above = stack.pop()
-                    order.append((e, above))
-                    stack += [(c, (*above, local(e))) for c in reversed(e)]
-                for e, above in order:
-                    name, text = local(e), (e.text or "").strip()
-                    if name == "Amt":
-                        got["amount"], got["currency"] = text, e.get("Ccy") or ""
-                    elif name in ("CdtDbtInd", "AcctSvcrRef", "NtryRef", "Ustrd", "AddtlNtryInf"):
-                        got[name] = text
-                    elif name in ("Dt", "DtTm") and above and above[-1] in ("ValDt", "BookgDt"):
-                        got[above[-1]] = text[:10]
-                    else:
-                        side = next((s for s in ("Cdtr", "Dbtr") if any(a.startswith(s) for a in above)), None)
-                        if side and (name in ("BIC", "BICFI", "IBAN") or name == "Id" and above[-1] == "Othr"):
-                            got.setdefault(f"{side}_{'bic' if name.startswith('BIC') else 'account'}", text)
-                        elif side and name == "Nm" and above[-1] == side:
-                            got.setdefault(f"{side}_name", text)
-                out.append((path, n, got))
-        yield pd.DataFrame(out, columns=["path", "row", "f"])
+#: What is read of an entry of CAMT.053.
+ENTRY = ("amount", "currency", "CdtDbtInd", "AcctSvcrRef", "NtryRef", "Ustrd", "AddtlNtryInf", "ValDt", "BookgDt", *(f"{side}_{what}" for side in ("Cdtr", "Dbtr") for what in ("bic", "account", "name")))
+
+
+def _key(path: tuple[str, ...]) -> str | None:
+    """Under what name the text of an element at ``path`` inside its entry is kept; one of a party keeps the first."""
+    *above, name = path
+    if name == "Amt":
+        return "amount"
+    if name in ("CdtDbtInd", "AcctSvcrRef", "NtryRef", "Ustrd", "AddtlNtryInf"):
+        return name
+    if name in ("Dt", "DtTm") and above and above[-1] in ("ValDt", "BookgDt"):
+        return above[-1]
+    side = next((s for s in ("Cdtr", "Dbtr") if any(a.startswith(s) for a in above)), None)
+    if side and (name in ("BIC", "BICFI", "IBAN") or name == "Id" and above[-1] == "Othr"):
+        return f"{side}_{'bic' if name.startswith('BIC') else 'account'}"
+    return f"{side}_name" if side and name == "Nm" and above[-1] == side else None
+
+
+class Places(dict):
+    """(place above, tag) -> (path, its key): what an element is depends on its path only, and files repeat few paths."""
+
+    def __missing__(self, at: tuple) -> tuple:
+        (above, _), tag = at
+        path = (*above, tag.rsplit("}", 1)[-1])
+        place = self[at] = (path, _key(path))
+        return place
+
+
+def _entry(entry: ET.Element, places: Places) -> dict[str, str]:
+    """The text of an entry's elements: the last of a path, for parties the first."""
+    got: dict[str, str] = {}
+    stack = [(entry, ((), None))]
+    while stack:
+        e, place = stack.pop()
+        if len(e):
+            stack += [(c, places[place, c.tag]) for c in reversed(e)]
+        key = place[1]
+        if key is None:
+            continue
+        text = (e.text or "").strip()
+        if key == "amount":
+            got["amount"], got["currency"] = text, e.get("Ccy") or ""
+        elif key in ("ValDt", "BookgDt"):
+            got[key] = text[:10]
+        elif key.startswith(("Cdtr_", "Dbtr_")):
+            got.setdefault(key, text)
+        else:
+            got[key] = text
+    return got
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, row, f) of each ``Ntry``; null f for broken XML, of which no entry is read."""
+    schema = pa.schema([("path", pa.string()), ("row", pa.int32()), ("f", pa.struct([(k, pa.string()) for k in ENTRY]))])
+
+    places = Places()
+
+    def of_file(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(content)
+        except ET.ParseError:
+            yield path, 0, None
+            return
+        for n, entry in enumerate((e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == "Ntry"), 1):
+            yield path, n, _entry(entry, places)
+
+    return _in_batches((r for b in batches for path, content in zip(*b.columns) for r in of_file(path.as_py(), content.as_py() or b"")), schema)
 
 
 def parse_camt053(files: DataFrame) -> DataFrame:
     """CAMT.053: one row per entry; namespaces do not matter."""
-    rows = files.select("path", "content").mapInPandas(_entries, "path string, row int, f map<string,string>")
+    rows = _dealt(files).mapInArrow(_entries, f"path string, row int, f struct<{','.join(f'{k}:string' for k in ENTRY)}>")
     f = lambda k: _blank(F.col("f")[k])
     ref = F.coalesce(f("AcctSvcrRef"), f("NtryRef"))
-    amount, day = money_to_minor(f("amount")), F.try_to_date(f("ValDt"), "yyyy-MM-dd")
+    rows = rows.withColumns({"minor": money_to_minor(f("amount")), "day": F.try_to_date(f("ValDt"), "yyyy-MM-dd")})
+    amount, day = F.col("minor"), F.col("day")
     broken = F.col("f").isNull()
     errors = F.when(broken, _problems(F.col("row"), (broken, "xml", "malformed XML"))).otherwise(
         _problems(
@@ -355,7 +414,8 @@ def parse_text_statement(files: DataFrame) -> DataFrame:
     body = lines.withColumn("seen", F.sum("head").over(order) - F.col("head")).where("seen > 0")
     body = body.where(~low.rlike("^(page |closing balance|opening balance|total|end of)")).drop("row").withColumnRenamed("n", "row").withColumn("c", F.split("line", " {2,}"))
     at = lambda k: F.get("c", F.lit(k))
-    day, amount = F.try_to_date(at(0), "d/M/yyyy"), money_to_minor(at(4))
+    body = body.withColumns({"day": F.try_to_date(at(0), "d/M/yyyy"), "minor": money_to_minor(at(4))})
+    day, amount = F.col("day"), F.col("minor")
     errors = _ladder(
         F.col("row"),
         (F.size("c") != 5, "columns", "expected five columns"),
@@ -394,7 +454,7 @@ def parse_pdf(files: DataFrame, extract, profile: str = "acmebank") -> DataFrame
                 problems.append(problem)
             yield pd.DataFrame({"path": b["path"], "content": texts, "problem": problems})
 
-    read_files = files.select("path", "content").mapInPandas(read, "path string, content binary, problem string")
+    read_files = _dealt(files).mapInPandas(read, "path string, content binary, problem string")
     good = PDF_PROFILES[profile](read_files.where("problem is null").select("path", "content"))
     error = F.array(F.struct(F.lit(0).alias("row"), F.lit("document").alias("field"), F.col("problem").alias("message"))).cast(ERRORS)
     bad = read_files.where("problem is not null").withColumn("row", F.lit(0)).withColumn("errors", error)
@@ -414,7 +474,11 @@ PARSERS = {
 
 
 def gate(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, (path, row, field, message) of rejected files): a file with any error is rejected whole."""
+    """(accepted rows, (path, row, field, message) of rejected files): a file with any error is rejected whole.
+
+    The parsed rows are written once, for both results are read from them.
+    """
+    parsed = written(parsed, "parsed")
     rejects = parsed.select("path", F.explode("errors").alias("e")).select("path", "e.*")
     accepted = parsed.join(rejects.select("path").distinct(), "path", "left_anti").drop("errors")
     return accepted, rejects

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 
 from tally.functions.exprs import money_to_minor, strftime_to_spark
@@ -106,3 +107,40 @@ def test_pdf(spark):
     assert sorted((r.path, r.row, r.field) for r in bad.collect()) == [("f1", 0, "document"), ("f2", 0, "document")]
     with pytest.raises(ValueError, match="unknown profile"):
         st.parse_pdf(files(spark, layer), extract, profile="other")
+
+
+def test_parsers_hand_on_few_records_at_a_time():
+    # One batch of two files: no batch that comes out holds all of their records.
+    n = 2 * st.RECORDS
+    doc = "<D>" + "<Ntry><Amt>1</Amt></Ntry>" * n + "</D>"
+    table = "\n".join(f"K{k},2024-05-02" for k in range(n))
+    for read, content in ((st._entries, doc), (st._records(",", False, [0, 2]), table)):
+        given = pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": [content.encode(), content.encode()]})
+        sizes = [b.num_rows for b in read(iter([given]))]
+        assert sum(sizes) == 2 * n and max(sizes) <= st.RECORDS
+
+
+def test_gate_parses_a_file_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def extract(content):
+        parsed.add(1)
+        return content.decode()
+
+    layer = "Date  Reference  Description  DR/CR  Amount\n03/05/2024  HX-82  Soap  DR  14.25"
+    ok, bad = st.gate(st.parse_pdf(files(spark, layer, " "), extract))
+    assert (ok.count(), bad.count()) == (1, 1)
+    # One call for the good and one for the bad branch of each file.
+    assert parsed.value <= 4
+
+
+def test_camt_nested_entries_parties_and_broken_ends(spark):
+    party = "<RltdPties><Dbtr><Nm>{}</Nm></Dbtr><DbtrAcct><Id><Othr><Id>{}</Id></Othr></Id></DbtrAcct></RltdPties>"
+    entry = "<Ntry><Amt Ccy=\"SEK\">{}</Amt><CdtDbtInd>CRDT</CdtDbtInd><ValDt><DtTm>2024-05-03T08:00:00</DtTm></ValDt><NtryRef>{}</NtryRef>{}</Ntry>"
+    inner = entry.format("2.00", "K-2", "")
+    doc = "<D>" + entry.format("1.00", "K-1", party.format("Ada", "X1") + party.format("Bob", "X2")) + "<S>" + entry.format("3.00", "K-3", inner) + "</S></D>"
+    ok, bad = st.gate(st.parse_camt053(files(spark, doc, doc + "<")))
+    got = [(r.row, r.external_ref, r.amount_minor, r.counterparty, r.counterparty_account) for r in ok.orderBy("row").collect()]
+    # What an entry inside another says comes after the outer one's own and so stands for both.
+    assert got == [(1, "K-1", 100, "Ada", "X1"), (2, "K-2", 200, None, None), (3, "K-2", 200, None, None)]
+    assert [(r.path, r.row, r.field) for r in bad.collect()] == [("f1", 0, "xml")]
