@@ -125,11 +125,22 @@ def enrich_breaks(breaks: DataFrame, txns: DataFrame, users: DataFrame) -> DataF
     return first.join(refs, "first_txn", "left").join(names, "assignee_id", "left").withColumn("assignee", F.coalesce("user_name", "assignee_id")).drop("user_name")
 
 
+#: Transactions that more than this share of all ids name are joined apart; there are 1 / HOT of them at most.
+HOT = 0.001
+
+
 def run_detail(decisions: DataFrame, txns: DataFrame) -> DataFrame:
-    """Decisions with the transactions of their ids, in the ids' order."""
+    """Decisions with the transactions of their ids, in the ids' order.
+
+    An id that very many decisions name would be one task's; such ids are
+    looked up, a thousand at most, and their transactions broadcast.
+    """
     ids = decisions.select("id", F.posexplode("txn_ids").alias("pos", "txn_id"))
     t = txns.select(F.col("id").alias("txn_id"), "external_ref", "amount_minor")
-    found = ids.join(t, "txn_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "txn_id", "external_ref", "amount_minor"))).alias("txns"))
+    often = [x for x in (ids.where("txn_id is not null").select("txn_id").freqItems(["txn_id"], HOT).first()[0] or []) if x is not None]
+    hot = F.coalesce(F.col("txn_id").isin(often), F.lit(False))
+    joined = ids.where(~hot).join(t.where(~hot), "txn_id", "left").unionByName(ids.where(hot).join(F.broadcast(t.where(hot)), "txn_id", "left"))
+    found = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "txn_id", "external_ref", "amount_minor"))).alias("txns"))
     return decisions.join(found, "id", "left")
 
 

@@ -28,3 +28,15 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     want = rows_of(want.select(*got.columns).fetchall())
     assert rows_of(got.collect()) == want and want
+
+
+def test_run_detail_with_an_id_that_all_name(spark):
+    from tally.operators import listing
+
+    decisions = spark.createDataFrame([(f"d{k}", ["hot", f"t{k}", "none", None]) for k in range(300)], "id string, txn_ids array<string>")
+    txns = spark.createDataFrame([("hot", "H", 5)] + [(f"t{k}", f"R{k}", k) for k in range(0, 300, 2)], "id string, external_ref string, amount_minor bigint")
+    got = {r.id: [(t.txn_id, t.external_ref, t.amount_minor) for t in r.txns] for r in listing.run_detail(decisions, txns).collect()}
+    assert got == {f"d{k}": [("hot", "H", 5), (f"t{k}", None if k % 2 else f"R{k}", None if k % 2 else k), ("none", None, None), (None, None, None)] for k in range(300)}
+    # Only ids that few decisions name go through the join by shuffle.
+    plan = listing.run_detail(decisions, txns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") >= 3 and "hot" in plan
