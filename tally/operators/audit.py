@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tally.schemas import AUDIT
+from tally.storage import discard, written
 
 GENESIS = bytes(32)
 
@@ -60,9 +62,41 @@ def _lp(text: str) -> bytes:
     return len(raw).to_bytes(4, "big") + raw
 
 
+#: Rows of a tenant, about, that a task chains; a longer log is chained in stretches, one after the other.
+STRETCH = 1_000_000
+
+
 def append(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Chains (tenant_id, at, actor_id, kind, payload, order) behind the tenants' heads.
 
+    A tenant's log of more than STRETCH rows is cut by ``order``, a number, and
+    each stretch is written and chained behind the one before: what a task
+    reads stays the same at every size. ``order`` must not be one and the same
+    for more rows than a task can take.
+    """
+    numeric = isinstance(events.schema["order"].dataType, NumericType)
+    counts = events.groupBy("tenant_id").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    if not numeric or most <= STRETCH:
+        return _append(events, heads)
+    rounds = -(-most // STRETCH)
+    # Rank errors of a hundredth of a stretch; a tenant has a bound for each round.
+    cuts = events.groupBy("tenant_id").agg(F.percentile_approx("order", [k / rounds for k in range(1, rounds)], 100 * rounds).alias("cuts"))
+    placed = events.join(F.broadcast(cuts) if counts.count() <= 100_000 else cuts, "tenant_id", "left").withColumn("stretch", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("order"))), F.lit(0)))
+    placed = written(placed.drop("cuts"), "audit-stretches", by="stretch")
+    log = None
+    for k in range(rounds):
+        part = written(_append(placed.where(F.col("stretch") == k).drop("stretch"), heads), "audit-stretch")
+        new = heads_of(part)
+        heads = written(new if heads is None else new.unionByName(heads.join(new.select("tenant_id"), "tenant_id", "left_anti")), "audit-heads")
+        log = part if log is None else log.unionByName(part)
+    discard(placed)
+    return log
+
+
+def _append(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """One stretch of :func:`append`.
+
     Each hash needs the one before it, so a tenant has a single writer: rows
     are dealt by tenant, sorted, and folded as they stream by; a task holds
     one head, not the tenant's log.

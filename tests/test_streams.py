@@ -148,3 +148,19 @@ def test_appending_to_a_case_log_twice_numbers_once(spark):
     for part in ("id between 10 and 29", "id < 30", "id >= 25"):
         log = log.unionByName(cases.append(log, df.where(part).unionByName(df.where(part))))
     assert {(r.case_id, r.id, r.seq) for r in log.collect()} == want
+
+
+def test_long_logs_are_chained_in_stretches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(f"t{k % 3}" if k > 60 else "t0", f"at{k}", "u", "auth.logout", "{}", k) for k in range(100)]
+    events = spark.createDataFrame(rows, "tenant_id string, at string, actor_id string, kind string, payload string, order bigint")
+    heads = audit.heads_of(audit.append(events.where("order < 7")))
+    seen = lambda log: sorted(map(tuple, log.select("tenant_id", "seq", "at", F.hex("hash")).collect()))
+    whole = seen(audit.append(events, heads))
+    monkeypatch.setattr(audit, "STRETCH", 25)
+    log = audit.append(events, heads)
+    assert seen(log) == whole
+    # No stretch is much longer than it should be: each was written as one file a tenant.
+    assert log.groupBy("tenant_id", F.input_file_name()).count().agg(F.max("count")).first()[0] <= 30
+    assert {r.status for r in audit.verify(audit.append(events)).collect()} == {"valid"}
