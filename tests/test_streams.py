@@ -164,3 +164,35 @@ def test_long_logs_are_chained_in_stretches(spark, monkeypatch):
     # No stretch is much longer than it should be: each was written as one file a tenant.
     assert log.groupBy("tenant_id", F.input_file_name()).count().agg(F.max("count")).first()[0] <= 30
     assert {r.status for r in audit.verify(audit.append(events)).collect()} == {"valid"}
+
+
+def test_waiting_events_cost_no_store_call_each():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, many):
+            self.kept, self.many = [], many
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: bool(self.kept), "get": lambda: iter(list(self.kept)) if self.many else self.kept[0], "update": lambda v: self.kept.__setitem__(slice(None), [v]),
+                    "put": lambda v: self.kept.__setitem__(slice(None), v), "appendList": self.kept.extend, "clear": self.kept.clear}[name]
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State(False)
+
+        def getListState(self, *_):  # noqa: N802
+            return State(True)
+
+    case = case_status.CaseStatus()
+    case.init(Handle())
+    event = lambda seq: (seq, "comment", "u", "operator", None)
+    batches = ([*range(301, 601)], [*range(2, 302)], [1, 1, 5])
+    for seqs in batches:
+        rows = pd.DataFrame([event(s) for s in seqs], columns=["seq", "kind", "actor_id", "role", "assignee_id"])
+        last = next(iter(case.handleInputRows(("c",), iter([rows]), None)))
+    assert (last.applied[0], last.last_seq[0], last.waiting[0]) == (600, 600, 0)
+    assert len(calls) <= 5 * len(batches)
