@@ -305,6 +305,27 @@ def test_substrings_of_long_runs_copies_and_wide_windows(spark):
         substring_dedup.substring_dedup(table(spark, rows), width=2 * substring_dedup.LONGEST + 1)
 
 
+def dealt(spark):
+    """Rows and bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    done = [stages.apply(k) for k in range(stages.size())]
+    return np.array([sum(x.shuffleWriteRecords() for x in done), sum(x.shuffleWriteBytes() for x in done)])
+
+
+def test_substrings_deal_few_rows_and_bytes_for_many_different_pairs(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(n))
+    shared = words(30)
+    rows = [(k, f"{words(300)} {shared} {words(300)}") for k in range(400)]
+    n_words, df = 630 * len(rows), table(spark, rows).repartition(2).localCheckpoint()
+    before = dealt(spark)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df).collect()}
+    n_rows, n_bytes = dealt(spark) - before
+    assert got == brute_substrings(rows, 13)
+    assert n_rows < n_words / 100 and n_bytes < 15 * n_words
+
+
 def test_quality_statistics(spark, pairs):
     got = {r.doc_id: r for r in quality.quality_verdicts(table(spark, pairs)).collect()}
     for i, t in pairs:
