@@ -187,7 +187,6 @@ def _letters(of: np.ndarray, lens: np.ndarray, width: int) -> tuple[Symbols, np.
     piece = np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
     start = np.repeat(start, times) + piece * LONGEST
     size = np.minimum(high - 1 - start, LONGEST)
-    # A lone letter depends on itself; what it may join is looked at in the round.
     alive = np.arange(n) <= np.repeat(np.cumsum(lens) - width, lens)
     return Symbols(of[start], size, low, high, text[start], start, alive, np.arange(len(lens)), lens), size == 1
 
@@ -309,7 +308,7 @@ def _names(table: DataFrame, width: int, turn: int, parts: int) -> DataFrame:
     return materialise(table.select(*columns).mapInArrow(post, POST).groupBy("part").applyInArrow(number, ANSWER), "substring-named")
 
 
-def _answers(answers: pa.Table, cut: np.ndarray, kind: type, nothing: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _answers(answers: pa.Table, cut: np.ndarray, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(part, places among all posts, values) of what came back to a chunk."""
     for part, which, value in zip(*(answers.column(c).to_pylist() for c in ("part", "which", "value"))):
         if part >= 0:
@@ -332,7 +331,7 @@ def _next_round(table: DataFrame, named: DataFrame, width: int, turn: int, parts
             else:
                 s, cut = _read(row), _values(row["cut"], np.int64)
             given = np.full(int(cut[-1]), -1, np.int64)
-            for part, at, rank in _answers(names, cut, np.uint32, -1):
+            for part, at, rank in _answers(names, cut, np.uint32):
                 given[at] = ((turn - 1) << ROUND_BITS) + (part << PART_BITS) + rank.astype(np.int64)
             s = _settled(s, given, width)
             if len(s.lens) == 0:
@@ -415,7 +414,7 @@ def _removed(chunks: DataFrame, marks: DataFrame, width: int, parts: int, with_t
         for row in chunk.to_pylist() if marks.num_rows else []:
             w = Left(row, marks, width, parts)
             earlier, least = np.zeros(len(w.a), bool), np.zeros(len(w.a), np.int64)
-            for _, at, value in _answers(marks, w.cut, np.int64, 0):
+            for _, at, value in _answers(marks, w.cut, np.int64):
                 earlier[at], least[at] = True, value
             gone_at = earlier[w.which] & (w.ids[w.own] > least[w.which])
             edge = np.zeros(len(w.at) + 1, np.int64)
